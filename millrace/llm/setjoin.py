@@ -6,11 +6,12 @@ Two documents link when ``den * |A & B| >= num * |A | B|``. The join is exact an
 * light: for every pair of sizes up to the boundary the least overlap c that makes a link is known, so each set lists
   its subsets of c elements (c is close to the size, so there are few); two sets link if and only if they list one in
   common. Each list of equal subsets becomes a star, no pair is compared.
-* heavy: every pair with a larger member shares an element among the first ``n - ceil(n * num / den) + 1`` of each in
+* heavy: every pair with a larger member shares r elements among the first ``n - ceil(n * num / den) + r`` of each in
   any common order. The order puts elements that many documents hold last: document frequencies of all shingles are
   counted on all rows, and the most frequent ones (at most ``ORDERED``; any order gives the same links, so this bounds
-  a broadcast and nothing else) are known to every task. Documents on one inverted list are tied by a star; the
-  components of these ties are blocks, each set goes to its block once, and there the inverted lists are scanned for
+  a broadcast and nothing else) are known to every task. Inverted lists of these first elements give ties: a long list,
+  or that of a frequent element, is a star; short lists give pairs, of which those with r lists in common stay. The
+  components of the ties are blocks, each set goes to its block once, and there the inverted lists are scanned for
   exact overlaps. Blocks of over ``BLOCK`` sets are split and every pair of parts is scanned as a task of its own.
 
 Equal sets are one class from the start, lists are merged within a task before they are shuffled, and a block returns a
@@ -39,9 +40,11 @@ from millrace.llm import runtime
 from millrace.llm import textkernel as tk
 
 #: Elements of which every task knows that they are frequent: 12 bytes each.
-ORDERED = 1 << 19
+ORDERED = 1 << 20
 #: An element is frequent from so many documents on.
 FREQUENT = 16
+#: A longer list is a star.
+SHORT_LIST = 64
 #: Sets that one task compares with each other.
 BLOCK = 2048
 #: Shingle hashes that a task holds before it sends what it has.
@@ -65,8 +68,12 @@ class Rule:
     def partners(self, n: int) -> tuple[int, int]:
         return -(-self.num * n // self.den), n * self.den // self.num
 
+    def shared(self, n: int) -> int:
+        """r: how many of the first elements a linked pair has in common at least."""
+        return max(1, n // 12)
+
     def prefix(self, n: int) -> int:
-        return n - (-(-self.num * n // self.den)) + 1
+        return n - (-(-self.num * n // self.den)) + self.shared(n)
 
 
 def subset_count(n: int, x: int, rule: Rule) -> int:
@@ -209,14 +216,33 @@ def frequent(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, pa
     return kept["key"].to_numpy().astype(np.uint32), np.log2(kept["n"].to_numpy().clip(min=1)).astype(np.uint8)
 
 
-def prefix(s: np.ndarray, p: int, keys: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first p elements of a sorted set, rare ones first."""
+def prefix(s: np.ndarray, p: int, keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first p elements of a sorted set, rare ones first, and their ranks, 0 for rare ones."""
     if not len(keys):
-        return s[:p]
+        return s[:p], np.zeros(min(p, len(s)), np.uint8)
     top = (s >> np.uint64(32)).astype(np.uint32)
     at = np.minimum(np.searchsorted(keys, top), len(keys) - 1)
-    rank = np.where(keys[at] == top, ranks[at], 0)
-    return s[np.argsort(rank, kind="stable")[:p]] if rank.any() else s[:p]
+    rank = np.where(keys[at] == top, ranks[at], 0).astype(np.uint8)
+    if not rank.any():
+        return s[:p], rank[:p]
+    order = np.argsort(rank, kind="stable")[:p]
+    return s[order], rank[order]
+
+
+def _pairs(ids: np.ndarray, needs: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (larger, smaller) within lists and what they need; ``first`` and ``length`` tell the lists' places."""
+    out = []
+    for n in np.unique(length).tolist():
+        if n < 2:
+            continue
+        at = first[length == n][:, None] + np.arange(n)
+        x, y = np.triu_indices(n, 1)
+        out.append((ids[at[:, x]].ravel(), ids[at[:, y]].ravel(), np.minimum(needs[at[:, x]], needs[at[:, y]]).ravel()))
+    if not out:
+        return ids[:0], ids[:0], needs[:0]
+    p, q, need = (np.concatenate(c) for c in zip(*out, strict=True))
+    keep = p != q
+    return np.maximum(p, q)[keep], np.minimum(p, q)[keep], need[keep]
 
 
 def _stars(tokens: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -232,62 +258,108 @@ def _stars(tokens: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tokens[first], ids[first], pairs[:, 0], pairs[:, 1]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes())
+
+
+def _unplaned(b: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+PAIR, STAR, SURE = 0, 1, 2
+
+
 def ties(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, rule: Rule, x: int, known: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
-    """``(a, b, sure)``: ties between documents on one list; a common subset makes them sure."""
+    """``(a, b, n, need, sure)``: ties between documents on n common lists, of which a link needs ``need``; a common subset makes them sure."""
     src = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     told = docs.sparkSession.sparkContext.broadcast(known)
+    edges = np.array([(i << 64) // parts for i in range(parts)], np.uint64)
 
-    def send(tokens: list[np.ndarray], ids: list[np.ndarray], sure: bool) -> Iterator[pa.RecordBatch]:
+    def send(kind: int, tokens: list[np.ndarray], ids: list[np.ndarray], needs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not tokens:
             return
-        t, low, a, b = _stars(np.concatenate(tokens), np.concatenate(ids))
-        cut = np.searchsorted(t, np.array([(i << 64) // parts for i in range(parts)], np.uint64))
-        rows = [(i, t[p:q].tobytes(), low[p:q].tobytes()) for i, (p, q) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), len(t)], strict=True)) if q > p]
-        if len(a):
-            rows.append((parts + int(a[0] % parts), a.tobytes(), b.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([sure] * len(rows)), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "sure", "x", "y"])
+        t, d, need = np.concatenate(tokens), np.concatenate(ids), np.concatenate(needs)
+        rows = []
+        if kind == PAIR:
+            order = np.argsort(t, kind="stable")
+            t, d, need = t[order], d[order], need[order]
+        else:  # what meets within the task is tied here, and one document goes on for each list
+            t, d, a, b = _stars(t, d)
+            need = np.ones(len(t), np.uint16)
+            if len(a):
+                rows.append((parts + int(a[0] % parts), _planes(a), _planes(b), b""))
+        cut = np.searchsorted(t, edges)
+        rows += [(i, _pack(t[p:q]), _planes(d[p:q]), _planes(need[p:q])) for i, (p, q) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), len(t)], strict=True)) if q > p]
+        cols = list(zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([kind] * len(rows), pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "kind", "x", "y", "z"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks = told.value
-        tokens: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        ids: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        held: dict[int, tuple[list, list, list]] = {kind: ([], [], []) for kind in (PAIR, STAR, SURE)}
         total = 0
         for out_ids, sets in _distinct_sets(batches, k, table):
             for d, s in zip(out_ids, sets, strict=True):
                 n = len(s)
                 new = []
                 if n <= x:
-                    new.append((True, np.fromiter(subsets(s, x, rule), np.uint64)))
+                    new.append((SURE, np.fromiter(subsets(s, x, rule), np.uint64)))
                 if rule.partners(n)[1] > x:
-                    new.append((False, prefix(s, rule.prefix(n), keys, ranks)))
-                for sure, t in new:
-                    tokens[sure].append(t)
-                    ids[sure].append(np.full(len(t), d, np.int64))
-                    total += len(t)
+                    t, rank = prefix(s, rule.prefix(n), keys, ranks)
+                    new += [(PAIR, t[rank == 0]), (STAR, t[rank > 0])]
+                for kind, t in new:
+                    if len(t):
+                        tokens, ids, needs = held[kind]
+                        tokens.append(t)
+                        ids.append(np.full(len(t), d, np.int64))
+                        needs.append(np.full(len(t), min(rule.shared(n), 65535), np.uint16))
+                        total += len(t)
             if total > FLUSH:
-                for sure in tokens:
-                    yield from send(tokens[sure], ids[sure], sure)
-                    tokens[sure], ids[sure] = [], []
+                for kind, h in held.items():
+                    yield from send(kind, *h)
+                held = {kind: ([], [], []) for kind in held}
                 total = 0
-        for sure in tokens:
-            yield from send(tokens[sure], ids[sure], sure)
+        for kind, h in held.items():
+            yield from send(kind, *h)
 
     def merge(t: pa.Table) -> pa.Table:
-        out: list[pa.Table] = []
-        for sure in (True, False):
-            part = t.filter(pa.compute.equal(t["sure"], sure))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]] = []
+        ready = t["bucket"][0].as_py() >= parts
+        for kind in (PAIR, STAR, SURE):
+            part = t.filter(pa.compute.equal(t["kind"], kind))
             if not len(part):
                 continue
-            xs, ys = b"".join(part["x"].to_pylist()), b"".join(part["y"].to_pylist())
-            y = np.frombuffer(ys, np.int64)
-            if part["bucket"][0].as_py() < parts:
-                _, _, a, b = _stars(np.frombuffer(xs, np.uint64), y)
-            else:
-                a, b = np.frombuffer(xs, np.int64), y
-            out.append(pa.table({"a": a, "b": b, "sure": np.full(len(a), sure)}))
-        return pa.concat_tables(out)
-
-    return src.mapInArrow(lists, "bucket int, sure boolean, x binary, y binary").groupBy("bucket").applyInArrow(merge, "a bigint, b bigint, sure boolean")
+            ids = np.concatenate([_unplaned(b, np.int64) for b in part["y"].to_pylist()])
+            if ready:
+                a, b = np.concatenate([_unplaned(b, np.int64) for b in part["x"].to_pylist()]), ids
+                out.append((a, b, np.ones(len(a), np.int64), np.ones(len(a), np.int64), kind == SURE))
+                continue
+            tokens = np.concatenate([_unpack(b, np.uint64) for b in part["x"].to_pylist()])
+            long = np.ones(len(tokens), bool)
+            if kind == PAIR:
+                needs = np.concatenate([_unplaned(b, np.uint16) for b in part["z"].to_pylist()])
+                order = np.argsort(tokens, kind="stable")
+                tokens, ids, needs = tokens[order], ids[order], needs[order]
+                first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+                length = np.diff(np.append(first, len(tokens)))
+                long = np.repeat(length > SHORT_LIST, length)
+                short = length <= SHORT_LIST
+                a, b, need = _pairs(ids, needs, first[short], length[short])
+                if len(a):
+                    order = np.lexsort((b, a))
+                    a, b, need = a[order], b[order], need[order]
+                    edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+                    out.append((a[edge], b[edge], np.diff(np.append(edge, len(a))), need[edge].astype(np.int64), False))
+            if long.any():
+                _, _, a, b = _stars(tokens[long], ids[long])
+                # a star stands for any number of lists
+                out.append((a, b, np.full(len(a), 1 << 20), np.ones(len(a), np.int64), kind == SURE))
+        return pa.concat_tables([pa.table({"a": a, "b": b, "n": n.astype(np.int64), "need": need, "sure": np.full(len(a), sure)}) for a, b, n, need, sure in out]) if out else _NO_TIES
+
+    return src.mapInArrow(lists, "bucket int, kind int, x binary, y binary, z binary").groupBy("bucket").applyInArrow(merge, "a bigint, b bigint, n bigint, need bigint, sure boolean")
+
+
+_NO_TIES = pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "n", "need")} | {"sure": pa.array([], pa.bool_())})
 
 
 def forest(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], rule: Rule, across: bool) -> list[tuple[int, int]]:
@@ -371,7 +443,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, table:
     tied = ws.keep(ties(docs, k, table, key, text, rule, x, known, parts), "ties")
     first = ws.keep(full.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("m")), "classes")
     same = ws.keep(full.join(first, "sig").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "same")
-    maybe = tied.where("not sure").select("a", "b")
+    counted = tied.where("not sure").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+    maybe = counted.where("n >= need").select("a", "b")
     blocks = runtime.components(ws, maybe.unionAll(same))
     reps = first.select("rep").distinct()
     inside = ws.keep(blocks.join(reps, blocks.node == reps.rep, "left_semi"), "inside")
