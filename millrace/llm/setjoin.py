@@ -46,7 +46,7 @@ FREQUENT = 16
 #: A longer list is a star.
 SHORT_LIST = 64
 #: Sets that one task compares with each other.
-BLOCK = 2048
+BLOCK = 512
 #: Shingle hashes that a task holds before it sends what it has.
 FLUSH = 2_000_000
 #: The largest boundary that is considered.
@@ -405,7 +405,8 @@ def block_links(docs: DataFrame, chosen: DataFrame, k: int, table: np.ndarray, k
     """``(a, b)``: forests of the links within blocks. ``chosen (node, root, part, parts)``: one row for each set."""
     src = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     # rows that share a key are all in; each has its own set
-    held = src.join(chosen, src.doc_id == chosen.node).select("doc_id", "text", "root", "part", "parts")
+    # both sides grow with the input, so neither is broadcast, however small it is
+    held = src.hint("merge").join(chosen, src.doc_id == chosen.node).select("doc_id", "text", "root", "part", "parts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
