@@ -32,9 +32,9 @@ from millrace.llm.textkernel import mix, powers, raw, slices
 
 #: A border falls where the hash of the last WINDOW bytes has its low MASK_BITS bits clear.
 WINDOW, MASK_BITS = 24, 10
-STORE_BYTES = 48 << 20
+STORE_BYTES = 24 << 20
 #: Words of new chunks whose ids are kept beside the chunks.
-STORE_WORDS = 300_000
+STORE_WORDS = 150_000
 _SPACES = b" \n"
 
 

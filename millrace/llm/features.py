@@ -104,13 +104,15 @@ def fitted(rows: DataFrame, extract: Extract, bits: int, fit: Callable[[list[tup
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, ys = [], []
+        one = np.float32(1)
         for batch in batches:
             data, offsets = tk.raw(batch.column(0))
             ys += batch.column(1).to_pylist()
             for i, j in tk.slices(offsets):
                 t, f, v = extract(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits)
                 cut = np.searchsorted(t, np.arange(j - i + 1))
-                xs += [(f[a:b].astype(np.int32), v[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                weighted = bool((v != 1).any())
+                xs += [(f[a:b].astype(np.int32), v[a:b].copy() if weighted else np.broadcast_to(one, b - a)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([fit(xs, np.array(ys, np.int64), 1 << bits).astype(np.float32).tobytes()], pa.binary())], ["w"])
 
     got = rows.repartition(1).mapInArrow(train, "w binary").collect()  # one row

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from millrace.llm import features, runtime
 from millrace.llm import textkernel as tk
 
-SAMPLE, EPOCHS, BITS, BATCH = 20_000, 6, 19, 16
+SAMPLE, EPOCHS, BITS, BATCH = 10_000, 6, 19, 16
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.5, 0.1
 GRADES = 3
 #: Marker features of a severe row, the log-odds that makes a marker, and the toxic rows it must occur in.

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from millrace.llm import features, runtime
 from millrace.llm import textkernel as tk
 
-SAMPLE, EPOCHS, BITS, BATCH = 12_000, 4, 18, 16
+SAMPLE, EPOCHS, BITS, BATCH = 8_000, 4, 18, 16
 ALPHA, BETA, L1, L2 = 0.25, 1.0, 0.02, 0.5
 CUT = 0.3
 
