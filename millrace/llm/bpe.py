@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -33,8 +34,8 @@ from millrace.llm.textkernel import mix, powers, raw, slices
 #: A border falls where the hash of the last WINDOW bytes has its low MASK_BITS bits clear.
 WINDOW, MASK_BITS = 24, 10
 STORE_BYTES = 24 << 20
-#: Words of new chunks whose ids are kept beside the chunks.
-STORE_WORDS = 150_000
+#: Words of new chunks whose ids are kept beside the chunks, in each of two generations.
+STORE_WORDS = 200_000
 _SPACES = b" \n"
 
 
@@ -71,8 +72,12 @@ class Codec:
         self.tokenizer.no_padding()
         self.texts = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.plain_join = self.tokenizer.decoder is None
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        tried = ["Ab, cd. efgh\n ij", "ab", ",", "cd", ".", "efgh", "ij"]
+        self.by_word = ids(tried[0]) == [i for t in tried[1:] for i in ids(t)] and all(ids(t) == [x.id for x in self.tokenizer.model.tokenize(t)] for t in ("ab", "efgh"))
         self.store: dict[bytes, np.ndarray] = {}
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0
         self.encoded_bytes = 0
 
@@ -92,18 +97,32 @@ class Codec:
         return [self.store[p] for p in pieces]
 
     def _inside(self, chunks: list[bytes]) -> list[np.ndarray]:
-        """As ``_encode`` for chunks, which start and end at spaces: no token spans a space, so new chunks are put together from words."""
-        new = {p: p.split() for p in dict.fromkeys(chunks) if p not in self.store}
+        """As ``_encode`` for chunks, which start and end at spaces. If no token spans a space, new chunks are put together from words."""
+        if not self.by_word:
+            return self._encode(chunks)
+        new = {p: _words(p) for p in dict.fromkeys(chunks) if p not in self.store}
         if self.held > STORE_BYTES:
             self.store = {p: self.store[p] for p in chunks if p in self.store}
             self.held = sum(len(p) + 4 * len(v) + 200 for p, v in self.store.items())
         if len(self.words) > STORE_WORDS:
-            self.words = {}
-        known = self.words
-        missing = list(set().union(*new.values()).difference(known))
+            self.words, self.older = {}, self.words
+        known, older = self.words, self.older
+        missing = set().union(*new.values()).difference(known)
+        if older:  # words of the generation before that are met again
+            again = missing.intersection(older)
+            known.update({w: older[w] for w in again})
+            missing -= again
+        missing = list(missing)
         if missing:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            known.update(zip(missing, [array("I", e.ids).tobytes() for e in found], strict=True))
+            model = self.tokenizer.model
+            rest = []
+            for w in missing:
+                if w.isalpha() and w.islower():  # one piece, which the steps before the model leave alone
+                    known[w] = array("I", [t.id for t in model.tokenize(w.decode())]).tobytes()
+                else:
+                    rest.append(w)
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+            known.update(zip(rest, [array("I", e.ids).tobytes() for e in found], strict=True))
         for p, words in new.items():
             ids = self.store[p] = np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
             self.held += len(p) + 4 * len(ids) + 200
@@ -165,6 +184,16 @@ class Codec:
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
+_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+
+
+def _words(chunk: bytes) -> list[bytes]:
+    """Words between spaces. A-Z is lower-cased as the tokenizer does, and one mark behind a letter stands alone, as it is a piece of its own; special tokens are left."""
+    if b"<|" in chunk:
+        return chunk.split()
+    return _MARK.sub(rb" \1", chunk.lower()).split()
+
+
 def _last_word(piece: bytes) -> bytes:
     body = piece.rstrip(_SPACES)
     at = max(body.rfind(b" "), body.rfind(b"\n"))
