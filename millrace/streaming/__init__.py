@@ -1 +1 @@
-
+"""Incremental processing of append-only logs."""
