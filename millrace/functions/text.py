@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tags that show that a text is markup.
 TAGS = ("p", "br", "li", "ul", "ol", "div", "span", "strong", "em", "b", "i", "h[1-6]", "table", "tr", "td", "th", "a", "hr", "blockquote")
@@ -28,7 +29,7 @@ def decode(text: str | None) -> str | None:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(s: pd.Series) -> pd.Series:
     return s.map(decode, na_action="ignore")
 

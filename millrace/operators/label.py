@@ -68,7 +68,7 @@ def select_docs(docs: DataFrame, splits: tuple[str, ...] = schema.SPLITS, limit:
 
 def outcomes(selected: DataFrame, cache: DataFrame) -> DataFrame:
     """Every selected row with its outcome; one without a cache row is an api_error."""
-    last = last_per_key(cache).select("doc_id", "raw_output", "ok", "usage")
+    last = last_per_key(cache).select("doc_id", "raw_output", "ok")
     v = extract.extract_json(F.col("raw_output"))
     return selected.join(last, "doc_id", "left").withColumn("v", v).withColumn("outcome", extract.outcome(F.col("ok"), F.col("v")))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace import schema
@@ -89,7 +90,7 @@ def generate(prompts: DataFrame, call: Generate, prompt: str = "prompt", batch:
                 outs += got
             yield pdf.assign(raw_output=outs)
 
-    return prompts.mapInPandas(run, prompts.schema.add("raw_output", "string"))
+    return prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField("raw_output", T.StringType())]))
 
 
 def records(outputs: DataFrame, arm: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The registered queries."""
+"""The registered queries: one for each operator or group of them, named by inventory ids, with the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "a3_score_arm_per_field"
+from millrace.plans import analysis, curation
+
+FLAGSHIP = "a1_a3_score_per_field"
+_ALL = curation.QUERIES | analysis.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q[0] for name, q in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q[1] for name, q in _ALL.items() if q[1]}

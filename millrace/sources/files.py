@@ -21,8 +21,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def malformed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The lines that are not objects of the schema, with their file."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").json(path)
-    return rows.select("_corrupt_record", F.col("_metadata.file_path").alias("file"), *[c for c in schema.names[:1]]).where("_corrupt_record is not null").select("_corrupt_record", "file")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    parsed = lines.withColumn("p", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    return parsed.where("p._corrupt_record is not null").select(F.col("value").alias("_corrupt_record"), "file")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
