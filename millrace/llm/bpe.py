@@ -33,9 +33,9 @@ from millrace.llm.textkernel import mix, powers, raw, slices
 
 #: A border falls where the hash of the last WINDOW bytes has its low MASK_BITS bits clear.
 WINDOW, MASK_BITS = 24, 10
-STORE_BYTES = 24 << 20
+STORE_BYTES = 16 << 20
 #: Words of new chunks whose ids are kept beside the chunks, in each of two generations.
-STORE_WORDS = 200_000
+STORE_WORDS = 120_000
 _SPACES = b" \n"
 
 
@@ -225,15 +225,15 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _coded(batch: pa.RecordBatch, text: str, path: str, full: bool) -> Iterator[pa.RecordBatch]:
+def _coded(batch: pa.RecordBatch, rest: list[str], path: str, full: bool) -> Iterator[pa.RecordBatch]:
+    """The batch's last column is the text."""
     c = codec(path)
-    data, offsets = raw(batch.column(batch.schema.get_field_index(text)))
-    rest = [n for n in batch.schema.names if n != "__text"]
+    data, offsets = raw(batch.column(len(rest)))
     for i, j in slices(offsets):
         texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
         ids = c.encode(texts)
         decoded = [c.decode(x) for x in ids]
-        cols = [batch.column(batch.schema.get_field_index(n)).slice(i, j - i) for n in rest]
+        cols = [batch.column(n).slice(i, j - i) for n in range(len(rest))]
         names = list(rest)
         cols += [
             pa.array([len(x) for x in ids], pa.int64()),
@@ -259,11 +259,11 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
         new += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     taken = {f.name for f in new}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in taken and (keep is not None or c != text)]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([src.schema[c] for c in keep] + new)
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(runtime.fresh(keep)))
+    schema = T.StructType([*src.schema.fields[: len(keep)], *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _coded(batch, "__text", path, full)
+            yield from _coded(batch, keep, path, full)
 
     return src.mapInArrow(run, schema)

@@ -103,7 +103,7 @@ def severity(docs: DataFrame, weights: np.ndarray, text: str = "text", score: st
     """``docs`` (or the columns ``keep`` of it) with the expected grade as ``score``; a column of that name is replaced."""
     runtime.prepare(docs.sparkSession)
     names = [c for c in (docs.columns if keep is None else keep) if c != score]
-    src = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"))
+    src = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(runtime.fresh(names)))
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add(score, "double")
     told = docs.sparkSession.sparkContext.broadcast(weights if len(weights) else np.concatenate([np.zeros(1 << BITS), [32.0, 33.0]]).astype(np.float32))
 

@@ -35,6 +35,8 @@ def score(key: Column, shard: int, weight: float) -> Column:
 
 def best(scores: list[Column]) -> Column:
     """Position of the highest score; the first of equals."""
+    if len(scores) == 1:
+        return F.lit(0)
     top = F.greatest(*[F.struct(s.alias("s"), F.lit(-i).alias("i")) for i, s in enumerate(scores)])
     return -top["i"]
 

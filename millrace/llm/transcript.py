@@ -138,7 +138,7 @@ def formatted(transcripts: DataFrame, column: str = "transcript", keep: list[str
     """Adds ``turns array<struct<role, text>>`` and ``rendered`` to the columns ``keep`` (default: all but the transcript)."""
     runtime.prepare(transcripts.sparkSession)
     names = [c for c in (transcripts.columns if keep is None else keep) if c not in ("turns", "rendered") and (keep is not None or c != column)]
-    src = transcripts.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{column}`").alias("__t"))
+    src = transcripts.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{column}`").alias(runtime.fresh(names)))
     schema = transcripts.select(*[F.col(f"`{c}`") for c in names]).schema.add("turns", T.ArrayType(_TURN)).add("rendered", "string")
     kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
