@@ -115,5 +115,6 @@ def fitted(rows: DataFrame, extract: Extract, bits: int, fit: Callable[[list[tup
                 xs += [(f[a:b].astype(np.int32), v[a:b].copy() if weighted else np.broadcast_to(one, b - a)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([fit(xs, np.array(ys, np.int64), 1 << bits).astype(np.float32).tobytes()], pa.binary())], ["w"])
 
-    got = rows.repartition(1).mapInArrow(train, "w binary").collect()  # one row
+    # in one order whatever the order of arrival, so that a run can be repeated
+    got = rows.repartition(1).sortWithinPartitions("text", "y").mapInArrow(train, "w binary").collect()  # one row
     return np.frombuffer(bytes(got[0]["w"]), np.float32) if got else np.zeros(0, np.float32)
