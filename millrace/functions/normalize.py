@@ -49,7 +49,11 @@ def norm_field(name: str, c: Column) -> Column:
 
 def absent(name: str, c: Column) -> Column:
     """For scoring: normalised first; null, the empty set, and "unknown" in any text are absent."""
-    v = norm_field(name, c)
+    return absent_normalised(name, norm_field(name, c))
+
+
+def absent_normalised(name: str, v: Column) -> Column:
+    """The same for a value that is normalised."""
     if name in schema.SETS:
         return F.size(v) == 0
     if name in schema.FLOATS + schema.INTEGERS:

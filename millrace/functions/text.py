@@ -36,16 +36,18 @@ def decoded(s: pd.Series) -> pd.Series:
 
 def tidy(c: Column) -> Column:
     """All of cleaning but the decoding: tags (only if a known one occurs), line ends, trailing and surplus blanks."""
-    c = F.when(c.rlike(HAS_TAG), F.regexp_replace(c, "<[^>]+>", " ")).otherwise(c)
+    c = F.when(c.contains("<") & c.rlike(HAS_TAG), F.regexp_replace(c, "<[^>]+>", " ")).otherwise(c)
     c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    c = F.regexp_replace(c, r"(?Umd)[\s&&[^\n]]+$", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"(?U)^\s+", ""), r"(?U)\s+\z", "")
+    c = F.regexp_replace(c, r"(?Umd)(?<![\s&&[^\n]])[\s&&[^\n]]+$", "")
+    c = F.when(c.contains("\n\n\n"), F.regexp_replace(c, r"\n{3,}", "\n\n")).otherwise(c)
+    return F.regexp_replace(F.regexp_replace(c, r"(?U)\A\s+", ""), r"(?U)(?<!\s)\s+\z", "")
 
 
 def clean(c: Column) -> Column:
     """Cleans a text. Only texts that could change by decoding visit Python."""
-    plain = ~(c.contains("&") | c.rlike(r"[^\x{00}-\x{7f}]"))
-    return tidy(F.when(plain, c).otherwise(decoded(c)))
+    # Latin letters with accents are as NFKC leaves them; the function gets nulls for the texts that need no decoding
+    plain = ~(c.contains("&") | c.rlike(r"[^\x{00}-\x{7f}\x{c0}-\x{ff}]"))
+    return tidy(F.when(plain, c).otherwise(decoded(F.when(~plain, c))))
 
 
 def date_shaped(c: Column) -> Column:

@@ -10,9 +10,8 @@ from millrace.errors import none_of
 from millrace.functions import cost, normalize
 
 
-def field_counts(name: str, gold: Column, pred: Column, valid: Column) -> Column:
-    """tp, fp, fn, em and support of one field of one document."""
-    g, p = normalize.norm_field(name, gold), normalize.norm_field(name, pred)
+def field_counts(name: str, g: Column, p: Column, valid: Column) -> Column:
+    """tp, fp, fn, em and support of one field of one document, from normalised values."""
     if name in schema.SETS:
         ng, both = F.size(g), F.size(F.array_intersect(g, p))
         np_ = F.size(p)
@@ -20,7 +19,7 @@ def field_counts(name: str, gold: Column, pred: Column, valid: Column) -> Column
         em = ((fp == 0) & (fn == 0)).cast("int")
         miss_fn = ng
     else:
-        ag, ap = normalize.absent(name, gold), normalize.absent(name, pred)
+        ag, ap = normalize.absent_normalised(name, g), normalize.absent_normalised(name, p)
         same = F.coalesce(g == p, F.lit(False))
         if name in schema.FLOATS + schema.INTEGERS:
             same &= ~F.coalesce(F.isnan(g), F.lit(False))
@@ -43,7 +42,9 @@ def joined(gold: DataFrame, predictions: DataFrame) -> DataFrame:
 def per_field(pairs: DataFrame) -> DataFrame:
     """Counts, precision, recall, F1 and exact match of each field. Fields are long only after they have been summed wide."""
     parts = ("tp", "fp", "fn", "em", "support")
-    per_doc = pairs.select("valid", *[field_counts(f, F.col(f"g.{f}"), F.col(f"p.{f}"), F.col("valid")).alias(f) for f in schema.FIELDS])
+    # each value is normalised once, in a projection of its own
+    plain = pairs.select("valid", *[normalize.norm_field(f, F.col(f"{s}.{f}")).alias(f"{s}__{f}") for f in schema.FIELDS for s in "gp"])
+    per_doc = plain.select("valid", *[field_counts(f, F.col(f"g__{f}"), F.col(f"p__{f}"), F.col("valid")).alias(f) for f in schema.FIELDS])
     sums = per_doc.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"{f}.{c}"), F.lit(0)).alias(f"{f}__{c}") for f in schema.FIELDS for c in parts])
     long = sums.select("n", F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), *[F.col(f"{f}__{c}").alias(c) for c in parts]) for i, f in enumerate(schema.FIELDS)])).alias("s")).select("n", "s.*")
     p, r = cost.ratio(F.col("tp"), F.col("tp") + F.col("fp")), cost.ratio(F.col("tp"), F.col("tp") + F.col("fn"))
