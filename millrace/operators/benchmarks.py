@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import cost
+
 
 def latency_summary(samples: DataFrame, by: str, value: str = "ms") -> DataFrame:
     """n, p50, p95, mean, min, max and sample deviation (0 for one sample) of each group."""
@@ -32,6 +34,16 @@ def index_build(timings: DataFrame) -> DataFrame:
     return timings.groupBy("arm").agg((F.max(F.when(F.col("ord") == 0, F.col("ms"))) + F.greatest(F.lit(0.0), first - rest)).alias("build_ms"))
 
 
+def teacher_summary(calls: DataFrame) -> DataFrame:
+    """Calls ``(ok, ms, input_tokens, output_tokens, model)``: failed ones are counted and left out of everything else; cost is at standard rates."""
+    ok = F.col("ok")
+    of = lambda c: F.when(ok, c)
+    usd = F.sum(of(cost.cost(F.col("input_tokens"), F.col("output_tokens"), F.col("model"))))
+    p50 = F.expr("percentile_disc(0.5) within group (order by case when ok then ms end)")
+    out = calls.agg(F.count_if(ok).alias("n_calls_ok"), F.count_if(~ok).alias("n_calls_failed"), p50.alias("p50_ms"), F.avg(of(F.col("input_tokens"))).alias("mean_prompt_tokens"), F.avg(of(F.col("output_tokens"))).alias("mean_completion_tokens"), usd.alias("total_usd"))
+    return out.withColumn("cost_per_1k_docs_usd", F.try_divide("total_usd", "n_calls_ok") * 1000.0).withColumn("throughput_docs_per_s", F.coalesce(F.try_divide(F.lit(1000.0), "p50_ms"), F.lit(0.0)))
+
+
 def latest_checkpoint(paths: DataFrame) -> DataFrame:
     """The path with the highest step number; others are ignored."""
     step = F.regexp_extract("path", r"checkpoint-(\d+)$", 1).try_cast("bigint")

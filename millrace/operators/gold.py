@@ -28,6 +28,13 @@ def stratum(length: Column) -> Column:
     return out
 
 
+def rendered(name: str, value: Column) -> Column:
+    """A value as a reviewer sees it: null, an empty list and the word unknown all look different."""
+    if name in schema.SETS:
+        return F.when(value.isNull(), "null").when(F.size(value) == 0, "[]").otherwise(F.array_join(value, ", "))
+    return F.coalesce(value.cast("string"), F.lit("null"))
+
+
 def quotas(counts: DataFrame, n: int) -> DataFrame:
     """Largest-remainder seats for ``counts (stratum, c)``: ties go to the last label. Doubles in this order of operations, on purpose."""
     total = F.sum("c").over(Window.partitionBy())
@@ -93,6 +100,28 @@ def agreement(final: DataFrame, candidates: DataFrame) -> DataFrame:
     return long.groupBy("ord", "field").agg((F.sum("same") / F.count("*")).alias("agreement"))
 
 
+def agreement_warnings(agreed: DataFrame) -> DataFrame:
+    """Fields whose agreement is below the floor, by name."""
+    return agreed.where(F.col("agreement") < LEAST_AGREEMENT).select("field", "agreement").orderBy("field")
+
+
+def least_agreed(agreed: DataFrame, n: int = 3) -> DataFrame:
+    """The n fields of least agreement, ties by name."""
+    return agreed.select("field", "agreement").orderBy("agreement", "field").limit(n)
+
+
+def review_queue(rows: DataFrame, queue: DataFrame, states: DataFrame) -> DataFrame:
+    """The rows that ``queue (doc_id, ord)`` names and that have no decision yet, with ``ord`` to be sorted by."""
+    decided = states.where("status is not null").select("doc_id")
+    return rows.join(queue.select("doc_id", "ord"), "doc_id").join(decided, "doc_id", "left_anti")
+
+
+def first_unreviewed(candidates: DataFrame, states: DataFrame) -> DataFrame:
+    """Where a resumed review goes on: the smallest id without a decision, and how many have none."""
+    left = candidates.select("doc_id").join(states.where("status is not null").select("doc_id"), "doc_id", "left_anti")
+    return left.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("left"))
+
+
 def hints(rows: DataFrame, document: str = "text") -> DataFrame:
     """The fields of a row that deserve a look: values not in the text, salaries the wrong way round, too many years, odd dates."""
     t = F.coalesce(normalize.norm_str(F.col(document)), F.lit(""))

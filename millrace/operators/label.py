@@ -11,6 +11,8 @@ from millrace.errors import ContractError
 from millrace.functions import cost, extract, normalize
 
 CAPS = {"train": 5000, "dev": 300}
+OUTCOMES = ("ok", "schema_invalid", "parse_failed", "api_error")
+MOST_FAILED = 0.2
 BATCH_ROWS, LEAST_OK, MOST_ENUM_SHARE, MOST_EMPTY_SKILLS = 500, 200, 0.95, 0.5
 
 
@@ -136,5 +138,40 @@ def terminal(status: Column, incomplete: Column) -> Column:
 
 
 def capacity_error(message: Column) -> Column:
+    """Whether a batch failed because too many tokens are queued: a token limit, or anything enqueued."""
     m = F.lower(message)
-    return m.contains("token_limit") | m.contains("enqueued token") | m.contains("rate limit") | m.contains("quota")
+    return (m.contains("token") & m.contains("limit")) | m.contains("enqueued")
+
+
+def missing(batch_ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """``batch_ids (batch, doc_ids array)`` as ``(batch, doc_id)`` of the ids without a usable row."""
+    sent = batch_ids.select("batch", F.explode("doc_ids").alias("doc_id"))
+    return sent.join(rows.where("ok").select("doc_id"), "doc_id", "left_anti").select("batch", "doc_id")
+
+
+def account(rows: DataFrame) -> DataFrame:
+    """Tokens and dollars of result rows, at batch rates; rows without usage count as none."""
+    i, o = F.coalesce(F.col("usage.input_tokens"), F.lit(0)), F.coalesce(F.col("usage.output_tokens"), F.lit(0))
+    return rows.agg(F.coalesce(F.sum(i), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum(o), F.lit(0)).alias("tokens_out"), F.coalesce(F.sum(cost.batch_cost(i, o, F.col("teacher_model"))), F.lit(0.0)).alias("usd"))
+
+
+def buckets(classified: DataFrame) -> DataFrame:
+    """Rows of each outcome, zeros kept. They add up to the rows requested, since each row has one outcome; ``check_buckets`` says so."""
+    return classified.agg(F.count("*").alias("n_requested"), *[F.count_if(F.col("outcome") == b).alias(f"n_{b}") for b in OUTCOMES])
+
+
+def check_buckets(counts: DataFrame) -> None:
+    r = counts.first()
+    if sum(r[f"n_{b}"] for b in OUTCOMES) != r["n_requested"]:
+        raise ContractError("the outcomes do not add up to the rows requested")
+
+
+def retry_round(classified: DataFrame) -> DataFrame:
+    """The ids worth one more round: lost calls and output that did not parse. A wrong shape is deterministic and stays as it is."""
+    return classified.where(F.col("outcome").isin("parse_failed", "api_error")).select("doc_id")
+
+
+def failing(counts: DataFrame) -> DataFrame:
+    """The share of rows that a retry round would take, and whether it is so large that the prompt is at fault."""
+    share = cost.ratio(F.col("n_parse_failed") + F.col("n_api_error"), F.col("n_requested"))
+    return counts.select(share.alias("share"), (share > MOST_FAILED).alias("prompt_at_fault"))

@@ -53,6 +53,11 @@ def training_example(messages: Column, posting: Column, end: str) -> Column:
     return F.concat(prompt, F.lit("<|assistant|>\n"), compact_json(posting), F.lit(end))
 
 
+def in_gold_order(done: DataFrame, gold: DataFrame, order: str = "ord") -> DataFrame:
+    """The records of gold's ids with gold's place, by which they are to be written."""
+    return gold.select("doc_id", order).join(done, "doc_id")
+
+
 def pick_exemplars(rows: DataFrame, covers: dict[str, Column], n: int, key: str = "doc_id", text: str = "text") -> list:
     """Greedy: each round takes the row that adds most predicates, ties by hash of the key. n small jobs over one mask column."""
     mask = sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(covers.values())), F.lit(0)).alias("mask")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace import schema
+from millrace.errors import ContractError
 from millrace.functions import cost
 
 DASH = "—"
@@ -30,6 +31,28 @@ def show(value: float | None, kind: str) -> str:
     return FORMATS[kind] % (value * 100 if kind == "pct1" else int(value) if kind == "int0" else value)
 
 
+def shown(value: Column, kind: str) -> Column:
+    """``show`` for a column: exact halves may round differently, so what is published is rendered by ``show``."""
+    v = value.cast("double")
+    text = v.cast("bigint").cast("string") if kind == "int0" else F.format_string(FORMATS[kind], v * 100 if kind == "pct1" else v)
+    return F.when(v.isNull(), DASH).otherwise(text)
+
+
+def score_facts(scores: DataFrame, names: tuple[str, ...] = ("em", "f1", "precision", "recall")) -> DataFrame:
+    """Scores ``(arm, field, ...)`` as facts ``(key, value, text)``, keys being arm, per_field, field and name joined by two underscores."""
+    value = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names]))
+    long = scores.select("arm", "field", value.alias("x"))
+    return long.select(F.concat_ws("__", "arm", F.lit("per_field"), "field", "x.name").alias("key"), F.col("x.value").alias("value"), F.lit(None).cast("string").alias("text"))
+
+
+def rendered(template: str, facts: dict[str, str]) -> str:
+    """The template with its placeholders filled; one without a fact is an error."""
+    gone = sorted(set(placeholders(template)) - set(facts))
+    if gone:
+        raise ContractError("placeholders without a fact", len(gone), gone[:10])
+    return re.sub(r"\{\{\s*(\w+)\s*\}\}", lambda m: facts[m[1]], template)
+
+
 def kind_of(key: str, value: float) -> str:
     return KINDS.get(key.rsplit("__", 1)[-1], "int0" if isinstance(value, int) else "f3")
 

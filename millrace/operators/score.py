@@ -51,6 +51,18 @@ def per_field(pairs: DataFrame) -> DataFrame:
     return long.withColumn("precision", p).withColumn("recall", r).withColumn("f1", cost.f1(F.col("precision"), F.col("recall"))).withColumn("em_rate", cost.ratio(F.col("em"), F.col("n")))
 
 
+def merged(parts: DataFrame) -> DataFrame:
+    """Counts of the same fields from several runs or shards as one: counts add up, ratios are worked out anew."""
+    sums = parts.groupBy("ord", "field").agg(*[F.sum(c).alias(c) for c in ("n", "tp", "fp", "fn", "em", "support")])
+    p, r = cost.ratio(F.col("tp"), F.col("tp") + F.col("fp")), cost.ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    return sums.withColumn("precision", p).withColumn("recall", r).withColumn("f1", cost.f1(F.col("precision"), F.col("recall"))).withColumn("em_rate", cost.ratio(F.col("em"), F.col("n")))
+
+
+def compared(headers: DataFrame) -> DataFrame:
+    """Arms by macro F1, best first; equal ones keep the order of ``ord``."""
+    return headers.orderBy(F.desc("macro_f1"), "ord")
+
+
 def macro_f1(fields: DataFrame) -> DataFrame:
     """The mean of the unrounded F1s, added up in the fields' order."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "f1"))), lambda x: x["f1"])

@@ -330,7 +330,6 @@ QUERIES = {
     "m1_m2_t10_messages": (messages, "SELECT doc_id, 6::BIGINT AS n, md5('system:sys|user:u1|assistant:a1|user:u2|assistant:a2|user:' || substr(text, 1, 6000)) AS digest FROM documents"),
     "m2_conversation_prompts": (few_shot, "SELECT conv_id, count(*) AS n, md5(string_agg(role || ':' || text, '|' ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY 1"),
     "j9_m5_targets": (targets, _TARGET),
-    "j2_j6_records": (records, None),
     "jn9_resume": (resume, "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0"),
     "a19_prediction_summary": (prediction_summary, "SELECT count(*) FILTER (doc_id % 9 <> 0) AS n_valid, count(*) FILTER (doc_id % 9 = 0) AS n_invalid, count(*) FILTER (n_chars >= 1024) AS n_truncated, sum(least(n_chars, 1024))::DOUBLE / count(*) AS mean_tokens FROM documents"),
     "a20_o9_stride_lengths": (stride, "WITH s AS (SELECT n_chars FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) WHERE r % 7 = 0 AND r < 700) SELECT quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, max(n_chars) AS max FROM s"),

@@ -6,7 +6,7 @@ import json
 import os
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,4 +76,13 @@ def parse_batch_sizes(text: str) -> list[int]:
         if not part.isdigit() or int(part) <= 0:
             raise ContractError(f"not a positive whole number: {part!r}")
         out.add(int(part))
+    if not out:
+        raise ContractError("no batch sizes")
     return sorted(out)
+
+
+def batch_sizes(text: Column) -> Column:
+    """The same for a column; a part that is not a positive whole number, or no part at all, gives null."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+    bad = F.exists(parts, lambda p: ~p.rlike("^[0-9]{1,9}$") | p.rlike("^0+$"))
+    return F.when(~bad & (F.size(parts) > 0), F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.try_to_number(p, F.lit("999999999")).cast("int")))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace import schema
 from millrace.errors import ContractError
 from millrace.functions import cost, extract, identity, normalize, text
-from millrace.operators import benchmarks, curate, gold, label, predict, report, score
+from millrace.operators import benchmarks, curate, gold, label, predict, report, score, waves
 from millrace.sources import files
 from millrace.streaming import replay
 
@@ -216,3 +216,62 @@ def test_leakage_guard(spark):
     gold.assert_no_leakage(a, b.where("doc_id >= 20"))
     with pytest.raises(ContractError):
         label.guard_spend(26.0)
+
+
+def test_capacity_errors(spark):
+    cases = {"Enqueued token limit": True, "token count over its LIMIT": True, "enqueued": True, "rate limit": False, "quota": False, "token": False}
+    for text_, want in cases.items():
+        assert one(spark, label.capacity_error(F.col("m")), m=text_) is want
+
+
+def test_batch_sizes_of_columns(spark):
+    assert one(spark, files.batch_sizes(F.col("v")), v=" 8, 1,,8 ") == [1, 8]
+    assert one(spark, files.batch_sizes(F.col("v")), v="0,1") is None and one(spark, files.batch_sizes(F.col("v")), v=" , ") is None
+    with pytest.raises(ContractError):
+        files.parse_batch_sizes(" , ")
+
+
+def test_rendering(spark):
+    assert report.rendered("{{ a }}-{{b}}", {"a": "1", "b": "2"}) == "1-2"
+    with pytest.raises(ContractError):
+        report.rendered("{{ a }}", {})
+    assert one(spark, report.shown(F.col("v"), "signed3"), v="-0.05") == "-0.050" and one(spark, report.shown(F.col("v"), "int0"), v="7.9") == "7"
+    assert one(spark, gold.rendered("required_skills", F.col("v")), v=[]) == "[]" and one(spark, gold.rendered("required_skills", F.col("v")), v=["a", "b"]) == "a, b"
+
+
+def test_wave_is_bounded_and_requeues():
+    flying, most, log, sent = set(), [], [], {}
+
+    def submit(batch):
+        flying.add(batch["tag"])
+        most.append(len(flying))
+        sent[batch["tag"]] = batch["doc_ids"]
+        return batch["tag"]
+
+    def harvest(batch_id):
+        flying.remove(batch_id)
+        return ["b0"] if batch_id in ("t0", "t0-requeue1") else []
+
+    batches = [{"tag": f"t{i}", "doc_ids": [f"b{i}"]} for i in range(7)]
+    done = waves.run_wave(batches, submit, harvest, lambda b, state: log.append((b["tag"], state)))
+    assert max(most) == 4 and len(done) == 9 and sent["t0-requeue1"] == ["b0"]
+    assert log[0] == ("t0", "intent") and log[1] == ("t0", "t0")
+    with pytest.raises(ContractError):
+        waves.run_wave(batches, submit, lambda i: flying.discard(i) or ["x"], lambda *_: None)
+
+
+def test_retry_and_ledger():
+    calls, slept = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise TimeoutError
+        return "ok"
+
+    assert waves.with_retry(flaky, lambda e: isinstance(e, TimeoutError), slept.append) == "ok" and slept == [4.0, 16.0]
+    with pytest.raises(KeyError):
+        waves.with_retry(lambda: {}["x"], lambda e: False, slept.append)
+    waves.consistent([{"tag": "a", "model": "m", "prompt_sha": "s"}], "m", "s")
+    with pytest.raises(ContractError):
+        waves.consistent([{"tag": "a", "model": "m", "prompt_sha": "old"}], "m", "s")
