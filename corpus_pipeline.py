@@ -18,16 +18,17 @@ from millrace.llm.queries import PSEUDONYM_KEY
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weights = ordinal.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = ordinal.severity(docs, weights, score="__severity")
-    return scored.where(F.col("__severity") < ordinal.CUT).select(*docs.columns)
+    score = runtime.fresh(docs.columns, "__severity")
+    return ordinal.severity(docs, weights, score=score).where(F.col(score) < ordinal.CUT).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of one id are one document and stay or go together; rows without an id stay."""
     groups = setjoin.jaccard_join(docs, k=5, num=4, den=5)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    name = runtime.fresh(docs.columns, "__gone")
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
     gone = runtime.Workspace(spark).keep(gone, "gone")
-    return docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs.doc_id == gone[name], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

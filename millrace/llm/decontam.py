@@ -186,8 +186,10 @@ def containment(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 4, den
 def clean(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that contain an item. Rows with a null key are kept."""
     ws = runtime.Workspace(docs.sparkSession)
-    hit = ws.keep(containment(docs, items, k, num, den, key, text).select(F.col("doc_id").alias("__hit")).where("__hit is not null").distinct(), "hits")
-    return docs.join(hit, docs[key] == F.col("__hit"), "left_anti")
+    found = containment(docs, items, k, num, den, key, text).where("doc_id is not null")
+    gone = runtime.fresh(docs.columns, "__hit")
+    hit = ws.keep(found.select(F.col("doc_id").alias(gone)).distinct(), "hits")
+    return docs.join(hit, docs[f"`{key}`"] == hit[gone], "left_anti")
 
 
 #: The same in DuckDB; items have five words or more in the given tables.

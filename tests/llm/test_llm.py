@@ -376,6 +376,16 @@ def test_pipeline(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()) == sorted(ids)
 
 
+def test_stages_keep_columns_with_odd_names(spark, docs):
+    import corpus_pipeline
+
+    clash = docs.withColumn("__hit", F.col("doc_id")).withColumn("__gone", F.col("doc_id")).withColumn("__severity", F.lit(9.0))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, clash, SF).columns == clash.columns, name
+        assert stage(spark, clash, SF).count() == stage(spark, docs, SF).count(), name
+        assert stage(spark, clash.limit(0), SF).count() == 0, name
+
+
 def test_novelty_is_marginal():
     assert secrets.novelty("abc abc abc abc ", 4, 7) < secrets.novelty("abc Q9z abc abc ", 4, 7) + 1e-9
     assert string.ascii_letters
