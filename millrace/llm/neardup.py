@@ -2,7 +2,8 @@
 
 Only vectors of one label meet. Equal vectors of a label are one class from the start, with its size; hashing,
 candidates and links are between classes, and ``n_links`` counts the vectors behind them, so copies are never expanded.
-The number of sign bits of a table follows the number of vectors (about ``PER_BUCKET`` of a label to a bucket), and the
+The number of sign bits of a table follows the number of classes in the label of an average class (about ``PER_BUCKET`` to a
+bucket), so that a label with a large share of all vectors counts by its own size however many small labels there are, and the
 number of tables follows from the bits: as many as leave a pair at the threshold unfound with a probability of at most
 ``MISS``; closer pairs are missed less. Candidate pairs of all tables are made distinct and verified by the cosine in
 double precision, so there is no link below the threshold. Buckets have no cap.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm import runtime
 
 PER_BUCKET, MISS = 8, 2e-4
-LEAST_BITS, MOST_BITS = 8, 24
+LEAST_BITS, MOST_BITS = 8, 30
 
 
 def tables_for(rows_per_label: float, threshold: float) -> tuple[int, int]:
@@ -58,8 +59,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     held = ws.keep(ids.select("vec_id", "sig"), "ids")
     classes = ws.keep(
         ids.where("sig is not null").groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("c", F.xxhash64("sig")), "classes")
-    told = classes.agg(F.count("*").alias("n"), F.countDistinct("label").alias("l")).first()
-    bits, tables = tables_for(told["n"] / max(1, told["l"]), threshold)
+    told = classes.groupBy("label").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("square"), F.sum("n").alias("n")).first()
+    bits, tables = tables_for((told["square"] or 0.0) / (told["n"] or 1.0), threshold)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
