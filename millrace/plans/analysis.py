@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -145,22 +147,22 @@ def spread(spark: S, d: str) -> DataFrame:
 _SWEEP = "SELECT user_id % 40 AS ord, 'a' || CAST(user_id % 5 AS STRING) AS arm, 1 + user_id % 40 AS batch_size, CAST(event_id % 17 AS DOUBLE) + 1 AS throughput, event_id % 11 = 0 AS oom FROM events WHERE event_id < 200"
 
 
-def _sweep(spark: S, d: str) -> DataFrame:
-    return spark.sql(_SWEEP.replace("FROM events", "FROM {e}"), e=table(spark, d, "events")).groupBy("arm", "ord", "batch_size").agg(F.max("throughput").alias("throughput"), F.max("oom").alias("oom"))
+def _sweep(spark: S, d: str, within: str = "event_id < 200") -> DataFrame:
+    return spark.sql(_SWEEP.replace("event_id < 200", within).replace("FROM events", "FROM {e}"), e=table(spark, d, "events")).groupBy("arm", "ord", "batch_size").agg(F.max("throughput").alias("throughput"), F.max("oom").alias("oom"))
 
 
 _SWEPT = f"w AS (SELECT arm, ord, batch_size, max(throughput) AS throughput, bool_or(oom) AS oom FROM ({_SWEEP}) GROUP BY 1, 2, 3)"
 
 
-def best_rows(spark: S, d: str) -> DataFrame:
-    return benchmarks.best_rows(_sweep(spark, d))
+def best_rows(spark: S, d: str, within: str = "event_id < 200") -> DataFrame:
+    return benchmarks.best_rows(_sweep(spark, d, within))
 
 
 _BEST = f"WITH {_SWEPT}, u AS (SELECT *, row_number() OVER (PARTITION BY arm, oom ORDER BY throughput DESC, ord) AS r FROM w) SELECT arm, max(batch_size) FILTER (r = 1 AND NOT oom) AS fastest_batch, max(throughput) FILTER (NOT oom) AS throughput, max(batch_size) FILTER (NOT oom) AS largest_batch FROM u GROUP BY 1"
 
 
-def unit_costs(spark: S, d: str) -> DataFrame:
-    r = table(spark, d, "events").where("event_id < 2000")
+def unit_costs(spark: S, d: str, within: str = "event_id < 2000") -> DataFrame:
+    r = table(spark, d, "events").where(within)
     thr = (F.col("event_id") % 50 + 1).cast("double") / 100
     return r.select("event_id", cost.cost_per_1k(thr, F.lit(0.35)).alias("usd"), cost.whole_batches(F.col("event_id"), F.lit(8)).alias("whole"), cost.implausible(F.col("value"), F.col("event_id") % 60).alias("implausible"), cost.effective_batch(F.lit(2), F.col("event_id") % 3, F.lit(8)).cast("bigint").alias("effective"))
 
@@ -171,16 +173,16 @@ SELECT event_id, 1000.0::DOUBLE / ((event_id % 50 + 1)::DOUBLE / 100) / 3600.0::
 """
 
 
-def median_pass(spark: S, d: str) -> DataFrame:
-    p = table(spark, d, "events").where("event_id < 1500").select(F.col("event_type").alias("arm"), F.col("event_id").alias("ord"), F.col("value").alias("p50"))
+def median_pass(spark: S, d: str, within: str = "event_id < 1500") -> DataFrame:
+    p = table(spark, d, "events").where(within).select(F.col("event_type").alias("arm"), F.col("event_id").alias("ord"), F.col("value").alias("p50"))
     return benchmarks.median_pass(p)
 
 
 _MEDPASS = "WITH p AS (SELECT event_type AS arm, event_id AS ord, value AS p50 FROM events WHERE event_id < 1500), m AS (SELECT arm, median(p50) AS med FROM p GROUP BY 1), r AS (SELECT arm, ord, row_number() OVER (PARTITION BY arm ORDER BY abs(p50 - med), ord) AS r FROM p JOIN m USING (arm)) SELECT arm, ord FROM r WHERE r = 1"
 
 
-def index_build(spark: S, d: str) -> DataFrame:
-    t = table(spark, d, "events").where("event_id < 1000").select((F.col("event_id") % 10).cast("string").alias("arm"), F.floor(F.col("event_id") / 10).alias("ord"), F.col("value").alias("ms"))
+def index_build(spark: S, d: str, within: str = "event_id < 1000") -> DataFrame:
+    t = table(spark, d, "events").where(within).select((F.col("event_id") % 10).cast("string").alias("arm"), F.floor(F.col("event_id") / 10).alias("ord"), F.col("value").alias("ms"))
     return benchmarks.index_build(t)
 
 
@@ -204,12 +206,12 @@ def _arms(spark: S) -> DataFrame:
     return spark.createDataFrame(list(enumerate(schema.ARMS)), "ord int, arm string")
 
 
-def headline(spark: S, d: str) -> DataFrame:
+def headline(spark: S, d: str, within: str = "doc_id < 100") -> DataFrame:
     docs = table(spark, d, "documents").where("doc_id % 5 <> 3")
     arm = F.element_at(F.array(*map(F.lit, schema.ARMS)), (F.col("doc_id") % 5 + 1).cast("int"))
     metrics = docs.groupBy(arm.alias("arm")).agg((F.count_if(F.col("n_chars") > 2000) / F.count("*")).alias("macro_f1"))
     bench = docs.where("doc_id % 5 <> 1").groupBy(arm.alias("arm")).agg(F.max("n_chars").cast("double").alias("p50_ms"), F.lit(0.35).alias("hourly"))
-    sweep = docs.where("doc_id % 5 in (0, 2) and doc_id < 100").select(arm.alias("arm"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("batch_size"), (F.col("n_chars") % 50 + 1).cast("double").alias("throughput"), (F.col("n_chars") % 3 == 0).alias("oom"))
+    sweep = docs.where(f"doc_id % 5 in (0, 2) and {within}").select(arm.alias("arm"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("batch_size"), (F.col("n_chars") % 50 + 1).cast("double").alias("throughput"), (F.col("n_chars") % 3 == 0).alias("oom"))
     return report.headline(_arms(spark), metrics, bench, sweep)
 
 
@@ -232,8 +234,8 @@ def field_pivot(spark: S, d: str) -> DataFrame:
 _PIVOT = _with_v(_score_sql(_PRED, "field, support, em_rate AS lora_ft_em, f1 AS lora_ft_f1, em_rate AS teacher_em, f1 / 2 AS teacher_f1, CAST(NULL AS DOUBLE) AS base_fewshot_f1, CASE WHEN support < 30 THEN 'low-n' END AS flag, rank() OVER (ORDER BY f1, field) AS place FROM z"))
 
 
-def sweep_marks(spark: S, d: str) -> DataFrame:
-    rows = _sweep(spark, d)
+def sweep_marks(spark: S, d: str, within: str = "event_id < 200") -> DataFrame:
+    rows = _sweep(spark, d, within)
     files = rows.groupBy("arm").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "batch_size", "throughput", "oom"))), lambda x: F.struct(x["batch_size"].alias("batch_size"), x["throughput"].alias("throughput"), x["oom"].alias("oom"))).alias("sweep"))
     return report.sweep_rows(files).select("arm", "batch_size", "mark")
 
@@ -355,3 +357,12 @@ QUERIES = {
     "s6_s7_column_inference": (column_inference, "SELECT 'text' AS text_column, 'doc_id' AS key_column"),
     "c10_st6_projection": (projected_spend, _PROJECTED),
 }
+
+#: The bounded queries once more over whole tables.
+QUERIES |= {
+    f"{name}_all": (partial(QUERIES[name][0], within="true"), QUERIES[name][1].replace(bound, "true"))
+    for name, bound in (
+        ("a21_best_rows", "event_id < 200"), ("r3_fl10_sweep", "event_id < 200"), ("c4_c5_c7_c8_unit_costs", "event_id < 2000"),
+        ("a17_median_pass", "event_id < 1500"), ("a25_index_build", "event_id < 1000"), ("r1_jn12_headline", "doc_id < 100"),
+    )
+}

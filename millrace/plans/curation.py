@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -218,10 +220,10 @@ def batched(spark: S, d: str) -> DataFrame:
 _BATCHED = f"WITH b AS (SELECT {_ID} AS doc_id FROM documents), n AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch FROM b) SELECT batch::BIGINT AS batch, count(*) AS n, sha256(string_agg(doc_id, ',' ORDER BY doc_id)) AS docs_sha FROM n GROUP BY 1"
 
 
-def adopted(spark: S, d: str) -> DataFrame:
+def adopted(spark: S, d: str, within: str = "doc_id < 60") -> DataFrame:
     docs = table(spark, d, "documents")
     mine = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("tag"), (F.col("doc_id") % 40).cast("string").alias("input_file_id"), F.md5(F.col("source").cast("binary")).alias("docs_sha"))
-    there = docs.where("doc_id < 60").select(F.concat(F.lit("b"), "doc_id").alias("batch_id"), F.col("doc_id").alias("ord"), (F.col("doc_id") % 70).cast("string").alias("input_file_id"), F.md5(F.col("source").cast("binary")).alias("docs_sha"))
+    there = docs.where(within).select(F.concat(F.lit("b"), "doc_id").alias("batch_id"), F.col("doc_id").alias("ord"), (F.col("doc_id") % 70).cast("string").alias("input_file_id"), F.md5(F.col("source").cast("binary")).alias("docs_sha"))
     return label.adopt(mine, there)
 
 
@@ -261,8 +263,8 @@ SELECT s.doc_id, status, verified_at, edits FROM s LEFT JOIN m USING (doc_id)
 """
 
 
-def review_counts(spark: S, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_id < 300").select(F.col("doc_id").cast("string"))
+def review_counts(spark: S, d: str, within: str = "doc_id < 300") -> DataFrame:
+    docs = table(spark, d, "documents").where(within).select(F.col("doc_id").cast("string"))
     return gold.review_counts(gold.replay(fx.log(spark, d)), docs)
 
 
@@ -393,3 +395,9 @@ QUERIES = {
     "jn5_x3_leakage": (leakage, "SELECT doc_id FROM documents WHERE doc_id % 10 = 0 AND doc_id % 15 = 0"),
     "a14_length_bins": (length_bins, _BINS),
 }
+
+#: The bounded queries once more over whole tables.
+QUERIES |= {
+    f"{name}_all": (partial(QUERIES[name][0], within="true"), QUERIES[name][1].replace(bound, "true"))
+    for name, bound in (("a12_review_counts", "doc_id < 300"), ("jn16_adopt_batches", "doc_id < 60"))
+}

@@ -1,5 +1,7 @@
 """Every registered query with SQL gives the SQL's rows at the smallest scale; the others run."""
 
+import re
+
 import compare
 import pytest
 
@@ -27,3 +29,11 @@ def test_flagship(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 16
+
+
+def test_whole_tables(spark):
+    events, docs = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("events", "documents"))
+    q, sql = catalog.queries(), catalog.oracle_sql()
+    assert not [n for n in q if n.endswith("_all") and re.search(r"(event|doc)_id < \d", sql[n])]
+    assert q["c4_c5_c7_c8_unit_costs_all"](spark, SF).count() == events
+    assert q["a12_review_counts_all"](spark, SF).first()["candidates"] == docs
