@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, neardup, ordinal, pseudonyms, quality, queries, runtime, secrets, setjoin, sharding, transcript
+from millrace.llm import bpe, decontam, features, neardup, ordinal, pseudonyms, quality, queries, runtime, secrets, setjoin, sharding, transcript
 from millrace.llm import textkernel as tk
 
 SF = "/root/testdata/sf0.001"
@@ -389,3 +389,10 @@ def test_stages_keep_columns_with_odd_names(spark, docs):
 def test_novelty_is_marginal():
     assert secrets.novelty("abc abc abc abc ", 4, 7) < secrets.novelty("abc Q9z abc abc ", 4, 7) + 1e-9
     assert string.ascii_letters
+
+
+def test_training_samples_are_not_cut(spark):
+    labels = spark.range(20_500).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic", "cast(id % 2 as int) as quality")
+    docs = labels.selectExpr("doc_id", "'w' || doc_id as text")
+    assert features.sample(docs, labels, "toxic", ordinal.SAMPLE).count() == 20_000
+    assert features.sample(docs, labels, "quality", quality.SAMPLE).count() == 12_000
