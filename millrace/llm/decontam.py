@@ -5,7 +5,9 @@ with a factor of ``STEP`` from one partition to the next; for a partition with u
 windows of 3U shingles, U apart, so a passage of up to 2U shingles lies whole in a window whose similarity to an item
 that it contains is bounded from below whatever the document's length. A window and an item with one of ``HASHES``
 MinHash values in common are a candidate: at a containment of 0.8 and the least favourable sizes a pair is missed with
-a probability below 1e-3, for whole copies below 1e-7. Candidates are verified by exact containment, the share of the
+a probability below 1e-3, for whole copies below 1e-7 (simulated: at most 7e-6 and 8e-8). Windows are too wide for items
+of up to ``EXACT`` shingles; these are looked up by their rarest shingles, so many that a match holds one of them, and
+none is missed. Candidates are verified by exact containment, the share of the
 item's distinct shingles that are in the document.
 
 Items are a stated query set, taken in blocks of at most ``BLOCK_ITEMS`` items, each matched against all documents in
@@ -31,6 +33,8 @@ from millrace.llm import runtime
 from millrace.llm import textkernel as tk
 
 HASHES, STEP, LEAST_U = 48, 1.5, 8
+#: Items of up to so many shingles are found by the shingles themselves.
+EXACT = 16
 BLOCK_ITEMS = 10_000
 #: Mean bytes of an item that a block's size is planned for.
 ITEM_BYTES = 4096
@@ -44,7 +48,7 @@ _LAST = np.uint64((1 << 64) - 1)
 class Items:
     """A block of items: shingle sets, MinHash values by partition, and the sequences of items of fewer than k words."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], k: int) -> None:
+    def __init__(self, ids: list[int], texts: list[str | None], k: int, num: int = 4, den: int = 5) -> None:
         data, offsets = tk.raw(pa.array(texts, pa.string()))
         words = tk.Words(data, offsets, tk.ALNUM)
         lengths = np.diff(words.of)
@@ -56,12 +60,16 @@ class Items:
         self.seeds = [np.uint64((0x9E3779B97F4A7C15 * (h + 1)) & ((1 << 64) - 1)) for h in range(HASHES)]
         self.factors = [tk.mix(np.array([h + 1], np.uint64))[0] | np.uint64(1) for h in range(HASHES)]
         by_u: dict[int, list[int]] = {}
+        few = [i for i, s in enumerate(sets) if lengths[i] >= k and len(s) <= EXACT]
+        self.keys, self.keyed = self._keys(few, num, den)
+        self.key_mask = np.zeros(1 << MASK_BITS, bool)
+        self.key_mask[self.keys >> _MASK_SHIFT] = True
         for i, s in enumerate(sets):
             if 0 < lengths[i] < k:
                 seq = words.hashes[words.of[i] : words.of[i + 1]]
                 run = int(tk.shingles(seq, len(seq))[0]) if len(seq) > 1 else int(seq[0])
                 self.short.setdefault(len(seq), {}).setdefault(run, []).append(i)
-            elif len(s):
+            elif len(s) > EXACT:
                 u = LEAST_U
                 while u < len(s):
                     u = int(np.ceil(u * STEP / GRAIN) * GRAIN)
@@ -69,6 +77,21 @@ class Items:
         #: for each partition and hash: the sorted values and the items they belong to
         self.parts = {u: [self._sorted(members, h) for h in range(HASHES)] for u, members in by_u.items()}
 
+    def _keys(self, members: list[int], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted shingles and their items: of each item so many, those in the fewest items first, that a match holds one of them."""
+        if not members:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        names, times = np.unique(np.concatenate([self.sets[i] for i in members]), return_counts=True)
+        keys = []
+        for i in members:
+            s = self.sets[i]
+            least = max(1, -(-num * len(s) // den))
+            keys.append(s[np.argsort(times[np.searchsorted(names, s)], kind="stable")[: max(0, len(s) - least + 1)]])
+        of = np.repeat(members, [len(x) for x in keys])
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        return every[order], of[order]
+
     def _sorted(self, members: list[int], h: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         v = np.array([((self.sets[i] ^ self.seeds[h]) * self.factors[h]).min() for i in members], np.uint64)
         order = np.argsort(v, kind="stable")
@@ -94,6 +117,12 @@ def matches(words: tk.Words, items: Items) -> Iterator[tuple[int, int, int]]:
     begin = np.minimum(words.of[:-1], len(every))
     spans = np.stack([begin, np.maximum(begin, words.of[1:] - k + 1)], 1)
     found: dict[int, set[int]] = {}
+    if len(items.keys) and len(every):
+        at = np.flatnonzero(items.key_mask[every >> _MASK_SHIFT])
+        lo, hi = (np.searchsorted(items.keys, every[at], side) for side in ("left", "right"))
+        text = np.searchsorted(words.of, at, "right") - 1
+        for j in np.flatnonzero((hi > lo) & (at + k <= words.of[text + 1])).tolist():
+            found.setdefault(int(text[j]), set()).update(items.keyed[lo[j] : hi[j]].tolist())
     if items.parts and len(every):
         number = -(-(spans[:, 1] - spans[:, 0]) // GRAIN)
         first = np.concatenate([[0], np.cumsum(number)])
@@ -160,7 +189,7 @@ def containment(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 4, den
     out = None
     for b in range(blocks):
         rows = q.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id").collect()  # one block
-        told = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], k))
+        told = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], k, num, den))
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             block = told.value

@@ -396,3 +396,14 @@ def test_training_samples_are_not_cut(spark):
     docs = labels.selectExpr("doc_id", "'w' || doc_id as text")
     assert features.sample(docs, labels, "toxic", ordinal.SAMPLE).count() == 20_000
     assert features.sample(docs, labels, "quality", quality.SAMPLE).count() == 12_000
+
+
+def test_short_items_in_long_documents(spark):
+    rng = np.random.default_rng(4)
+    items = [(i, " ".join(f"i{i}x{j}" for j in range(5 + i % 6))) for i in range(300)]
+    docs = [(i, " ".join([*(f"d{x}" for x in rng.integers(10**6, size=rng.integers(60, 400))), text, *(f"d{x}" for x in rng.integers(10**6, size=300))])) for i, text in items]
+    q, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.containment(df, q).collect()} == {(i, i) for i, _ in items}
+    edited = df.withColumn("text", F.regexp_replace("text", r"(i\d+x)0", "$1changed"))
+    long = {(i, i) for i, text in items if len(text.split()) >= 9}
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.containment(edited, q).collect()} == long
