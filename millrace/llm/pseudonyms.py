@@ -7,9 +7,10 @@ so equal values stay equal across documents and distinct ones distinct. What cou
 * e-mail addresses: letters and digits of the local part are permuted within their classes, the domain stays;
 * IPv4 addresses with four octets of 0 to 255: two halves of 16 bits;
 * payment card numbers of 13 to 19 digits, with single blanks or hyphens, that pass the Luhn check: all digits but the
-  last are permuted, the check digit is worked out anew, so pseudonyms pass the check too;
+  last are permuted, the check digit is worked out anew, so pseudonyms pass the check too; of a run of groups that is
+  none, parts of it that are card-shaped, runs being taken in pieces of at most 76 digits;
 * telephone numbers (+1 (555) 555-5555, +49 30 1234567, 555-555-5555) and US social security numbers: digits but a
-  country code are permuted, separators stay;
+  country code are permuted, separators stay; numbers of +1 have ten further digits, others end before another value;
 * dates YYYY-MM-DD, YYYY/MM/DD, DD.MM.YYYY, DD/MM/YYYY, DD-MM-YYYY of 1900 to 2099 that exist in the calendar: these
   73,049 days are 17 * 4,297, so the network works on two digits of these radices and each pseudonym is such a date.
 
@@ -30,8 +31,13 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])"
 DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2(?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|-[0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: What a further group of a telephone number may not be the beginning of: another value.
+_OTHER = rf"{IPV4}|(?<![0-9./-])(?:(?:19|20)[0-9]{{2}}(?:-[0-9]{{2}}-|/[0-9]{{2}}/)[0-9]{{2}}|[0-9]{{2}}(?:-[0-9]{{2}}-|/[0-9]{{2}}/|\.[0-9]{{2}}\.)(?:19|20)[0-9]{{2}})(?![0-9]|[./-][0-9])|{SSN}"
+PHONE = rf"(?<![0-9+])\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}(?![0-9])|(?<![0-9+])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})(?:[ .-]?(?!{_OTHER})[0-9]{{2,4}}){{2,4}}(?![0-9])|" r"(?<![0-9-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|-[0-9])"
+#: A run of groups of digits; the card numbers in it are found by ``_card``.
+CARD = rf"(?<![0-9])[0-9](?:[0-9]|[ -](?!{_OTHER})[0-9]){{12,75}}(?![0-9])"
+#: Lengths of the groups that a card number is looked for in if the run as a whole is none.
+CARD_GROUPS = "^([0-9]+|4-4-4-4|4-4-4-4-3|4-6-5|4-6-4)$"
 KINDS = {"email": EMAIL, "ipv4": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
 _NAMED = [(name, rx.replace(r"\1", r"\k<a>").replace("([-/])", "(?<a>[-/])").replace(r"\2", r"\k<b>").replace("([-/.])", "(?<b>[-/.])")) for name, rx in KINDS.items()]
 ANY = "|".join(f"(?:{rx})" for _, rx in _NAMED)
@@ -136,13 +142,47 @@ def _ipv4(m: Column, key: str) -> Column:
     )
 
 
+def _is_card(digits: Column) -> Column:
+    return luhn_digit(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.right(digits, F.lit(1))
+
+
 def _card(m: Column, key: str) -> Column:
-    def run(d: Column) -> Column:
-        body = F.substr(d, F.lit(1), F.length(d) - 1)
-        new = _let(permute_text(body, key, "card"), lambda p: _refill(m, F.concat(p, luhn_digit(p))))
-        return F.when(luhn_digit(body) == F.substr(d, F.length(d), F.lit(1)), new).otherwise(m)
+    """The card numbers of a run of groups replaced: from each group on the most groups that 19 digits hold, then card-shaped shorter ones."""
+
+    def new(shape: Column, d: Column) -> Column:
+        return _let(permute_text(F.substr(d, F.lit(1), F.length(d) - 1), key, "card"), lambda p: _refill(shape, F.concat(p, luhn_digit(p))))
+
+    def run(x: Column) -> Column:
+        groups, seps = x["groups"], x["seps"]
+        n = F.size(groups)
+
+        def option(i: Column, j: Column) -> Column:
+            part = F.slice(groups, i + 1, j - i + 1)
+            shape = F.array_join(F.transform(part, lambda g, k: F.concat(F.when(k == 0, "").otherwise(F.coalesce(F.get(seps, i + k - 1), F.lit(""))), g)), "")
+            return F.struct(j.alias("j"), F.array_join(part, "").alias("d"), shape.alias("shape"), F.array_join(F.transform(part, lambda g: F.length(g).cast("string")), "-").alias("lengths"))
+
+        def step(acc: Column, i: Column) -> Column:
+            fits = F.filter(F.transform(F.sequence(i, F.least(i + 18, n - 1)), lambda j: option(i, j)), lambda o: F.length(o["d"]).between(13, 19))
+
+            def chosen(f: Column) -> Column:
+                most = F.try_element_at(f, F.lit(-1))["j"]
+                whole = lambda o: (acc["start"] == i) & (o["j"] == most)
+                good = F.filter(f, lambda o: (whole(o) | (o["lengths"].rlike(CARD_GROUPS) & o["d"].rlike("^[2-6]"))) & _is_card(o["d"]))
+                return _let(F.struct(F.try_element_at(good, F.lit(-1)).alias("o"), most.alias("most")), put)
+
+            def put(c: Column) -> Column:
+                o, sep = c["o"], F.when(i == 0, "").otherwise(F.coalesce(F.get(seps, i - 1), F.lit("")))
+                after = F.coalesce(o["j"] + 1, i + 1)
+                start = F.when(o.isNotNull(), after).when(acc["start"] == i, F.coalesce(c["most"] + 1, i + 1)).otherwise(acc["start"])
+                text = F.when(o.isNotNull(), new(o["shape"], o["d"])).otherwise(F.get(groups, i))
+                return F.struct(F.concat(acc["out"], sep, text).alias("out"), after.alias("next"), start.alias("start"))
+
+            return F.when(i < acc["next"], acc).otherwise(_let(fits, chosen))
+
+        zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("next"), F.lit(0).alias("start"))
+        return F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda a: a["out"])
 
-    return _let(_digits(m), run)
+    return _let(F.struct(F.split(m, "[ -]").alias("groups"), F.regexp_extract_all(m, F.lit("[ -]"), F.lit(0)).alias("seps")), run)
 
 
 def _numbers(m: Column, key: str, kind: str) -> Column:
@@ -177,7 +217,7 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(kind(IPV4), _ipv4(m, key))
         .when(kind(DATE), _date(m, key))
         .when(kind(SSN), _numbers(m, key, "ssn"))
-        .when(kind(CARD) & (luhn_digit(F.regexp_replace(F.regexp_replace(m, "[^0-9]", ""), ".$", "")) == F.right(m, F.lit(1))), _card(m, key))
+        .when(kind(CARD), _card(m, key))
         .when(kind(PHONE), _phone(m, key))
         .otherwise(m)
     )

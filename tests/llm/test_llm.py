@@ -407,3 +407,13 @@ def test_short_items_in_long_documents(spark):
     edited = df.withColumn("text", F.regexp_replace("text", r"(i\d+x)0", "$1changed"))
     long = {(i, i) for i, text in items if len(text.split()) >= 9}
     assert {(r["doc_id"], r["item_id"]) for r in decontam.containment(edited, q).collect()} == long
+
+
+def test_pseudonyms_of_neighbours(spark):
+    phone, ip, card, other, date = "+1 (826) 555-4081", "190.137.223.204", "4111 1111 1111 1111", "5500005555555559", "2024-05-01"
+    texts = [phone, ip, card, other, date, card.replace(" ", ""), f"{phone} {ip}", f"{card} 123", f"{other} 12", f"2024 {card}", f"{card} {ip}", f"{card} {other}", f"+49 30 1234567 {date}", "+49 30 1234567", f"{phone} 2024"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pseudonyms.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    p, i, c, o, d, plain = got[:6]
+    assert all(a != b for a, b in zip(got[:6], texts, strict=False)) and c.replace(" ", "") == plain
+    assert got[6:] == [f"{p} {i}", f"{c} 123", f"{o} 12", f"2024 {c}", f"{c} {i}", f"{c} {o}", f"{got[13]} {d}", got[13], f"{p} 2024"]
