@@ -417,3 +417,11 @@ def test_pseudonyms_of_neighbours(spark):
     p, i, c, o, d, plain = got[:6]
     assert all(a != b for a, b in zip(got[:6], texts, strict=False)) and c.replace(" ", "") == plain
     assert got[6:] == [f"{p} {i}", f"{c} 123", f"{o} 12", f"2024 {c}", f"{c} {i}", f"{c} {o}", f"{got[13]} {d}", got[13], f"{p} 2024"]
+
+
+def test_novel_secrets_without_digits_or_letters():
+    for key in ("ZxKqLwVbNTyRPmEhGdSfUcJa", "90718264_53528194736"):
+        text = f"The credential for the service client is {key} and nothing else"
+        assert [text[s:e] for s, _, e in secrets.novel_spans(text, secrets.base_spans(text))] == [key]
+    text = "The credential for the service client is authentication_service_manager and ----------------"
+    assert not secrets.novel_spans(text, [])
