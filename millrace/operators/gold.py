@@ -145,10 +145,15 @@ def hints(rows: DataFrame, document: str = "text") -> DataFrame:
     return rows.withColumn("low", out)
 
 
+def leaked(held_out: DataFrame, other: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The held-out rows whose key occurs in the other table."""
+    return held_out.join(other.select(key), key, "left_semi")
+
+
 def assert_no_leakage(held_out: DataFrame, *others: DataFrame, key: str = "doc_id") -> None:
     """No held-out id may occur in any of the other tables."""
     for other in others:
-        none_of(held_out.join(other.select(key), key, "left_semi"), key, "held-out ids occur elsewhere")
+        none_of(leaked(held_out, other, key), key, "held-out ids occur elsewhere")
 
 
 def finalize(states: DataFrame, candidates: DataFrame, n: int) -> DataFrame:

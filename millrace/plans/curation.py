@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -296,9 +296,9 @@ SELECT coalesce(median(g), 0)::DOUBLE AS median_s FROM (SELECT epoch(t) - lag(ep
 """
 
 
-def agreement(spark: S, d: str) -> DataFrame:
+def agreement(spark: S, d: str, within: str = "doc_id % 2 = 0") -> DataFrame:
     cand = fx.predictions(spark, d).where("schema_valid").select("doc_id", "parsed.*")
-    return gold.agreement(fx.gold(spark, d).where("doc_id % 2 = 0"), cand)
+    return gold.agreement(fx.gold(spark, d).where(within), cand)
 
 
 def _same(f: str) -> str:
@@ -348,6 +348,26 @@ def leakage(spark: S, d: str) -> DataFrame:
     return docs.where("doc_id % 10 = 0").select("doc_id").join(docs.where("doc_id % 15 = 0").select("doc_id"), "doc_id", "left_semi")
 
 
+_SPLITS = ("eval_pool", "dev", "train")
+
+
+def split_leakage(spark: S, d: str) -> DataFrame:
+    """Held-out documents of the splits whose id or text occurs in a later split."""
+    docs = table(spark, d, "documents").select(identity.doc_id(F.col("source"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    parts = [docs.where(identity.split(F.col("doc_id")) == name) for name in _SPLITS]
+    pairs = [(i, j, key) for i in range(len(parts)) for j in range(i + 1, len(parts)) for key in ("doc_id", "text")]
+    return reduce(DataFrame.unionAll, [gold.leaked(parts[i], parts[j], key=key).select("doc_id", F.lit(_SPLITS[i]).alias("held_out"), F.lit(_SPLITS[j]).alias("other"), F.lit(key).alias("by")) for i, j, key in pairs])
+
+
+_SPLIT_LEAKS = f"""
+WITH b AS (SELECT {_ID} AS doc_id, text FROM documents), s AS (SELECT *, ('0x' || substr(sha256(doc_id), 1, 8))::BIGINT % 100 AS b FROM b),
+t AS (SELECT doc_id, text, CASE WHEN b < 5 THEN 0 WHEN b < 10 THEN 1 ELSE 2 END AS n, CASE WHEN b < 5 THEN 'eval_pool' WHEN b < 10 THEN 'dev' ELSE 'train' END AS split FROM s),
+i AS (SELECT DISTINCT doc_id AS k, n, split FROM t), x AS (SELECT DISTINCT text AS k, n, split FROM t)
+SELECT t.doc_id, t.split AS held_out, i.split AS other, 'doc_id' AS "by" FROM t JOIN i ON i.k = t.doc_id AND t.n < i.n
+UNION ALL SELECT t.doc_id, t.split, x.split, 'text' FROM t JOIN x ON x.k = t.text AND t.n < x.n
+"""
+
+
 def length_bins(spark: S, d: str) -> DataFrame:
     labels = spark.createDataFrame([(b,) for b in gold.LABELS], "stratum string")
     got = table(spark, d, "documents").groupBy(gold.stratum(F.length("text")).alias("stratum")).agg(F.count("*").alias("n"))
@@ -399,5 +419,5 @@ QUERIES = {
 #: The bounded queries once more over whole tables.
 QUERIES |= {
     f"{name}_all": (partial(QUERIES[name][0], within="true"), QUERIES[name][1].replace(bound, "true"))
-    for name, bound in (("a12_review_counts", "doc_id < 300"), ("jn16_adopt_batches", "doc_id < 60"))
-}
+    for name, bound in (("a12_review_counts", "doc_id < 300"), ("jn16_adopt_batches", "doc_id < 60"), ("jn10_agreement", "doc_id % 2 = 0"))
+} | {"jn5_x3_leakage_all": (split_leakage, _SPLIT_LEAKS)}

@@ -37,3 +37,13 @@ def test_whole_tables(spark):
     assert not [n for n in q if n.endswith("_all") and re.search(r"(event|doc)_id < \d", sql[n])]
     assert q["c4_c5_c7_c8_unit_costs_all"](spark, SF).count() == events
     assert q["a12_review_counts_all"](spark, SF).first()["candidates"] == docs
+
+
+def test_leakage_uses_the_operator(spark, monkeypatch):
+    from millrace.operators import gold
+
+    q, sql = catalog.queries(), catalog.oracle_sql()
+    assert "%" not in sql["jn10_agreement_all"].split("FROM gold g JOIN pred p")[1].split(")")[0]
+    assert {r["by"] for r in q["jn5_x3_leakage_all"](spark, SF).collect()} == {"text"}, "copies stand in several splits, ids in one"
+    monkeypatch.setattr(gold, "leaked", lambda held_out, other, key="doc_id": held_out.limit(0))
+    assert compare.differ(q["jn5_x3_leakage_all"](spark, SF), sql["jn5_x3_leakage_all"], compare.duck(SF)) != ""
