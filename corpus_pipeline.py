@@ -41,7 +41,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(docs, keep=["doc_id", "lang", "source"])
+    return bpe.encode_decode(docs, full=True, keep=["doc_id", "lang", "source"])
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -425,3 +425,10 @@ def test_novel_secrets_without_digits_or_letters():
         assert [text[s:e] for s, _, e in secrets.novel_spans(text, secrets.base_spans(text))] == [key]
     text = "The credential for the service client is authentication_service_manager and ----------------"
     assert not secrets.novel_spans(text, [])
+
+
+def test_pipeline_returns_ids_and_text(spark, docs):
+    import corpus_pipeline
+
+    row = corpus_pipeline.tokens(spark, docs.limit(1), SF).first()
+    assert len(row["ids"]) == row["n_tokens"] > 0 and row["decoded"]
