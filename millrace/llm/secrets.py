@@ -36,7 +36,9 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 SENSITIVE = ("password", "passwd", "secret", "token", "apikey", "api_key", "credential", "private_key", "access_key", "auth_key", "bearer ")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.I | re.A)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+_REST = re.compile(r"[A-Za-z0-9+/_=-]*")
 #: How far behind a sensitive word a candidate may begin, and how much text around it primes the compressor.
 REACH, AROUND = 64, 2048
 NOVELTY = 0.42
@@ -83,11 +85,12 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     if not any(w in low for w in SENSITIVE):
         return []
     found: dict[tuple[int, int], None] = {}
+    began, ended = 0, 0  # the last string found, which later words may stand in
     for m in _SENSITIVE.finditer(text):
-        for cand in _CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + REACH + 4096)):
-            if cand.start() > m.end() + REACH:
-                break
-            found[cand.span()] = None
+        for cand in _CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + REACH + LEAST)):
+            if not began <= cand.start() < ended:
+                began, ended = cand.start(), _REST.match(text, cand.end()).end()
+            found[cand.start(), ended] = None
     out = []
     for s, e in found:
         word = text[s:e]

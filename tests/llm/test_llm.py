@@ -427,6 +427,14 @@ def test_novel_secrets_without_digits_or_letters():
     assert not secrets.novel_spans(text, [])
 
 
+def test_long_novel_secrets_are_whole():
+    rng = np.random.default_rng(3)
+    key = "".join(rng.choice(list(string.ascii_letters + string.digits), 9000))
+    text = f"credential, or bearer {key} and then 'private_key' {key[:40]}"
+    assert [(s, e) for s, _, e in secrets.novel_spans(text, [])][0] == (22, 9022)
+    assert {e for s, _, e in secrets.novel_spans(text, []) if s == 22} == {9022}
+
+
 def test_pipeline_returns_ids_and_text(spark, docs):
     import corpus_pipeline
 
