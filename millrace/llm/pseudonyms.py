@@ -4,36 +4,50 @@ Found values are replaced by a keyed permutation of their own format, a Feistel
 of key, round and the other half. A permutation never maps two values to one, and it depends on nothing but the value,
 so equal values stay equal across documents and distinct ones distinct. What counts as a value is validated first:
 
-* e-mail addresses: letters and digits of the local part are permuted within their classes, the domain stays;
+* e-mail addresses: letters and digits of the local part are permuted within their classes, the domain stays; both may be
+  of any length (directly behind another value, with no character between, a local part has up to 1,024 characters);
 * IPv4 addresses with four octets of 0 to 255: two halves of 16 bits;
 * payment card numbers of 13 to 19 digits, with single blanks or hyphens, that pass the Luhn check: all digits but the
   last are permuted, the check digit is worked out anew, so pseudonyms pass the check too; of a run of groups that is
   none, parts of it that are card-shaped, runs being taken in pieces of at most 76 digits;
-* telephone numbers (+1 (555) 555-5555, +49 30 1234567, 555-555-5555) and US social security numbers: digits but a
-  country code are permuted, separators stay; numbers of +1 have ten further digits, others end before another value;
+* telephone numbers with a country code (+1 (555) 555-5555, +49 30 1234567): digits but the code are permuted, separators
+  stay; numbers of +1 have ten further digits, others end before another value. Without a code (555-555-5555,
+  555.555.5555, 555 555 5555, (555) 555-5555) the area code must be 200 to 999 and is so in the pseudonym;
+* US social security numbers: areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999, pseudonyms alike;
 * dates YYYY-MM-DD, YYYY/MM/DD, DD.MM.YYYY, DD/MM/YYYY, DD-MM-YYYY of 1900 to 2099 that exist in the calendar: these
   73,049 days are 17 * 4,297, so the network works on two digits of these radices and each pseudonym is such a date.
+  What is no date that way but is one with the month first (12/31/1999) gets another of that kind, by permuting until
+  the day is past the 12th.
 
-Anything else stays as it is. Null text stays null, empty text empty; texts of any length are handled whole. Further
-columns pass through.
+Anything else stays as it is, dates with one-digit days or months among it. Null text stays null, empty text empty; texts
+of any length are handled whole: repeated parts of unbounded length are matched possessively, which needs no stack, and
+only from their beginning, which keeps the search linear. An empty table gives an empty one, repeated rows repeated
+pseudonyms. Further columns pass through.
+
+The key comes from the session (``KEY_SETTING``) or the environment (``KEY_VARIABLE``). It is a literal of the plan, so
+event logs are as secret as the key unless ``spark.redaction.string.regex`` covers it.
 """
 
 from __future__ import annotations
 
+import os
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 6
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+KEY_SETTING, KEY_VARIABLE = "spark.millrace.pseudonym.key", "MILLRACE_PSEUDONYM_KEY"
+_LOCAL = "[A-Za-z0-9._%+-]"
+EMAIL = rf"(?:(?<!{_LOCAL}){_LOCAL}++|\G{_LOCAL}{{1,1024}}+)@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])"
 DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2(?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
+SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9]|-[0-9])"
 #: What a further group of a telephone number may not be the beginning of: another value.
 _OTHER = rf"{IPV4}|(?<![0-9./-])(?:(?:19|20)[0-9]{{2}}(?:-[0-9]{{2}}-|/[0-9]{{2}}/)[0-9]{{2}}|[0-9]{{2}}(?:-[0-9]{{2}}-|/[0-9]{{2}}/|\.[0-9]{{2}}\.)(?:19|20)[0-9]{{2}})(?![0-9]|[./-][0-9])|{SSN}"
-PHONE = rf"(?<![0-9+])\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}(?![0-9])|(?<![0-9+])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})(?:[ .-]?(?!{_OTHER})[0-9]{{2,4}}){{2,4}}(?![0-9])|" r"(?<![0-9-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|-[0-9])"
+PHONE = rf"(?<![0-9+])\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}(?![0-9])|(?<![0-9+])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)|[0-9]{{1,4}})(?:[ .-]?(?!{_OTHER})[0-9]{{2,4}}){{2,4}}(?![0-9])|" r"(?<![0-9-])(?:\([2-9][0-9]{2}\) ?[0-9]{3}[ .-]|[2-9][0-9]{2}[.-][0-9]{3}[.-]|[2-9][0-9]{2} [0-9]{3} )[0-9]{4}(?![0-9]|-[0-9])"
 #: A run of groups of digits; the card numbers in it are found by ``_card``.
 CARD = rf"(?<![0-9])[0-9](?:[0-9]|[ -](?!{_OTHER})[0-9]){{12,75}}(?![0-9])"
 #: Lengths of the groups that a card number is looked for in if the run as a whole is none.
@@ -189,24 +203,64 @@ def _numbers(m: Column, key: str, kind: str) -> Column:
     return _refill(m, permute_text(_digits(m), key, kind))
 
 
+def _part(digits: Column, at: int, n: int) -> Column:
+    return F.substring(digits, at, n).cast("bigint")
+
+
+def _padded(number: Column, n: int) -> Column:
+    return F.lpad(number.cast("string"), n, "0")
+
+
+def _ssn(m: Column, key: str) -> Column:
+    """Areas and, as one number, groups and serials are counted without those that do not exist."""
+
+    def run(d: Column) -> Column:
+        area = _part(d, 1, 3) - F.when(_part(d, 1, 3) > 666, 2).otherwise(1)
+        return permute_pair(area, (_part(d, 4, 2) - 1) * 9999 + _part(d, 6, 4) - 1, 898, 99 * 9999, key, "ssn")
+
+    def put(p: Column) -> Column:
+        area = p["a"] + F.when(p["a"] >= 665, 2).otherwise(1)
+        return F.concat_ws("-", _padded(area, 3), _padded(F.floor(p["b"] / 9999) + 1, 2), _padded(F.pmod(p["b"], F.lit(9999)) + 1, 4))
+
+    return _let(_let(_digits(m), run), put)
+
+
 def _phone(m: Column, key: str) -> Column:
     code = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9])?(.*)$", 1)
-    return F.concat(code, _numbers(F.substr(m, F.length(code) + 1, F.length(m)), key, "phone"))
+    far = F.concat(code, _numbers(F.substr(m, F.length(code) + 1, F.length(m)), key, "phone"))
+    pair = _let(_digits(m), lambda d: permute_pair(_part(d, 1, 3) - 200, _part(d, 4, 7), 800, 10**7, key, "phone"))
+    near = _let(pair, lambda p: _refill(m, F.concat(_padded(p["a"] + 200, 3), _padded(p["b"], 7))))
+    return F.when(m.startswith("+"), far).otherwise(near)
+
+
+#: Permutations of a date until its day is past the 12th: 60 % are after each, so more are never needed.
+WALK = 100
 
 
 def _date(m: Column, key: str) -> Column:
+    first = F.lit("1900-01-01").cast("date")
     iso = m.rlike("^[0-9]{4}")
     sep = F.when(iso, F.substring(m, 5, 1)).otherwise(F.substring(m, 3, 1))
-    text = F.when(iso, F.concat_ws("-", F.substring(m, 1, 4), F.substring(m, 6, 2), F.substring(m, 9, 2))).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
-    day = F.datediff(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"), F.lit("1900-01-01").cast("date"))
+    nth = lambda y, mm, d: F.datediff(F.try_to_timestamp(F.concat_ws("-", F.substring(m, y, 4), F.substring(m, mm, 2), F.substring(m, d, 2)), F.lit("yyyy-MM-dd")).cast("date"), first)
+    found = F.struct(F.when(iso, nth(1, 6, 9)).otherwise(nth(7, 4, 1)).alias("usual"), F.when(~iso, nth(7, 1, 4)).alias("month_first"))
 
-    def run(n: Column) -> Column:
-        p = permute_pair(F.floor(n / 4297), F.pmod(n, F.lit(4297)), 17, 4297, key, "date")
-        new = _let(p, lambda x: F.date_add(F.lit("1900-01-01").cast("date"), (x["a"] * 4297 + x["b"]).cast("int")).cast("string"))
-        parts = _let(new, lambda d: F.split(d, "-"))
-        return F.when(n.isNull(), m).otherwise(_let(parts, lambda q: F.when(iso, F.array_join(q, "\u0000")).otherwise(F.array_join(F.reverse(q), "\u0000"))))
+    def other(n: Column) -> Column:
+        return _let(permute_pair(F.floor(n / 4297), F.pmod(n, F.lit(4297)), 17, 4297, key, "date"), lambda p: p["a"] * 4297 + p["b"])
 
-    return F.replace(_let(day, run), F.lit("\u0000"), sep)
+    def late(n: Column) -> Column:
+        step = lambda acc: _let(other(acc["n"]), lambda p: F.struct(p.alias("n"), (F.dayofmonth(F.date_add(first, p.cast("int"))) > 12).alias("done")))
+        start = F.struct(n.cast("bigint").alias("n"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda acc, _: F.when(acc["done"], acc).otherwise(step(acc)), lambda x: x["n"])
+
+    def run(x: Column) -> Column:
+        new = F.when(x["usual"].isNotNull(), other(x["usual"])).when(x["month_first"].isNotNull(), late(x["month_first"]))
+        return _let(_let(new, lambda n: F.split(F.date_add(first, n.cast("int")).cast("string"), "-")), lambda q: put(x, q))
+
+    def put(x: Column, q: Column) -> Column:
+        order = F.when(iso, q).when(x["usual"].isNotNull(), F.reverse(q)).otherwise(F.array(F.get(q, 1), F.get(q, 2), F.get(q, 0)))
+        return F.when(q.isNull(), m).otherwise(F.replace(F.array_join(order, "|"), F.lit("|"), sep))
+
+    return _let(found, run)
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -216,13 +270,22 @@ def pseudonym(m: Column, key: str) -> Column:
         F.when(kind(EMAIL), _email(m, key))
         .when(kind(IPV4), _ipv4(m, key))
         .when(kind(DATE), _date(m, key))
-        .when(kind(SSN), _numbers(m, key, "ssn"))
+        .when(kind(SSN), _ssn(m, key))
         .when(kind(CARD), _card(m, key))
         .when(kind(PHONE), _phone(m, key))
         .otherwise(m)
     )
 
 
+def key_of(spark: SparkSession) -> str:
+    """The configured key. Without one a random key is made for this session, so runs of other sessions give other pseudonyms."""
+    key = spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """Replaces the values in the text column; ``found``, if named, becomes the number of values replaced."""
     t = F.col(f"`{text}`")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, neardup, ordinal, pseudonyms, quality, secrets, setjoin, sharding, transcript
 
-#: Production parameters. The pseudonym key is a secret of the deployment; this one serves the tests.
+#: Production parameters.
 PSEUDONYM_KEY = "rotate-me"
 SHARDS = [1.0] * 16
 
@@ -62,7 +62,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY, found="n_replaced")
+    return pseudonyms.pseudonymise(docs, pseudonyms.key_of(spark), found="n_replaced")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
