@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontam, ordinal, pseudonyms, runtime, setjoin
-from millrace.llm.queries import PSEUDONYM_KEY
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
+    out = pseudonyms.pseudonymise(docs, pseudonyms.key_of(spark))
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
