@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from millrace.llm import bpe, decontam, neardup, ordinal, pseudonyms, quality, secrets, setjoin, sharding, transcript
 
 #: Production parameters.
-PSEUDONYM_KEY = "rotate-me"
 SHARDS = [1.0] * 16
 
 
