@@ -6,27 +6,34 @@ The number of sign bits of a table follows the number of classes in the label of
 bucket), so that a label with a large share of all vectors counts by its own size however many small labels there are, and the
 number of tables follows from the bits: as many as leave a pair at the threshold unfound with a probability of at most
 ``MISS``; closer pairs are missed less. Candidate pairs of all tables are made distinct and verified by the cosine in
-double precision, so there is no link below the threshold. Buckets have no cap.
+double precision, so there is no link below the threshold. Vectors are first scaled by a power of two to components of
+about 1 at most, which changes no cosine and keeps sums of squares finite and above zero for all finite doubles. Buckets
+have no cap: one of over ``SPLIT`` classes is cut into parts, and each pair of parts is a join key of its own.
 
 A vector that is null, empty, zero or holds null or non-finite numbers, and one whose label is null, links with nothing
-and is its own component; so are vectors of different lengths among each other. Rows that share an id are one vector to
-components, links are counted for each. A null id has a null component. Further columns are not read.
+and is its own component; vectors of different lengths do not link with each other. Rows that share an id are vectors of
+their own. A row without an id counts as a vector for links; its component is the smallest id that its links lead to, null
+if they lead to none, and it is not kept. An empty table gives an empty one. Further columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import runtime
 
 PER_BUCKET, MISS = 8, 2e-4
 LEAST_BITS, MOST_BITS = 8, 30
+#: Classes of a bucket that one join key holds.
+SPLIT = 2048
 
 
 def tables_for(rows_per_label: float, threshold: float) -> tuple[int, int]:
@@ -44,6 +51,28 @@ def codes(vectors: list[np.ndarray], bits: int, tables: int, seed: int = 1) -> n
     return sign @ (1 << np.arange(bits, dtype=np.int64))
 
 
+def scaled(v: Column) -> Column:
+    """The vector times a power of two, in two exact steps, so that its largest component is about 1; minus zero is zero."""
+    exponent = F.floor(F.log2(F.array_max(F.transform(v, F.abs))))
+    half = F.floor(exponent / 2)
+    by = lambda x, e: x * F.pow(F.lit(2.0), -e)
+    return F.transform(v, lambda x: by(by(x, half), exponent - half) + 0.0)
+
+
+def split_pairs(dealt: DataFrame) -> DataFrame:
+    """Distinct ``(p, q)``, p < q, of the classes that share a bucket in some table. ``dealt (c, label, code, dim)``."""
+    key = ["label", "code", "dim"]
+    hot = dealt.groupBy(*key).agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    part = F.pmod(F.xxhash64("c"), parts).cast("int")
+    held = dealt.join(hot, key, "left").select(*key, "c", part.alias("part"), parts.alias("parts"))
+    x = held.select(*key, "c", F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j")).alias("x")
+    y = held.select(*key, "c", F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j")).alias("y")
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in (*key, "i", "j")]
+    pairs = x.join(y, reduce(and_, same) & ((F.col("x.i") < F.col("x.j")) | (F.col("x.c") < F.col("y.c"))))
+    return pairs.select(F.least("x.c", "y.c").alias("p"), F.greatest("x.c", "y.c").alias("q")).distinct()
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row."""
     spark = vectors.sparkSession
@@ -53,12 +82,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     src = vectors.select(F.col(f"`{key}`").alias("vec_id"), F.col(f"`{label}`").alias("label"), v.alias("v"))
     finite = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     some = F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    flat = F.transform("v", lambda x: x + 0.0)  # minus zero is zero
-    rows = src.select("vec_id", "label", F.when(finite & some & F.col("label").isNotNull(), flat).alias("v"))
+    rows = src.select("vec_id", "label", F.when(finite & some & F.col("label").isNotNull(), scaled(F.col("v"))).alias("v"))
     ids = rows.select("vec_id", "label", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("label", "v")).cast("binary"), 256)).alias("sig"), "v")
     held = ws.keep(ids.select("vec_id", "sig"), "ids")
-    classes = ws.keep(
-        ids.where("sig is not null").groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("c", F.xxhash64("sig")), "classes")
+    grouped = ids.where("sig is not null").groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = ws.keep(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
     told = classes.groupBy("label").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("square"), F.sum("n").alias("n")).first()
     bits, tables = tables_for((told["square"] or 0.0) / (told["n"] or 1.0), threshold)
 
@@ -74,15 +102,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
 
     kind = classes.schema["label"].dataType.simpleString()
     dealt = ws.keep(classes.select("c", "label", "v").mapInArrow(hashed, f"c bigint, label {kind}, code bigint, dim bigint"), "codes")
-    x, y = dealt.alias("x"), dealt.alias("y")
-    same = (F.col("x.label") == F.col("y.label")) & (F.col("x.code") == F.col("y.code")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.c") < F.col("y.c"))
-    pairs = x.join(y, same).select(F.col("x.c").alias("p"), F.col("y.c").alias("q")).distinct()
+    pairs = split_pairs(dealt)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))
     unit = classes.select("c", "v", norm.alias("norm"))
     left = pairs.join(unit.select(F.col("c").alias("p"), F.col("v").alias("pv"), F.col("norm").alias("pn")), "p")
     both = left.join(unit.select(F.col("c").alias("q"), F.col("v").alias("qv"), F.col("norm").alias("qn")), "q")
     dot = F.aggregate(F.zip_with("pv", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, e: a + e)
-    links = ws.keep(both.where(dot / (F.col("pn") * F.col("qn")) >= threshold).select("p", "q"), "links")
+    cosine = dot / (F.col("pn") * F.col("qn"))
+    links = ws.keep(both.where((cosine >= threshold) & ~F.isnan(cosine)).select("p", "q"), "links")
     small = classes.select("c", "rep", "size", "sig")
     ends = links.unionAll(links.select(F.col("q").alias("p"), F.col("p").alias("q")))
     counted = ends.join(small.select(F.col("c").alias("q"), "size"), "q").groupBy("p").agg(F.sum("size").alias("out"))
