@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, neardup, ordinal, pseudonyms, quality, secrets, setjoin, sharding, transcript
+from millrace.llm import bpe, decontam, neardup, ordinal, pseudonyms, quality, runtime, secrets, setjoin, sharding, transcript
 
 #: Production parameters.
 SHARDS = [1.0] * 16
@@ -33,7 +33,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcript.digest(transcript.formatted(transcript.assemble(_read(spark, sf_dir, "conversations"))))
+    pieces = runtime.Workspace(spark).keep(transcript.assemble(_read(spark, sf_dir, "conversations")), "pieces")
+    return transcript.digest(transcript.recovered(pieces, transcript.learn(pieces)))
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
