@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 TAGS = ("p", "br", "li", "ul", "ol", "div", "span", "strong", "em", "b", "i", "h[1-6]", "table", "tr", "td", "th", "a", "hr", "blockquote")
 HAS_TAG = rf"(?i)<\s*/?\s*(?:{'|'.join(TAGS)})\b[^>]*>"
 MOST_PASSES = 3
+#: All characters that count as blank.
+BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def decode(text: str | None) -> str | None:
@@ -29,25 +31,36 @@ def decode(text: str | None) -> str | None:
     return text
 
 
-@F.pandas_udf(T.StringType())
-def decoded(s: pd.Series) -> pd.Series:
+def _decoded(s: pd.Series) -> pd.Series:
     return s.map(decode, na_action="ignore")
 
 
+#: Named as not deterministic though it is: so the optimiser neither repeats it in each expression that reads its column
+#: nor moves filters on the cleaned text below it, where they would clean the text a second time.
+decoded = F.pandas_udf(_decoded, T.StringType()).asNondeterministic()
+
+
+def let(value: Column, use) -> Column:  # noqa: ANN001
+    """``use(value)`` with the value worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tidy(c: Column) -> Column:
-    """All of cleaning but the decoding: tags (only if a known one occurs), line ends, trailing and surplus blanks."""
-    c = F.when(c.contains("<") & c.rlike(HAS_TAG), F.regexp_replace(c, "<[^>]+>", " ")).otherwise(c)
-    c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    c = F.regexp_replace(c, r"(?Umd)(?<![\s&&[^\n]])[\s&&[^\n]]+$", "")
-    c = F.when(c.contains("\n\n\n"), F.regexp_replace(c, r"\n{3,}", "\n\n")).otherwise(c)
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)\A\s+", ""), r"(?U)(?<!\s)\s+\z", "")
+    """All of cleaning but the decoding: tags (only if a known one occurs), line ends, trailing and surplus blanks.
+
+    Trailing blanks are trimmed from each line rather than searched, so long runs of blanks cost what other text costs.
+    """
+    untagged = let(c, lambda x: F.when(x.contains("<") & x.rlike(HAS_TAG), F.regexp_replace(x, "<[^>]+>", " ")).otherwise(x))
+    lines = F.split(F.replace(F.replace(untagged, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n")
+    joined = F.array_join(F.transform(lines, lambda x: F.rtrim(x, F.lit(BLANK))), "\n")
+    return let(joined, lambda x: F.trim(F.when(x.contains("\n\n\n"), F.regexp_replace(x, r"\n{3,}", "\n\n")).otherwise(x), F.lit(BLANK)))
 
 
 def clean(c: Column) -> Column:
     """Cleans a text. Only texts that could change by decoding visit Python."""
     # Latin letters with accents are as NFKC leaves them; the function gets nulls for the texts that need no decoding
     plain = ~(c.contains("&") | c.rlike(r"[^\x{00}-\x{7f}\x{c0}-\x{ff}]"))
-    return tidy(F.when(plain, c).otherwise(decoded(F.when(~plain, c))))
+    return tidy(F.coalesce(decoded(F.when(~plain, c)), c))
 
 
 def date_shaped(c: Column) -> Column:

@@ -50,6 +50,13 @@ def latest_checkpoint(paths: DataFrame) -> DataFrame:
     return paths.agg(F.max_by("path", step).alias("path"), F.max(step).alias("step"))
 
 
+def final_losses(log: DataFrame, reported: DataFrame) -> DataFrame:
+    """Losses of a run: what it reports of itself first, ``reported (train_loss, eval_loss, best_metric)`` in one row, and the log for what it does not; NaN for what neither has."""
+    nan = F.lit(float("nan"))
+    j = losses(log).crossJoin(reported)  # one row each
+    return j.select(F.coalesce("train_loss", "final_loss", nan).alias("final_train_loss"), F.coalesce("best_metric", "best_eval_loss", "eval_loss", nan).alias("best_eval_loss"))
+
+
 def losses(log: DataFrame) -> DataFrame:
     """Last training loss by step and best evaluation loss."""
     return log.agg(F.max_by("loss", F.when(F.col("loss").isNotNull(), F.col("step"))).alias("final_loss"), F.min("eval_loss").alias("best_eval_loss"))

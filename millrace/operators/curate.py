@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 from millrace import schema
 from millrace.errors import ContractError
 from millrace.functions import identity, text
+from millrace.tables import Workspace
 
 LEAST_CHARS, MOST_CHARS = 400, 40_000
 # Columns that may hold a stable key, by preference.
@@ -58,57 +60,72 @@ def identified(rows: DataFrame, source: Column, key: Column) -> DataFrame:
 
 
 def dedupe_unique(rows: DataFrame, seq: str = "seq") -> DataFrame:
-    """First row of each prefix, for ids that are unique. Adds ``drop``: null or duplicate_prefix. One window, no row is lost."""
-    w = Window.partitionBy("prefix").orderBy(seq)
-    return rows.withColumn("drop", F.when(F.row_number().over(w) > 1, "duplicate_prefix"))
+    """First row of each prefix, for ids that are unique. Adds ``drop``: null or duplicate_prefix. No row is lost.
+
+    The rows are written once, the first of each prefix comes from a map-side minimum and goes back by an equi-join, so a
+    prefix with a large share of the rows (boilerplate) is not one task's window. Select the columns that are needed first.
+    """
+    ws = Workspace(rows.sparkSession)
+    held = ws.keep(rows, "rows")
+    first = held.groupBy(F.col("prefix").alias("__p")).agg(F.min(seq).alias("__first"))
+    flagged = held.join(first, held.prefix.eqNullSafe(first["__p"]), "left")
+    return flagged.withColumn("drop", F.when(F.col(seq) > F.col("__first"), "duplicate_prefix")).drop("__p", "__first")
+
+
+#: Rows still to be decided that one task replays in order instead of a further round.
+REPLAYED = 100_000
 
 
 def dedupe(rows: DataFrame, seq: str = "seq") -> DataFrame:
-    """First-seen-wins on id, then on prefix, where a dropped row registers neither.
+    """First-seen-wins on id, then on prefix, where a dropped row registers neither. ``seq`` is unique.
 
-    Rows that share an id or a prefix only with themselves are decided at once. The others are grouped into components of
-    the (id, prefix) graph, found by propagating the least seq, and each is replayed in order by one task.
+    With ids and prefixes as nodes and rows as edges, the rows kept are the greedy matching in the order of ``seq``. It is
+    found in rounds: a row that is the first left of its id and of its prefix is kept, and all others of that id or prefix
+    go. Rounds are minima that combine map-side and equi-joins, so neither a hot id or prefix nor a large component of
+    the graph is one task's; they go on until nothing is left, and once at most ``REPLAYED`` rows are, one task decides
+    these in order, which gives the same.
     """
-    w_id, w_px = Window.partitionBy("id"), Window.partitionBy("prefix")
-    counted = rows.withColumn("__i", F.count("*").over(w_id)).withColumn("__p", F.count("*").over(w_px))
-    plain = counted.where("__i = 1")
-    # an id of its own cannot interact with others by id, so a component with only such ids is its prefix
-    mixed = counted.where("__i > 1").select("prefix").distinct()
-    inter = counted.join(mixed, "prefix", "left_semi")
-    alone = plain.join(mixed, "prefix", "left_anti").drop("__i", "__p")
-    done = dedupe_unique(alone, seq)
-    tagged = _component(inter.drop("__i", "__p"), seq)
-    out_schema = done.schema
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids: set[str] = set()
-        prefixes: set[str] = set()
-        drops = []
-        pdf = pdf.sort_values(seq)
+    ws = Workspace(rows.sparkSession)
+    held = ws.keep(rows, "rows")
+    left = ws.keep(held.select(F.col(seq).alias("seq"), "id", "prefix"), "left")
+    kept: list[DataFrame] = []
+    while n := left.count():
+        if n <= REPLAYED:
+            kept.append(left.repartition(1).sortWithinPartitions("seq").mapInPandas(_replayed, left.schema))
+            break
+        by_id = left.groupBy(F.col("id").alias("i")).agg(F.min("seq").alias("first_i"))
+        by_prefix = left.groupBy(F.col("prefix").alias("p")).agg(F.min("seq").alias("first_p"))
+        marked = left.join(by_id, F.col("id").eqNullSafe(F.col("i"))).join(by_prefix, F.col("prefix").eqNullSafe(F.col("p")))
+        won = ws.keep(marked.where("seq = first_i and seq = first_p").select("seq", "id", "prefix"), "kept")
+        kept.append(won)
+        rest = left.join(won.select(F.col("id").alias("i")), F.col("id").eqNullSafe(F.col("i")), "left_anti")
+        rest = ws.keep(rest.join(won.select(F.col("prefix").alias("p")), F.col("prefix").eqNullSafe(F.col("p")), "left_anti"), "left")
+        ws.drop(left)
+        left = rest
+    out = held
+    if not kept:
+        return out.withColumn("drop", F.lit(None).cast("string"))
+    winners = ws.keep(reduce(DataFrame.unionAll, kept), "winners")
+    by_id = winners.select(F.col("id").alias("__i"), F.col("seq").alias("__by_id"))
+    by_prefix = winners.select(F.col("prefix").alias("__p"), F.col("seq").alias("__by_prefix"))
+    out = held.join(by_id, held.id.eqNullSafe(F.col("__i")), "left").join(by_prefix, held.prefix.eqNullSafe(F.col("__p")), "left")
+    drop = F.when(F.col("__by_id") < F.col(seq), "duplicate_id").when(F.col("__by_prefix") < F.col(seq), "duplicate_prefix")
+    return out.withColumn("drop", drop).drop("__i", "__p", "__by_id", "__by_prefix")
+
+
+def _replayed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows kept of rows in order."""
+    ids: set[str] = set()
+    prefixes: set[str] = set()
+    for pdf in parts:
+        keep = []
         for i, p in zip(pdf["id"], pdf["prefix"], strict=True):
-            if i in ids:
-                drops.append("duplicate_id")
-            elif p in prefixes:
-                drops.append("duplicate_prefix")
-            else:
-                drops.append(None)
+            new = i not in ids and p not in prefixes
+            keep.append(new)
+            if new:
                 ids.add(i)
                 prefixes.add(p)
-        return pdf.drop(columns="component").assign(drop=drops)
-
-    return done.unionByName(tagged.groupBy("component").applyInPandas(replay, out_schema))
-
-
-def _component(rows: DataFrame, seq: str, most_rounds: int = 50) -> DataFrame:
-    cur = rows.withColumn("component", F.col(seq))
-    for _ in range(most_rounds):
-        low = F.least(F.min("component").over(Window.partitionBy("id")), F.min("component").over(Window.partitionBy("prefix")))
-        nxt = cur.withColumn("__low", low)
-        changed = nxt.where("__low <> component").limit(1).count()
-        cur = nxt.drop("component").withColumnRenamed("__low", "component")
-        if not changed:
-            return cur
-    raise ContractError("components of the duplicate graph did not settle")
+        yield pdf[keep]
 
 
 def take_kept(flagged: DataFrame, target: int, seq: str = "seq") -> DataFrame:
@@ -137,6 +154,25 @@ def length_percentiles(lengths: DataFrame, column: str = "char_len") -> DataFram
     return got.select(*[value(p) for p in (5, 50, 95)], F.col("max").cast("bigint").alias("max"))
 
 
+#: Rows that a corpus and its held-out splits need.
+LEAST_ROWS, LEAST_SPLIT_ROWS = 7000, 340
+
+
+def too_small(counts: DataFrame, total: int = LEAST_ROWS, each: int = LEAST_SPLIT_ROWS, held_out: tuple[str, ...] = ("dev", "eval_pool")) -> DataFrame:
+    """``(what, n, least)``: the corpus and the splits of ``counts (split, n)`` that have too few rows. Empty if the corpus is large enough."""
+    all_rows = counts.agg(F.lit("corpus").alias("what"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.lit(total).cast("bigint").alias("least"))
+    splits = counts.where(F.col("split").isin(*held_out)).select(F.col("split").alias("what"), "n", F.lit(each).cast("bigint").alias("least"))
+    return all_rows.unionByName(splits).where("n < least")
+
+
+def expect_rows(rows: DataFrame, n: int, what: str) -> None:
+    """An error unless ``rows`` has n rows; 0 turns the check off. At most n + 1 rows are counted."""
+    if n:
+        got = rows.limit(n + 1).count()
+        if got != n:
+            raise ContractError(f"{what} has {f'{got} rows' if got < n else f'over {n} rows'}, expected {n}: a part is not comparable with the whole")
+
+
 def split_counts(docs: DataFrame) -> DataFrame:
     """Rows of each split, zero for an empty one."""
     names = docs.sparkSession.createDataFrame([(s,) for s in schema.SPLITS], "split string")

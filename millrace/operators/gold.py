@@ -51,8 +51,9 @@ def sample(pool: DataFrame, n: int, seed: int = 1337, length: str = "char_len")
     rows = pool.withColumn("stratum", stratum(F.col(length)))
     q = quotas(rows.groupBy("stratum").agg(F.count("*").alias("c")), n)
     w = Window.partitionBy("stratum").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")), 256), "doc_id")
-    picked = rows.join(F.broadcast(q), "stratum").withColumn("__r", F.row_number().over(w)).where("__r <= quota")  # four rows
-    return picked.drop("__r", "quota")
+    # no quota is over n, and a literal bound lets each task send on its first n rows of a stratum only
+    ranked = rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n)
+    return ranked.join(F.broadcast(q), "stratum").where("__r <= quota").drop("__r", "quota")  # four rows
 
 
 def replay(log: DataFrame) -> DataFrame:
@@ -81,11 +82,17 @@ def parsed_time(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
 
 
+#: Sequence numbers of a log that one window orders.
+BLOCK = 1 << 16
+
+
 def median_gap(log: DataFrame) -> DataFrame:
-    """Median seconds between consecutive decisions. A reviewer's log is one sequence, so it is ordered by one task; it is as long as one person's work."""
-    rows = log.where("action <> 'edit'").select("seq", parsed_time(F.col("at")).alias("t")).where("t is not null")
-    gaps = rows.select((F.unix_timestamp("t") - F.lag(F.unix_timestamp("t")).over(Window.orderBy("seq"))).alias("gap"))
-    return gaps.agg(F.coalesce(F.median("gap"), F.lit(0.0)).alias("median_s"))
+    """Median seconds between consecutive decisions: within blocks of sequence numbers, and from each block's last decision to the next one's first."""
+    rows = log.where("action <> 'edit'").select("seq", F.unix_timestamp(parsed_time(F.col("at"))).alias("t"), F.floor(F.col("seq") / BLOCK).alias("block")).where("t is not null")
+    inside = rows.select((F.col("t") - F.lag("t").over(Window.partitionBy("block").orderBy("seq"))).alias("gap"))
+    ends = rows.groupBy("block").agg(F.min_by("t", "seq").alias("first"), F.max_by("t", "seq").alias("last"))
+    between = ends.select((F.col("first") - F.lag("last").over(Window.orderBy("block"))).alias("gap"))  # one row for each block
+    return inside.unionAll(between).agg(F.coalesce(F.median("gap"), F.lit(0.0)).alias("median_s"))
 
 
 def agreement(final: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from millrace import schema
 from millrace.errors import ContractError
 from millrace.functions import cost, extract, normalize
+from millrace.tables import Workspace
 
 CAPS = {"train": 5000, "dev": 300}
 OUTCOMES = ("ok", "schema_invalid", "parse_failed", "api_error")
@@ -60,11 +63,12 @@ def todo(selected: DataFrame, hits: DataFrame) -> DataFrame:
 def select_docs(docs: DataFrame, splits: tuple[str, ...] = schema.SPLITS, limit: int | None = None, caps: dict[str, int] | None = None) -> DataFrame:
     """The first ids of each split up to its cap, then the first of all. Caps are part of the request, not a guard against skew."""
     caps = CAPS if caps is None else caps
-    w = Window.partitionBy("split").orderBy("doc_id")
-    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]) if caps else None
-    out = docs.where(F.col("split").isin(*splits))
-    if cap is not None:
-        out = out.withColumn("__r", F.row_number().over(w)).where(cap[F.col("split")].isNull() | (F.col("__r") <= cap[F.col("split")])).drop("__r")
+    # a sorted limit for each split: tasks send on no more than the cap, and no split is numbered as a whole
+    parts = [docs.where(F.col("split") == s).orderBy("doc_id").limit(caps[s]) for s in splits if s in caps]
+    free = [s for s in splits if s not in caps]
+    if free:
+        parts.append(docs.where(F.col("split").isin(*free)))
+    out = reduce(DataFrame.unionByName, parts) if parts else docs.limit(0)
     return out.orderBy("doc_id").limit(limit) if limit is not None else out
 
 
@@ -105,23 +109,25 @@ def enum_distribution(postings: DataFrame) -> DataFrame:
     domain = spark.createDataFrame([(f, i, m) for f, ms in schema.ENUMS.items() for i, m in enumerate(ms)], "field string, ord int, member string")
     long = postings.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("member")) for f in schema.ENUMS])).alias("p")).select("p.*")
     got = long.groupBy("field", "member").agg(F.count("*").alias("n"))
-    return F.broadcast(domain).join(got, ["field", "member"], "left").select("field", "ord", "member", F.coalesce("n", F.lit(0)).alias("n"))  # the domain is fixed
+    return domain.join(got, ["field", "member"], "left").select("field", "ord", "member", F.coalesce("n", F.lit(0)).alias("n"))  # the domain is fixed
 
 
-def quality_warnings(distribution: DataFrame, rates: DataFrame, n_ok: int) -> DataFrame:
-    """Enumerations with one member above the share, and skills that are mostly empty; none below the least number of rows."""
+def quality_warnings(distribution: DataFrame, rates: DataFrame, counted: DataFrame) -> DataFrame:
+    """Enumerations with one member above the share, and skills that are mostly empty; none below the least number of rows. ``counted (n_ok)`` has one row."""
+    enough = F.broadcast(counted.where(F.col("n_ok") >= LEAST_OK))
     top = distribution.groupBy("field").agg(F.max_by("member", F.struct("n", -F.col("ord"))).alias("what"), F.max("n").alias("n"))
-    enums = top.where(F.col("n") / F.lit(float(max(n_ok, 1))) > MOST_ENUM_SHARE).select("field", "what", (F.col("n") / F.lit(float(max(n_ok, 1)))).alias("share"))
-    skills = rates.where((F.col("field") == "required_skills") & (F.col("null_rate") > MOST_EMPTY_SKILLS)).select("field", F.lit("empty").alias("what"), F.col("null_rate").alias("share"))
-    return enums.unionByName(skills).where(F.lit(n_ok >= LEAST_OK))
+    share = F.col("n") / F.col("n_ok").cast("double")
+    enums = top.crossJoin(enough).where(share > MOST_ENUM_SHARE).select("field", "what", share.alias("share"))
+    skills = rates.where((F.col("field") == "required_skills") & (F.col("null_rate") > MOST_EMPTY_SKILLS)).crossJoin(enough)
+    return enums.unionByName(skills.select("field", F.lit("empty").alias("what"), F.col("null_rate").alias("share")))
 
 
 def batches(ids: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """Numbers the ids in order and cuts them into batches. Numbers come from counts per id prefix, so no task holds all ids."""
-    block = F.substring("doc_id", 1, 5)
-    counts = ids.groupBy(block.alias("block")).count()
-    first = counts.select("block", F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    nth = ids.withColumn("block", block).withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy("doc_id")) - 1)
+    """Numbers the ids in order and cuts them into batches. Numbers come from counts per range of ids, the ranges from the ids themselves, so no task holds all ids whatever they look like."""
+    ranges = Workspace(ids.sparkSession).keep(ids.select("doc_id").repartitionByRange("doc_id").withColumn("block", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("block").count()
+    first = counts.select("block", F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))  # one row for each range
+    nth = ranges.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy("doc_id")) - 1)
     return nth.join(first, "block").select("doc_id", F.floor((F.col("first") + F.col("r")) / rows).cast("bigint").alias("batch"))
 
 

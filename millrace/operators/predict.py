@@ -11,12 +11,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace import schema
-from millrace.errors import ContractError
+from millrace.errors import ContractError, none_of
 from millrace.functions import cost, extract
 
 Generate = Callable[[list[str]], list[str]]
 BATCH = 8
-FEWSHOT_CHARS = 3500
+FEWSHOT_CHARS, MOST_COVERS = 3500, 12
 
 
 def truncated(text: Column) -> Column:
@@ -54,21 +54,27 @@ def training_example(messages: Column, posting: Column, end: str) -> Column:
 
 
 def in_gold_order(done: DataFrame, gold: DataFrame, order: str = "ord") -> DataFrame:
-    """The records of gold's ids with gold's place, by which they are to be written."""
-    return gold.select("doc_id", order).join(done, "doc_id")
+    """The records of gold's ids with gold's place, sorted by it, so that part files in order are in gold's order."""
+    return gold.select("doc_id", order).join(done, "doc_id").orderBy(order)
 
 
 def pick_exemplars(rows: DataFrame, covers: dict[str, Column], n: int, key: str = "doc_id", text: str = "text") -> list:
-    """Greedy: each round takes the row that adds most predicates, ties by hash of the key. n small jobs over one mask column."""
+    """Greedy: each round takes the row that adds most predicates, ties by hash of the key.
+
+    One job: rows with the same predicates differ by hash only, so of each combination the first n are all that n rounds
+    can take. There are at most ``2 ** len(covers)`` combinations, and at most ``MOST_COVERS`` predicates.
+    """
+    if len(covers) > MOST_COVERS:
+        raise ContractError(f"{len(covers)} predicates, at most {MOST_COVERS} are possible")
     mask = sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(covers.values())), F.lit(0)).alias("mask")
     left = rows.where(F.length(text) <= FEWSHOT_CHARS).select(key, mask, F.sha2(F.col(key).cast("string"), 256).alias("h"))
+    first = left.withColumn("r", F.row_number().over(Window.partitionBy("mask").orderBy("h"))).where(F.col("r") <= n).collect()
     seen, out = 0, []
-    for _ in range(n):
-        top = left.where(~F.col(key).isin(out) if out else F.lit(True)).orderBy(F.desc(F.bit_count(F.col("mask").bitwiseAND(F.lit(~seen)))), "h").limit(1).collect()
-        if not top:
-            break
-        seen |= top[0]["mask"]
-        out.append(top[0][key])
+    while first and len(out) < n:
+        top = min(first, key=lambda r: (-(r["mask"] & ~seen).bit_count(), r["h"]))
+        seen |= top["mask"]
+        out.append(top[key])
+        first.remove(top)
     return out
 
 
@@ -118,11 +124,25 @@ def summary(preds: DataFrame, most_tokens: int = 1024) -> DataFrame:
     return preds.agg(F.count_if(valid).alias("n_valid"), F.count_if(~valid).alias("n_invalid"), F.count_if(F.col("completion_tokens") >= most_tokens).alias("n_truncated"), F.avg("completion_tokens").alias("mean_tokens"))
 
 
+def run_summary(preds: DataFrame, resumed: DataFrame, most_tokens: int = 1024) -> DataFrame:
+    """The summary of a run with its size and the rows that an earlier run had done, ``resumed (doc_id)``."""
+    before = preds.join(resumed.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count("*").alias("n_resumed"))
+    return summary(preds, most_tokens).withColumn("n", F.col("n_valid") + F.col("n_invalid")).crossJoin(before)  # one row each
+
+
 def stride_sample(rows: DataFrame, order: str, stride: int, most: int) -> DataFrame:
-    """Every stride-th row in order, ``most`` of them at most."""
-    return rows.withColumn("__r", F.row_number().over(Window.orderBy(order)) - 1).where((F.col("__r") % stride == 0) & (F.col("__r") < stride * most)).drop("__r")
+    """Every stride-th row in order, ``most`` of them at most. Only the first ``stride * most`` rows are numbered; each task sends on no more."""
+    return rows.orderBy(order).limit(stride * most).withColumn("__r", F.row_number().over(Window.orderBy(order)) - 1).where((F.col("__r") % stride == 0) & (F.col("__r") < stride * most)).drop("__r")
 
 
 def drifted(keys: Column) -> Column:
-    """Whether a posting's keys are not the contract's, in order."""
-    return keys != F.array(*map(F.lit, schema.FIELDS))
+    """Whether a posting's keys are not the contract's, in order; null keys are."""
+    return ~F.coalesce(keys == F.array(*map(F.lit, schema.FIELDS)), F.lit(False))
+
+
+def training_rows(rows: DataFrame, system: str, end: str, key: str = "doc_id", text: str = "text", target: str = "gold") -> DataFrame:
+    """``(key, example)`` of rows whose target is JSON text. Keys that are not the contract's, in order, are an error, as is a prompt that ends with the end mark."""
+    none_of(rows.where(drifted(F.json_object_keys(target))), key, "targets whose keys are not the fields in order")
+    none_of(rows.where(truncated(F.col(text)).endswith(end)), key, "prompts that end with the end mark")
+    posting = F.from_json(target, schema.POSTING)
+    return rows.select(key, training_example(teacher_messages(system, F.col(text)), posting, end).alias("example"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import schema
@@ -12,10 +12,13 @@ from millrace.errors import ContractError
 from millrace.functions import cost
 
 DASH = "—"
+NULL_BASELINE = "null baseline"
+MOST_FIGURES = 1000
 BEGIN, END = "<!-- generated:begin -->", "<!-- generated:end -->"
 # What makes a number a claim, and how each fact is rendered.
 CLAIMS = (r"(?<![\w.])(\d+(?:\.\d+)?)\s*%", r"(?<![\w.])(\d+(?:\.\d+)?)\s*ms\b", r"\$\s*(\d+(?:\.\d+)?)", r"(?<![\w.])([+-]?\d+(?:\.\d+)?)\s*(?:macro-)?F1\b")
 RATIOS = (r"(?i)\b200\s*[x×]", r"(?i)\b\d+(?:\.\d+)?\s*[x×]\s*(?:larger|bigger|smaller)")
+WORDS = {"frontier": r"(?i)\bfrontier\b", "45ms": r"(?i)\b45\s*ms\b"}
 FORMATS = {"pct1": "%.1f", "f3": "%.3f", "signed3": "%+.3f", "ms0": "%.0f", "usd5": "%.5f", "usd2": "%.2f", "num1": "%.1f", "num2": "%.2f", "num4": "%.4f", "int0": "%.0f"}
 KINDS = {
     "schema_valid_rate": "pct1", "macro_f1": "f3", "macro_f1_null_baseline": "f3", "delta_vs_teacher": "signed3", "noise_f1": "f3", "f1": "f3", "em": "f3", "agreement": "f3",
@@ -45,6 +48,65 @@ def score_facts(scores: DataFrame, names: tuple[str, ...] = ("em", "f1", "precis
     return long.select(F.concat_ws("__", "arm", F.lit("per_field"), "field", "x.name").alias("key"), F.col("x.value").alias("value"), F.lit(None).cast("string").alias("text"))
 
 
+def _first(*values: object) -> object:
+    """The first value that is neither missing nor zero nor empty, else the last."""
+    return next((v for v in values if v), values[-1])
+
+
+def facts(metrics: dict[str, dict], bench: dict[str, dict], sweep: dict[str, dict], stats: dict[str, dict], teacher_model: str, base_model: str, noise_f1: float, low_support: int, stamp: dict) -> dict:
+    """Every scalar that a report may quote, from the artefacts of the arms and the statistics of the stages (gold, train, corpus, teacher, gold_audit). ``stamp``: when and from what the report is made.
+
+    Artefacts are a handful of small JSON objects, so they are plain dictionaries; ``flatten`` makes the keys, ``fact_table`` a table.
+    """
+    gold, train, corpus, teacher = (stats.get(k) or {} for k in ("gold", "train", "corpus", "teacher"))
+    audited = (stats.get("gold_audit") or {}).get("residual_error_sample") or {}
+    ordered = {kind: [t[a] for a in schema.ARMS if a in t] for kind, t in (("metrics", metrics), ("bench", bench))}
+    any_bench = ordered["bench"][0] if ordered["bench"] else {}
+    reported = lambda rows, key: next((r[key] for r in rows if r.get(key) is not None), None)
+    hourly = reported(ordered["bench"], "gpu_hourly_usd")
+    reference = (metrics.get("teacher") or {}).get("macro_f1")
+    out: dict = {}
+    for arm in schema.ARMS:
+        m, b = metrics.get(arm) or {}, bench.get(arm) or {}
+        usable = [r for r in (sweep.get(arm) or {}).get("sweep", []) if not r.get("oom") and r.get("throughput_docs_per_s")]
+        best = max(usable, key=lambda r: r["throughput_docs_per_s"], default={})
+        served = 1000.0 / best["throughput_docs_per_s"] / 3600.0 * hourly if best and hourly is not None else None
+        macro, single = m.get("macro_f1"), b.get("cost_per_1k_docs_usd")
+        out[arm] = {
+            "schema_valid_rate": m.get("schema_valid_rate"), "macro_f1": macro, "delta_vs_teacher": None if macro is None or reference is None else macro - reference,
+            "p50_ms": b.get("p50_ms"), "p95_ms": b.get("p95_ms"), "amortized_ms_per_doc": best.get("amortized_ms_per_doc"), "best_batch_size": best.get("batch_size"),
+            "cost_per_1k_docs_usd": single if served is None else served, "cost_per_1k_docs_usd_batch1": single,
+        }
+    lowest = sorted((gold.get("teacher_field_agreement") or {}).items(), key=lambda kv: (kv[1], kv[0]))[:3]
+    seconds = train.get("train_runtime_s")
+    return out | {
+        "lowest_teacher_agreement": [{"field": f, "agreement": v} for f, v in lowest],
+        "lowest_teacher_agreement_str": ", ".join(f"`{f}` {show(v, 'f3')}" for f, v in lowest) or DASH,
+        "n_eval_gold": _first(gold.get("n_final"), ordered["metrics"][0].get("n") if ordered["metrics"] else None),
+        "n_train": _first(train.get("n_train"), teacher.get("n_ok")), "n_corpus": corpus.get("n_kept"), "corpus_source": corpus.get("source"), "corpus_license": corpus.get("license"),
+        "teacher_model": _first(teacher.get("teacher_model"), teacher_model), "base_model": _first(train.get("base_model"), base_model), "adapter_repo": train.get("adapter_repo"),
+        "gpu_name": _first(any_bench.get("gpu_name"), train.get("gpu_name")), "gpu_hourly_usd": hourly, "dtype": _first(any_bench.get("dtype"), train.get("dtype")),
+        "bench_n_docs": any_bench.get("n_docs"), "bench_repeats": any_bench.get("repeats"), "spend_usd": _first(teacher.get("spend_usd_cached"), teacher.get("spend_usd")),
+        "trainable_pct": train.get("trainable_pct"), "peak_vram_gb": train.get("peak_vram_gb"), "train_runtime_s": seconds, "train_runtime_h": None if seconds is None else seconds / 3600,
+        "train_epochs": train.get("epochs"), "best_eval_loss": train.get("best_eval_loss"), "macro_f1_null_baseline": reported(ordered["metrics"], "macro_f1_null_baseline"),
+        "gold_reviewer": gold.get("reviewer"), "gold_audit_n": audited.get("n"), "gold_audit_doc_error_rate": audited.get("doc_error_rate"), "noise_f1": noise_f1, "low_support": low_support,
+    } | stamp
+
+
+def fact_table(spark: SparkSession, tree: dict) -> DataFrame:
+    """``(key, value, text)`` of nested facts, numbers and texts apart; lists and missing values have neither."""
+    rows = []
+    for k, v in flatten(tree).items():
+        number = float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+        rows.append((k, number, v if isinstance(v, str) else None))
+    return spark.createDataFrame(rows, "key string, value double, text string")
+
+
+def shown_facts(tree: dict) -> dict[str, str]:
+    """Each fact as it is printed."""
+    return {k: v if isinstance(v, str) else DASH if not isinstance(v, (int, float)) else show(v, kind_of(k, v)) for k, v in flatten(tree).items()}
+
+
 def rendered(template: str, facts: dict[str, str]) -> str:
     """The template with its placeholders filled; one without a fact is an error."""
     gone = sorted(set(placeholders(template)) - set(facts))
@@ -66,6 +128,15 @@ def headline(arms: DataFrame, metrics: DataFrame, bench: DataFrame, sweep: DataF
     return j.select("ord", "arm", "macro_f1", (F.col("macro_f1") - F.col("__t")).alias("delta_vs_teacher"), "p50_ms", F.col("b.batch_size").alias("batch_size"), (F.lit(1000.0) / thr).alias("amortized_ms"), F.when(thr > 0, F.lit(1000.0) / thr / F.lit(3600.0) * F.col("hourly")).alias("cost_per_1k"))
 
 
+def headline_rows(arms: DataFrame, metrics: DataFrame, bench: DataFrame, sweep: DataFrame) -> DataFrame:
+    """The headline with the share of valid output and, as its last row, the floor: the macro F1 of predicting nothing, as the first arm that reports one has it."""
+    rows = headline(arms, metrics, bench, sweep).join(metrics.select("arm", "schema_valid_rate"), "arm", "left")
+    known = arms.join(metrics, "arm").where("macro_f1_null_baseline is not null")
+    floor = known.agg(F.min_by("macro_f1_null_baseline", "ord").alias("macro_f1"))
+    last = arms.agg((F.max("ord") + 1).alias("ord")).crossJoin(floor).withColumn("arm", F.lit(NULL_BASELINE))  # one row each
+    return rows.unionByName(last, allowMissingColumns=True)
+
+
 def per_field(scores: DataFrame) -> DataFrame:
     """Fields by arms: exact match and F1; support once."""
     wide = scores.groupBy("ord", "field").pivot("arm", list(schema.ARMS)).agg(F.first("em").alias("em"), F.first("f1").alias("f1"))
@@ -114,11 +185,13 @@ def word_violations(line: Column) -> Column:
     hit = F.lit(False)
     for p in RATIOS:
         hit |= line.rlike(p)
-    return F.array_compact(F.array(F.when(hit, "ratio"), F.when(line.rlike(r"(?i)\bfrontier\b"), "frontier"), F.when(line.rlike(r"(?i)\b45\s*ms\b"), "45ms")))
+    return F.array_compact(F.array(F.when(hit, "ratio"), *[F.when(line.rlike(p), name) for name, p in WORDS.items()]))
 
 
 def conflated(lines: DataFrame, amortized: DataFrame) -> DataFrame:
-    """Lines that call an amortised figure (arm, shown) a p50. A nested-loop join: ``amortized`` has one row for each arm."""
+    """Lines that call an amortised figure (arm, shown) a p50. A nested-loop join, so ``amortized``, which has one row for each arm, may have ``MOST_FIGURES`` rows."""
+    if amortized.limit(MOST_FIGURES + 1).count() > MOST_FIGURES:
+        raise ContractError(f"more than {MOST_FIGURES} amortised figures")
     suspect = lines.where(F.lower("line").contains("p50") & ~F.lower("line").contains("amortized"))
     return suspect.join(F.broadcast(amortized), F.expr(r"line rlike concat('\\b', replace(shown, '.', '\\.'), '\\s*ms\\b')"))
 

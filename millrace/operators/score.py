@@ -4,32 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace import schema
 from millrace.errors import none_of
 from millrace.functions import cost, normalize
 
+COUNTS = ("tp", "fp", "fn", "em", "support")
 
-def field_counts(name: str, g: Column, p: Column, valid: Column) -> Column:
-    """tp, fp, fn, em and support of one field of one document, from normalised values."""
+
+def as_set(name: str, v: Column, side: str) -> Column:
+    """A normalised value as a set of strings: absent is empty, a scalar is a set of one. NaN equals nothing, so its text names the side."""
     if name in schema.SETS:
-        ng, both = F.size(g), F.size(F.array_intersect(g, p))
-        np_ = F.size(p)
-        tp, fp, fn, support = both, np_ - both, ng - both, ng
-        em = ((fp == 0) & (fn == 0)).cast("int")
-        miss_fn = ng
-    else:
-        ag, ap = normalize.absent_normalised(name, g), normalize.absent_normalised(name, p)
-        same = F.coalesce(g == p, F.lit(False))
-        if name in schema.FLOATS + schema.INTEGERS:
-            same &= ~F.coalesce(F.isnan(g), F.lit(False))
-        hit = ~ag & ~ap & same
-        tp, fp, fn = hit.cast("int"), (~ap & ~hit).cast("int"), (~ag & ~hit).cast("int")
-        em = (hit | (ag & ap)).cast("int")
-        support = miss_fn = (~ag).cast("int")
-    pick = lambda a, b: F.when(valid, a).otherwise(b).cast("bigint")
-    zero = F.lit(0)
-    return F.struct(pick(tp, zero).alias("tp"), pick(fp, zero).alias("fp"), pick(fn, miss_fn).alias("fn"), pick(em, zero).alias("em"), support.cast("bigint").alias("support"))
+        return v
+    value = v
+    if name in schema.FLOATS + schema.INTEGERS:
+        value = F.when(F.isnan(v), f"NaN {side}").otherwise((v + 0.0).cast("string"))
+    return F.when(normalize.absent_normalised(name, v), F.array().cast("array<string>")).otherwise(F.array(value))
+
+
+def field_counts(g: Column, p: Column, valid: Column) -> dict[str, Column]:
+    """tp, fp, fn, em and support of one field of one document, from ``as_set`` values. Without a valid prediction all of gold is missed."""
+    both = F.when(valid, F.size(F.array_intersect(g, p))).otherwise(0)
+    more = F.when(valid, F.size(p)).otherwise(0)
+    em = valid & (F.size(g) == both) & (F.size(p) == both)
+    return {"tp": both, "fp": more - both, "fn": F.size(g) - both, "em": em.cast("int"), "support": F.size(g)}
 
 
 def joined(gold: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -40,22 +39,30 @@ def joined(gold: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def per_field(pairs: DataFrame) -> DataFrame:
-    """Counts, precision, recall, F1 and exact match of each field. Fields are long only after they have been summed wide."""
-    parts = ("tp", "fp", "fn", "em", "support")
+    """Counts, precision, recall, F1 and exact match of each field.
+
+    One rule serves all fields, since a scalar is a set of at most one value: the plan has a normalisation for each field
+    and side and one set of sums, and each document's sixteen rows are added up before they are shuffled.
+    """
     # each value is normalised once, in a projection of its own
     plain = pairs.select("valid", *[normalize.norm_field(f, F.col(f"{s}.{f}")).alias(f"{s}__{f}") for f in schema.FIELDS for s in "gp"])
-    per_doc = plain.select("valid", *[field_counts(f, F.col(f"g__{f}"), F.col(f"p__{f}"), F.col("valid")).alias(f) for f in schema.FIELDS])
-    sums = per_doc.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"{f}.{c}"), F.lit(0)).alias(f"{f}__{c}") for f in schema.FIELDS for c in parts])
-    long = sums.select("n", F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), *[F.col(f"{f}__{c}").alias(c) for c in parts]) for i, f in enumerate(schema.FIELDS)])).alias("s")).select("n", "s.*")
+    each = [F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), as_set(f, F.col(f"g__{f}"), "g").alias("g"), as_set(f, F.col(f"p__{f}"), "p").alias("p")) for i, f in enumerate(schema.FIELDS)]
+    long = plain.select("valid", F.explode(F.array(*each)).alias("x"))
+    counts = long.select("x.ord", "x.field", *[c.cast("bigint").alias(n) for n, c in field_counts(F.col("x.g"), F.col("x.p"), F.col("valid")).items()])
+    sums = counts.groupBy("ord", "field").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in COUNTS])
+    fields = pairs.sparkSession.createDataFrame(list(enumerate(schema.FIELDS)), "ord int, field string")
+    whole = fields.join(F.broadcast(sums), ["ord", "field"], "left")  # one row for each field
+    return _rated(whole.select("ord", "field", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n", *COUNTS)]))
+
+
+def _rated(sums: DataFrame) -> DataFrame:
     p, r = cost.ratio(F.col("tp"), F.col("tp") + F.col("fp")), cost.ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    return long.withColumn("precision", p).withColumn("recall", r).withColumn("f1", cost.f1(F.col("precision"), F.col("recall"))).withColumn("em_rate", cost.ratio(F.col("em"), F.col("n")))
+    return sums.withColumn("precision", p).withColumn("recall", r).withColumn("f1", cost.f1(F.col("precision"), F.col("recall"))).withColumn("em_rate", cost.ratio(F.col("em"), F.col("n")))
 
 
 def merged(parts: DataFrame) -> DataFrame:
     """Counts of the same fields from several runs or shards as one: counts add up, ratios are worked out anew."""
-    sums = parts.groupBy("ord", "field").agg(*[F.sum(c).alias(c) for c in ("n", "tp", "fp", "fn", "em", "support")])
-    p, r = cost.ratio(F.col("tp"), F.col("tp") + F.col("fp")), cost.ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-    return sums.withColumn("precision", p).withColumn("recall", r).withColumn("f1", cost.f1(F.col("precision"), F.col("recall"))).withColumn("em_rate", cost.ratio(F.col("em"), F.col("n")))
+    return _rated(parts.groupBy("ord", "field").agg(*[F.sum(c).alias(c) for c in ("n", *COUNTS)]))
 
 
 def compared(headers: DataFrame) -> DataFrame:
@@ -63,6 +70,11 @@ def compared(headers: DataFrame) -> DataFrame:
     return headers.orderBy(F.desc("macro_f1"), "ord")
 
 
+def placed(headers: DataFrame) -> DataFrame:
+    """The same order as a column ``place``, from 1; one row for each arm, so one window holds them."""
+    return headers.withColumn("place", F.row_number().over(Window.orderBy(F.desc("macro_f1"), "ord")).cast("bigint"))
+
+
 def macro_f1(fields: DataFrame) -> DataFrame:
     """The mean of the unrounded F1s, added up in the fields' order."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "f1"))), lambda x: x["f1"])
@@ -85,11 +97,18 @@ def header(pairs: DataFrame, gold: DataFrame, predictions: DataFrame) -> DataFra
     return pairs.agg(F.count("*").alias("n"), cost.ratio(F.count_if("valid"), F.count("*")).alias("schema_valid_rate")).crossJoin(missing)  # one row each
 
 
+def faults(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+    """``(doc_id, what)``: ids that occur twice on a side, and predictions for ids that gold lacks."""
+    twice = [side.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(f"duplicate in {name}").alias("what")) for side, name in ((gold, "gold"), (predictions, "predictions"))]
+    extra = predictions.select("doc_id").join(gold.select("doc_id"), "doc_id", "left_anti").distinct().select("doc_id", F.lit("unknown to gold").alias("what"))
+    return twice[0].unionByName(twice[1]).unionByName(extra)
+
+
 def check(gold: DataFrame, predictions: DataFrame) -> None:
-    """Duplicate ids on either side and predictions for unknown ids are errors."""
-    for side, name in ((gold, "gold"), (predictions, "predictions")):
-        none_of(side.groupBy("doc_id").count().where("count > 1"), "doc_id", f"duplicate ids in {name}")
-    none_of(predictions.join(gold, "doc_id", "left_anti"), "doc_id", "predictions for ids that gold lacks")
+    """Any fault is an error; the first kind found is named with its ids."""
+    found = faults(gold, predictions)
+    for what in ("duplicate in gold", "duplicate in predictions", "unknown to gold"):
+        none_of(found.where(F.col("what") == what), "doc_id", f"ids {what}")
 
 
 def teacher_predictions(pool: DataFrame, gold: DataFrame) -> DataFrame:

@@ -36,6 +36,32 @@ def consistent(ledger: Sequence[Batch], model: str, prompt_sha: str) -> None:
         raise ContractError("batches of another model or prompt", len(odd), odd[:10])
 
 
+def resume(ledger: Sequence[Batch], adopt: Callable[[Batch], str | None], harvest: Callable[[str], list[str]], save: Callable[[Batch], None]) -> list[str]:
+    """Harvests every open batch of an earlier run before anything new is sent, since it is paid for. Returns the ids to be sent again.
+
+    A ledger row without an id was written before its batch was created: ``adopt`` looks for the batch at the provider and
+    gives its id or None, in which case nothing was created, the row is closed as abandoned and its documents come back as
+    not done. ``save`` is called with each changed row as soon as it changes.
+    """
+    again: list[str] = []
+    for row in ledger:
+        if row.get("harvested"):
+            continue
+        if not row.get("batch_id"):
+            found = adopt(row)
+            if found is None:
+                row |= {"status": "abandoned", "harvested": True}
+                save(row)
+                again += row.get("doc_ids", [])
+                continue
+            row["batch_id"] = found
+            save(row)
+        again += harvest(row["batch_id"])
+        row |= {"status": "harvested", "harvested": True}
+        save(row)
+    return again
+
+
 def run_wave(batches: Sequence[Batch], submit: Callable[[Batch], str], harvest: Callable[[str], list[str]], record: Callable[[Batch, str], None], window: int = IN_FLIGHT, most_incomplete: int = MOST_INCOMPLETE) -> list[str]:
     """Sends all batches, at most ``window`` at a time, oldest harvested first.
 

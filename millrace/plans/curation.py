@@ -12,6 +12,7 @@ from millrace.functions import cost, extract, identity, normalize, text
 from millrace.operators import curate, gold, label
 from millrace.plans import fixtures as fx
 from millrace.plans.fixtures import table
+from millrace.tables import Workspace
 
 S = SparkSession
 _ID = "'jp_' || substr(sha256(source || chr(0) || CAST(doc_id AS VARCHAR)), 1, 10)"
@@ -48,7 +49,7 @@ FROM (SELECT *, ('0x' || substr(sha256(id), 1, 8))::BIGINT % 100 AS b FROM d)
 
 def split_counts(spark: S, d: str) -> DataFrame:
     rows = _docs(spark, d).withColumn("reason", curate.reason(F.col("char_len"))).where("reason is null")
-    return curate.split_counts(curate.dedupe_unique(rows).where("drop is null"))
+    return curate.split_counts(curate.dedupe_unique(rows.select("seq", "prefix", "split")).where("drop is null"))
 
 
 _KEPT = f"""
@@ -62,7 +63,7 @@ SELECT s AS split, coalesce(n, 0)::BIGINT AS n FROM (VALUES ('train'), ('dev'),
 
 def drop_counts(spark: S, d: str) -> DataFrame:
     """Counters of a run that stops at the 500th kept row."""
-    rows = _docs(spark, d).withColumn("reason", curate.reason(F.col("char_len")))
+    rows = Workspace(spark).keep(_docs(spark, d).select("seq", "prefix", curate.reason(F.col("char_len")).alias("reason")), "rows")
     ok = curate.dedupe_unique(rows.where("reason is null"))
     flagged = ok.unionByName(rows.where("reason is not null").withColumn("drop", F.lit(None).cast("string")))
     seen = curate.take_kept(flagged, 500)
@@ -147,7 +148,7 @@ _ENUMS = f"WITH {fx.gold_cte()} " + " UNION ALL ".join(f"SELECT '{f}' AS field,
 
 def quality_warnings(spark: S, d: str) -> DataFrame:
     g = fx.gold(spark, d).withColumn("seniority", F.when(F.col("doc_id") % 50 == 0, "mid").otherwise("unknown")).withColumn("required_skills", F.when(F.col("doc_id") % 3 == 0, F.col("required_skills")).otherwise(F.array().cast("array<string>")))
-    return label.quality_warnings(label.enum_distribution(g), label.null_rates(g), g.count())
+    return label.quality_warnings(label.enum_distribution(g), label.null_rates(g), g.agg(F.count("*").alias("n_ok")))
 
 
 _WARN = """

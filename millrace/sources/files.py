@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
+import shutil
+import uuid
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace import schema
 from millrace.errors import ContractError
+from millrace.functions.text import BLANK
+from millrace.operators import curate
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -26,6 +31,27 @@ def malformed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return parsed.where("p._corrupt_record is not null").select(F.col("value").alias("_corrupt_record"), "file")
 
 
+def corpus_rows(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """``(source_key, text)`` of a corpus table of any shape: the text and key columns are found by a look at its first rows, and only these two are read.
+
+    ``most`` bounds the rows read, as part of the request. Without a key column the key is the text's hash; null and blank texts are left out.
+    """
+    text = curate.pick_text_column(rows)
+    key = curate.pick_key_column(rows, text)
+    t = F.col(f"`{text}`")
+    read = rows.select(*[F.col(f"`{c}`") for c in ((text,) if key is None else (key, text))])
+    read = read if most is None else read.limit(most)
+    kept = read.where(t.isNotNull() & (F.trim(t, F.lit(BLANK)) != ""))
+    return kept.select((F.sha2(t, 256) if key is None else F.col(f"`{key}`").cast("string")).alias("source_key"), t.alias("text"))
+
+
+def enough_space(path: str, least: int, free: Callable[[str], int] = lambda p: shutil.disk_usage(p).free) -> None:
+    """An error if the file system of a driver's folder has less than ``least`` bytes free; for other stores give ``free``."""
+    left = free(path)
+    if left < least:
+        raise ContractError(f"only {left / 1024**3:.1f} GB free at {path}, {least / 1024**3:.1f} GB are needed")
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read.option("multiLine", True)
     return (reader.schema(schema) if schema else reader).json(path)
@@ -40,15 +66,35 @@ def read_artifacts(spark: SparkSession, folder: str, schema: T.StructType) -> tu
     return named.where(~F.col("stem").endswith("_sweep")), named.where(F.col("stem").endswith("_sweep"))
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The job's commit makes it atomic; null fields are written."""
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """The number of rows written, counted as they are. The job's commit makes it atomic; null fields are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).option("ignoreNullFields", False).json(path)
+    return seen.get["n"]
+
 
+def write_splits(rows: DataFrame, folder: str, splits: Iterable[str]) -> dict[str, int]:
+    """One folder for each split in scope, an empty one too; others are not touched. Returns rows by split.
 
-def write_splits(rows: DataFrame, folder: str, splits: Iterable[str]) -> None:
-    """One table for each split in scope, an empty one too; others are not touched."""
+    One pass over the rows writes all splits beside the target; each is then moved to its place, where an older one goes first.
+    """
+    splits = list(splits)
+    seen = Observation()
+    staged = f"{folder}/.staged-{uuid.uuid4().hex}"
+    mine = rows.where(F.col("split").isin(*splits)).observe(seen, F.lit(0).alias("_"), *[F.count_if(F.col("split") == s).alias(s) for s in splits])
+    mine.write.option("ignoreNullFields", False).partitionBy("split").json(staged)
+    counts = seen.get
+    spark = rows.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for s in splits:
-        write_jsonl(rows.where(F.col("split") == s).drop("split"), f"{folder}/{s}")
+        if counts[s]:
+            fs.delete(path(f"{folder}/{s}"), True)
+            fs.rename(path(f"{staged}/split={s}"), path(f"{folder}/{s}"))
+        else:
+            write_jsonl(rows.drop("split").limit(0), f"{folder}/{s}")
+    fs.delete(path(staged), True)
+    return {s: counts[s] for s in splits}
 
 
 def write_text(path: str, text: str) -> None:
@@ -63,6 +109,27 @@ def write_json(path: str, obj: object, sort_keys: bool = True) -> None:
     write_text(path, json.dumps(obj, indent=2, sort_keys=sort_keys, ensure_ascii=False) + "\n")
 
 
+# The order of the keys of the two result files.
+METRICS_KEYS = ("arm", "split", "n", "schema_valid_rate", "macro_f1", "macro_f1_null_baseline", "n_missing_predictions", "per_field", "generated_at", "git_sha")
+TRAIN_KEYS = (
+    "base_model", "adapter_repo", "n_train", "n_dev", "epochs", "lora_r", "trainable_params", "trainable_pct", "final_train_loss", "best_eval_loss", "train_runtime_s",
+    "gpu_name", "n_gpus", "dtype", "peak_vram_gb", "generated_at", "git_sha", "load_in_4bit", "max_length", "token_p95", "effective_batch_size", "n_steps", "lr", "seed",
+)
+
+
+def write_metrics(path: str, result: dict) -> None:
+    """An arm's scores, the keys and the fields of ``per_field`` in their order; a missing one is an error and others are left out."""
+    required_keys(result, METRICS_KEYS)
+    required_keys(result["per_field"], schema.FIELDS)
+    write_json(path, {k: result[k] for k in METRICS_KEYS} | {"per_field": {f: result["per_field"][f] for f in schema.FIELDS}}, sort_keys=False)
+
+
+def write_train_stats(path: str, stats: dict) -> None:
+    """A training run's statistics in their order; a missing one is an error and others are left out."""
+    required_keys(stats, TRAIN_KEYS)
+    write_json(path, {k: stats[k] for k in TRAIN_KEYS}, sort_keys=False)
+
+
 def required_keys(obj: dict, keys: Iterable[str]) -> None:
     missing = sorted(set(keys) - set(obj))
     if missing:
