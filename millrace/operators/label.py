@@ -103,6 +103,11 @@ def null_rates(postings: DataFrame) -> DataFrame:
     return n.select(pairs.alias("p")).select("p.*")
 
 
+def most_absent(rates: DataFrame, n: int = 5) -> DataFrame:
+    """The n fields that are null most often, ties in the fields' order."""
+    return rates.orderBy(F.desc("null_rate"), "ord").limit(n)
+
+
 def enum_distribution(postings: DataFrame) -> DataFrame:
     """Rows of each member of each enumeration, zeros kept."""
     spark = postings.sparkSession

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,49 +142,49 @@ def spread(spark: S, d: str) -> DataFrame:
     return e.groupBy((F.col("user_id") % 5).alias("g")).agg(cost.spread_pct(F.col("v")).alias("spread"))
 
 
-_SWEEP = "SELECT user_id % 40 AS ord, 'a' || CAST(user_id % 5 AS STRING) AS arm, 1 + user_id % 40 AS batch_size, CAST(event_id % 17 AS DOUBLE) + 1 AS throughput, event_id % 11 = 0 AS oom FROM events WHERE event_id < 200"
+_SWEEP = "SELECT user_id % 40 AS ord, 'a' || CAST(user_id % 5 AS STRING) AS arm, 1 + user_id % 40 AS batch_size, CAST(event_id % 17 AS DOUBLE) + 1 AS throughput, event_id % 11 = 0 AS oom FROM events"
 
 
-def _sweep(spark: S, d: str, within: str = "event_id < 200") -> DataFrame:
-    return spark.sql(_SWEEP.replace("event_id < 200", within).replace("FROM events", "FROM {e}"), e=table(spark, d, "events")).groupBy("arm", "ord", "batch_size").agg(F.max("throughput").alias("throughput"), F.max("oom").alias("oom"))
+def _sweep(spark: S, d: str) -> DataFrame:
+    return spark.sql(_SWEEP.replace("FROM events", "FROM {e}"), e=table(spark, d, "events")).groupBy("arm", "ord", "batch_size").agg(F.max("throughput").alias("throughput"), F.max("oom").alias("oom"))
 
 
 _SWEPT = f"w AS (SELECT arm, ord, batch_size, max(throughput) AS throughput, bool_or(oom) AS oom FROM ({_SWEEP}) GROUP BY 1, 2, 3)"
 
 
-def best_rows(spark: S, d: str, within: str = "event_id < 200") -> DataFrame:
-    return benchmarks.best_rows(_sweep(spark, d, within))
+def best_rows(spark: S, d: str) -> DataFrame:
+    return benchmarks.best_rows(_sweep(spark, d))
 
 
 _BEST = f"WITH {_SWEPT}, u AS (SELECT *, row_number() OVER (PARTITION BY arm, oom ORDER BY throughput DESC, ord) AS r FROM w) SELECT arm, max(batch_size) FILTER (r = 1 AND NOT oom) AS fastest_batch, max(throughput) FILTER (NOT oom) AS throughput, max(batch_size) FILTER (NOT oom) AS largest_batch FROM u GROUP BY 1"
 
 
-def unit_costs(spark: S, d: str, within: str = "event_id < 2000") -> DataFrame:
-    r = table(spark, d, "events").where(within)
+def unit_costs(spark: S, d: str) -> DataFrame:
+    r = table(spark, d, "events")
     thr = (F.col("event_id") % 50 + 1).cast("double") / 100
     return r.select("event_id", cost.cost_per_1k(thr, F.lit(0.35)).alias("usd"), cost.whole_batches(F.col("event_id"), F.lit(8)).alias("whole"), cost.implausible(F.col("value"), F.col("event_id") % 60).alias("implausible"), cost.effective_batch(F.lit(2), F.col("event_id") % 3, F.lit(8)).cast("bigint").alias("effective"))
 
 
 _UNIT = """
 SELECT event_id, 1000.0::DOUBLE / ((event_id % 50 + 1)::DOUBLE / 100) / 3600.0::DOUBLE * 0.35::DOUBLE AS usd, event_id - event_id % 8 AS whole,
-  event_id % 60 <= 0 OR value <= (event_id % 60) * 1000.0::DOUBLE / 500.0::DOUBLE AS implausible, (16 * greatest(1, event_id % 3))::BIGINT AS effective FROM events WHERE event_id < 2000
+  event_id % 60 <= 0 OR value <= (event_id % 60) * 1000.0::DOUBLE / 500.0::DOUBLE AS implausible, (16 * greatest(1, event_id % 3))::BIGINT AS effective FROM events
 """
 
 
-def median_pass(spark: S, d: str, within: str = "event_id < 1500") -> DataFrame:
-    p = table(spark, d, "events").where(within).select(F.col("event_type").alias("arm"), F.col("event_id").alias("ord"), F.col("value").alias("p50"))
+def median_pass(spark: S, d: str) -> DataFrame:
+    p = table(spark, d, "events").select(F.col("event_type").alias("arm"), F.col("event_id").alias("ord"), F.col("value").alias("p50"))
     return benchmarks.median_pass(p)
 
 
-_MEDPASS = "WITH p AS (SELECT event_type AS arm, event_id AS ord, value AS p50 FROM events WHERE event_id < 1500), m AS (SELECT arm, median(p50) AS med FROM p GROUP BY 1), r AS (SELECT arm, ord, row_number() OVER (PARTITION BY arm ORDER BY abs(p50 - med), ord) AS r FROM p JOIN m USING (arm)) SELECT arm, ord FROM r WHERE r = 1"
+_MEDPASS = "WITH p AS (SELECT event_type AS arm, event_id AS ord, value AS p50 FROM events), m AS (SELECT arm, median(p50) AS med FROM p GROUP BY 1), r AS (SELECT arm, ord, row_number() OVER (PARTITION BY arm ORDER BY abs(p50 - med), ord) AS r FROM p JOIN m USING (arm)) SELECT arm, ord FROM r WHERE r = 1"
 
 
-def index_build(spark: S, d: str, within: str = "event_id < 1000") -> DataFrame:
-    t = table(spark, d, "events").where(within).select((F.col("event_id") % 10).cast("string").alias("arm"), F.floor(F.col("event_id") / 10).alias("ord"), F.col("value").alias("ms"))
+def index_build(spark: S, d: str) -> DataFrame:
+    t = table(spark, d, "events").select((F.col("event_id") % 10).cast("string").alias("arm"), F.floor(F.col("event_id") / 10).alias("ord"), F.col("value").alias("ms"))
     return benchmarks.index_build(t)
 
 
-_INDEX = "WITH t AS (SELECT CAST(event_id % 10 AS VARCHAR) AS arm, event_id // 10 AS ord, value AS ms FROM events WHERE event_id < 1000) SELECT arm, max(ms) FILTER (ord = 0) + greatest(0.0, max(ms) FILTER (ord = 1) - median(ms) FILTER (ord > 1)) AS build_ms FROM t GROUP BY 1"
+_INDEX = "WITH t AS (SELECT CAST(event_id % 10 AS VARCHAR) AS arm, event_id // 10 AS ord, value AS ms FROM events) SELECT arm, max(ms) FILTER (ord = 0) + greatest(0.0, max(ms) FILTER (ord = 1) - median(ms) FILTER (ord > 1)) AS build_ms FROM t GROUP BY 1"
 
 
 def checkpoint(spark: S, d: str) -> DataFrame:
@@ -206,19 +204,19 @@ def _arms(spark: S) -> DataFrame:
     return spark.createDataFrame(list(enumerate(schema.ARMS)), "ord int, arm string")
 
 
-def headline(spark: S, d: str, within: str = "doc_id < 100") -> DataFrame:
+def headline(spark: S, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("doc_id % 5 <> 3")
     arm = F.element_at(F.array(*map(F.lit, schema.ARMS)), (F.col("doc_id") % 5 + 1).cast("int"))
     metrics = docs.groupBy(arm.alias("arm")).agg((F.count_if(F.col("n_chars") > 2000) / F.count("*")).alias("macro_f1"))
     bench = docs.where("doc_id % 5 <> 1").groupBy(arm.alias("arm")).agg(F.max("n_chars").cast("double").alias("p50_ms"), F.lit(0.35).alias("hourly"))
-    sweep = docs.where(f"doc_id % 5 in (0, 2) and {within}").select(arm.alias("arm"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("batch_size"), (F.col("n_chars") % 50 + 1).cast("double").alias("throughput"), (F.col("n_chars") % 3 == 0).alias("oom"))
+    sweep = docs.where("doc_id % 5 in (0, 2)").select(arm.alias("arm"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("batch_size"), (F.col("n_chars") % 50 + 1).cast("double").alias("throughput"), (F.col("n_chars") % 3 == 0).alias("oom"))
     return report.headline(_arms(spark), metrics, bench, sweep)
 
 
 _HEAD = f"""
 WITH a AS (SELECT * FROM {_ARMS}), d AS (SELECT a.arm, doc_id, n_chars FROM documents JOIN a ON a.ord = doc_id % 5 WHERE doc_id % 5 <> 3),
 m AS (SELECT arm, count(*) FILTER (n_chars > 2000) / count(*) AS macro_f1 FROM d GROUP BY 1), b AS (SELECT arm, max(n_chars)::DOUBLE AS p50_ms FROM d WHERE doc_id % 5 <> 1 GROUP BY 1),
-s AS (SELECT arm, doc_id AS batch_size, (n_chars % 50 + 1)::DOUBLE AS thr, row_number() OVER (PARTITION BY arm ORDER BY n_chars % 50 DESC, doc_id) AS r FROM d WHERE doc_id % 5 IN (0, 2) AND doc_id < 100 AND n_chars % 3 <> 0)
+s AS (SELECT arm, doc_id AS batch_size, (n_chars % 50 + 1)::DOUBLE AS thr, row_number() OVER (PARTITION BY arm ORDER BY n_chars % 50 DESC, doc_id) AS r FROM d WHERE doc_id % 5 IN (0, 2) AND n_chars % 3 <> 0)
 SELECT a.ord, a.arm, macro_f1, macro_f1 - (SELECT macro_f1 FROM m WHERE arm = 'teacher') AS delta_vs_teacher, p50_ms, batch_size, 1000.0::DOUBLE / thr AS amortized_ms, 1000.0::DOUBLE / thr / 3600.0::DOUBLE * CASE WHEN p50_ms IS NOT NULL THEN 0.35::DOUBLE END AS cost_per_1k
 FROM a LEFT JOIN m USING (arm) LEFT JOIN b USING (arm) LEFT JOIN (SELECT * FROM s WHERE r = 1) s USING (arm)
 """
@@ -234,8 +232,8 @@ def field_pivot(spark: S, d: str) -> DataFrame:
 _PIVOT = _with_v(_score_sql(_PRED, "field, support, em_rate AS lora_ft_em, f1 AS lora_ft_f1, em_rate AS teacher_em, f1 / 2 AS teacher_f1, CAST(NULL AS DOUBLE) AS base_fewshot_f1, CASE WHEN support < 30 THEN 'low-n' END AS flag, rank() OVER (ORDER BY f1, field) AS place FROM z"))
 
 
-def sweep_marks(spark: S, d: str, within: str = "event_id < 200") -> DataFrame:
-    rows = _sweep(spark, d, within)
+def sweep_marks(spark: S, d: str) -> DataFrame:
+    rows = _sweep(spark, d)
     files = rows.groupBy("arm").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "batch_size", "throughput", "oom"))), lambda x: F.struct(x["batch_size"].alias("batch_size"), x["throughput"].alias("throughput"), x["oom"].alias("oom"))).alias("sweep"))
     return report.sweep_rows(files).select("arm", "batch_size", "mark")
 
@@ -337,15 +335,15 @@ QUERIES = {
     "a20_o9_stride_lengths": (stride, "WITH s AS (SELECT n_chars FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) WHERE r % 7 = 0 AND r < 700) SELECT quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.95) AS p95, max(n_chars) AS max FROM s"),
     "a15_a16_latency": (latency, "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, min(value) AS min, max(value) AS max FROM events GROUP BY 1"),
     "c6_spread": (spread, "WITH e AS (SELECT user_id, count(*)::DOUBLE AS v FROM events GROUP BY 1) SELECT user_id % 5 AS g, CASE WHEN median(v) > 0 THEN (max(v) - min(v)) / median(v) * 100 ELSE 0 END AS spread FROM e GROUP BY 1"),
-    "a21_best_rows": (best_rows, _BEST),
-    "c4_c5_c7_c8_unit_costs": (unit_costs, _UNIT),
-    "a17_median_pass": (median_pass, _MEDPASS),
-    "a25_index_build": (index_build, _INDEX),
+    "a21_best_rows_all": (best_rows, _BEST),
+    "c4_c5_c7_c8_unit_costs_all": (unit_costs, _UNIT),
+    "a17_median_pass_all": (median_pass, _MEDPASS),
+    "a25_index_build_all": (index_build, _INDEX),
     "w8_latest_checkpoint": (checkpoint, "SELECT arg_max('out/checkpoint-' || doc_id * 37 % 1009, doc_id * 37 % 1009) AS path, max(doc_id * 37 % 1009) AS step FROM documents WHERE doc_id % 7 <> 0"),
     "c11_losses": (losses, "SELECT arg_max(value, event_id) FILTER (event_id % 3 = 0) AS final_loss, min(value) FILTER (event_id % 100 = 0) AS best_eval_loss FROM events"),
-    "r1_jn12_headline": (headline, _HEAD),
+    "r1_jn12_headline_all": (headline, _HEAD),
     "r2_o4_fl8_per_field": (field_pivot, _PIVOT),
-    "r3_fl10_sweep": (sweep_marks, _MARKS),
+    "r3_fl10_sweep_all": (sweep_marks, _MARKS),
     "t13_t14_claims": (claims, _CLAIMS),
     "r6_r7_jn14_unknown_claims": (unknown_claims, _UNKNOWN),
     "jn15_conflated": (conflated, _CONFLATED),
@@ -357,12 +355,3 @@ QUERIES = {
     "s6_s7_column_inference": (column_inference, "SELECT 'text' AS text_column, 'doc_id' AS key_column"),
     "c10_st6_projection": (projected_spend, _PROJECTED),
 }
-
-#: The bounded queries once more over whole tables.
-QUERIES |= {
-    f"{name}_all": (partial(QUERIES[name][0], within="true"), QUERIES[name][1].replace(bound, "true"))
-    for name, bound in (
-        ("a21_best_rows", "event_id < 200"), ("r3_fl10_sweep", "event_id < 200"), ("c4_c5_c7_c8_unit_costs", "event_id < 2000"),
-        ("a17_median_pass", "event_id < 1500"), ("a25_index_build", "event_id < 1000"), ("r1_jn12_headline", "doc_id < 100"),
-    )
-}

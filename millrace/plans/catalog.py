@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import analysis, curation, delivery
+from millrace.plans import analysis, artifacts, curation, delivery
 
 FLAGSHIP = "a1_a3_score_per_field"
-_ALL = curation.QUERIES | analysis.QUERIES | delivery.QUERIES
+_ALL = curation.QUERIES | analysis.QUERIES | delivery.QUERIES | artifacts.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -54,8 +54,10 @@ SELECT sum(n_chars)::BIGINT AS tokens_in, sum(doc_id % 300)::BIGINT AS tokens_ou
 
 
 def missing_ids(spark: S, d: str) -> DataFrame:
-    sent = table(spark, d, "documents").groupBy((F.col("doc_id") % 11).alias("batch")).agg(F.collect_list(F.col("doc_id").cast("string")).alias("doc_ids"))
-    return label.missing(sent, _results(spark, d)).groupBy("batch").agg(F.count("*").alias("n"), F.sum(F.col("doc_id").cast("bigint")).alias("ids"))
+    """Batches of 64 documents each, as they are sent; grouped by batch number modulo 11 to be counted."""
+    batches = table(spark, d, "documents").groupBy((F.col("doc_id") % 11).alias("group"), F.floor(F.col("doc_id") / (11 * 64)).alias("nth")).agg(F.collect_list(F.col("doc_id").cast("string")).alias("doc_ids"))
+    lost = label.missing(batches.select(F.struct("group", "nth").alias("batch"), "doc_ids"), _results(spark, d))
+    return lost.groupBy(F.col("batch.group").alias("batch")).agg(F.count("*").alias("n"), F.sum(F.col("doc_id").cast("bigint")).alias("ids"))
 
 
 def _classified(spark: S, d: str) -> DataFrame:
@@ -234,7 +236,7 @@ QUERIES = {
     "st5_retry_round": (retried, f"SELECT doc_id FROM ({_O}) WHERE outcome IN ('parse_failed', 'api_error')"),
     "st5_prompt_at_fault": (prompt_at_fault, f"WITH o AS ({_O}), s AS (SELECT (count(*) FILTER (outcome IN ('parse_failed', 'api_error')))::DOUBLE / count(*)::DOUBLE AS share FROM o) SELECT share, share > 0.2 AS prompt_at_fault FROM s"),
     "fl9_capacity_errors": (capacity, "SELECT doc_id, doc_id % 6 < 2 AS capacity FROM documents"),
-    "fl6_o3_agreement_floor": (floor_of_agreement, _FLOOR),
+    "fl6_o3_agreement_floor_all": (floor_of_agreement, _FLOOR),
     "jn17_review_queue": (queue, _QUEUE),
     "st9_first_unreviewed": (first_unreviewed, _FIRST),
     "a22_teacher_bench": (teacher_bench, _BENCH),

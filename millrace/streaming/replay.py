@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,24 +17,54 @@ def fold(rows: DataFrame) -> DataFrame:
     return rows.withColumn("slot", slot).groupBy("doc_id", "slot").agg(F.max_by(F.struct("seq", "field", "old", "new", "at", "action"), F.col("seq")).alias("r")).select("doc_id", "r.*")
 
 
-def replay_stream(spark: SparkSession, log_dir: str, state_dir: str, checkpoint_dir: str) -> None:
-    """Reads what is new in a folder of JSON lines and merges it into versioned states; run again it goes on where it stopped.
+#: Parts of the state; a micro-batch rewrites only those that its documents fall into.
+BUCKETS = 64
+_VERSION = re.compile(r"/v=([0-9]+)/b=([0-9]+)$")
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+
+
+def _newest(spark: SparkSession, state_dir: str, before: int) -> tuple[dict[int, str], list[str]]:
+    """The folder of each bucket's newest version below ``before``, and those that are older than it. There are at most ``BUCKETS`` folders a version."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(state_dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((int(m[2]), int(m[1]), str(f)) for f in ([x.getPath().toString() for x in fs.globStatus(path(f"{state_dir}/v=*/b=*"))] if fs.exists(path(state_dir)) else []) if (m := _VERSION.search(f)) and int(m[1]) < before)
+    newest = {b: f for b, _, f in found}
+    return newest, [f for b, _, f in found if f != newest[b]]
+
+
+def replay_stream(spark: SparkSession, log_dir: str, state_dir: str, checkpoint_dir: str, files_per_batch: int = 1000) -> None:
+    """Reads what is new in a folder of JSON lines and merges it into states; run again it goes on where it stopped.
 
-    A micro-batch writes version ``id + 1`` from version ``id``, so a batch that is run twice writes the same again.
+    A micro-batch writes a new version of the buckets that it touches from their newest earlier version, so a batch that is
+    run twice writes the same again; versions that no batch can need any more are removed.
     """
-    stream = spark.readStream.schema(LOG).json(log_dir)
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).json(log_dir)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = fold(batch)
-        if batch_id:
-            old = spark.read.schema(LOG).json(f"{state_dir}/v{batch_id}")
-            new = fold(old.unionByName(new.select(*LOG.names)))
-        new.select(*LOG.names).write.mode("overwrite").json(f"{state_dir}/v{batch_id + 1}")
+        session = batch.sparkSession
+        new = fold(batch).select(*LOG.names, _bucket().alias("b")).persist()
+        touched = [r["b"] for r in new.select("b").distinct().collect()]  # at most BUCKETS
+        newest, stale = _newest(session, state_dir, batch_id + 1)
+        old = [newest[b] for b in touched if b in newest]
+        rows = new.drop("b")
+        if old:
+            rows = rows.unionByName(session.read.schema(LOG).json(old))
+        merged = fold(rows).select(*LOG.names, _bucket().alias("b"))
+        merged.repartition("b").write.mode("overwrite").partitionBy("b").json(f"{state_dir}/v={batch_id + 1}")
+        new.unpersist()
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(state_dir).getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
+        for f in stale:
+            fs.delete(path(f), True)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def states(spark: SparkSession, state_dir: str, version: int) -> DataFrame:
-    """The folded log, from which ``gold.replay`` gives the same answer as from the whole log."""
-    return spark.read.schema(LOG).json(f"{state_dir}/v{version}")
+def states(spark: SparkSession, state_dir: str, version: int | None = None) -> DataFrame:
+    """The folded log, from which ``gold.replay`` gives the same answer as from the whole log; by default of the last version."""
+    newest, _ = _newest(spark, state_dir, (1 << 62) if version is None else version + 1)
+    return spark.read.schema(LOG).json(sorted(newest.values())) if newest else spark.createDataFrame([], LOG)
