@@ -53,10 +53,10 @@ def codes(vectors: list[np.ndarray], bits: int, tables: int, seed: int = 1) -> n
 
 def scaled(v: Column) -> Column:
     """The vector times a power of two, in two exact steps, so that its largest component is about 1; minus zero is zero."""
-    exponent = F.floor(F.log2(F.array_max(F.transform(v, F.abs))))
-    half = F.floor(exponent / 2)
-    by = lambda x, e: x * F.pow(F.lit(2.0), -e)
-    return F.transform(v, lambda x: by(by(x, half), exponent - half) + 0.0)
+    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  # worked out once, not for each component
+    power = lambda e: F.pow(F.lit(2.0), -e)
+    steps = let(F.floor(F.log2(F.array_max(F.transform(v, F.abs)))), lambda e: F.struct(power(F.floor(e / 2)).alias("a"), power(e - F.floor(e / 2)).alias("b")))
+    return let(steps, lambda s: F.transform(v, lambda x: x * s["a"] * s["b"] + 0.0))
 
 
 def split_pairs(dealt: DataFrame) -> DataFrame:
@@ -84,7 +84,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     some = F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     rows = src.select("vec_id", "label", F.when(finite & some & F.col("label").isNotNull(), scaled(F.col("v"))).alias("v"))
     ids = rows.select("vec_id", "label", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("label", "v")).cast("binary"), 256)).alias("sig"), "v")
-    held = ws.keep(ids.select("vec_id", "sig"), "ids")
+    ids = ws.keep(ids, "ids")
+    held = ids.select("vec_id", "sig")
     grouped = ids.where("sig is not null").groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = ws.keep(grouped.withColumn("c", F.monotonically_increasing_id()), "classes")  # written, so the numbers stay
     told = classes.groupBy("label").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("square"), F.sum("n").alias("n")).first()
