@@ -48,6 +48,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 # Words that make a paragraph sensitive.
 SENSITIVE = re.compile(r"passw(?:or)?d|passphrase|\bpwd\b|secret|token|credential|bearer\s|authorization|(?:api|private|access|auth|signing|encryption|session|ssh)[ _-]?key", re.I | re.A)
+#: One of these is in every match of ``SENSITIVE``, lower-cased: a cheap first look at a text.
+_ROOTS = ("passw", "passphrase", "pwd", "secret", "token", "credential", "bearer", "authorization", "key")
 LEAST = 16
 _CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}(?![A-Za-z0-9])")
 _BLANK = re.compile(r"\n[ \t\r]*\n")
@@ -124,7 +126,8 @@ def novelty(text: str, start: int, end: int, dictionary: bytes | None = None) ->
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Whole runs of key characters in paragraphs with a sensitive word, in order and without overlap."""
-    if not SENSITIVE.search(text):
+    low = text.lower()
+    if not any(root in low for root in _ROOTS) or not SENSITIVE.search(text):
         return
     edges = [0, *(m.end() for m in _BLANK.finditer(text)), len(text)]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
