@@ -1,14 +1,15 @@
-"""Shared plumbing: durable intermediate tables, worker imports and distributed connected components."""
+"""Shared plumbing: worker imports and batch sizes, and the library's durable tables and components."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
+
+from millrace.tables import Workspace, components, shared_dir
+
+__all__ = ["BATCH_ROWS", "Workspace", "components", "fresh", "prepare", "shared_dir"]
 
 #: Rows of an Arrow batch at most; a batch of texts is held by the executor and by its Python worker.
 BATCH_ROWS = 2000
@@ -32,86 +33,3 @@ def fresh(names: list[str], base: str = "__x") -> str:
     while base in taken:
         base += "_"
     return base
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only if the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-class Workspace:
-    """Intermediate tables in the shared folder.
-
-    Written tables cut lineage and survive the loss of executors. ``drop`` removes one that is no longer read; what is
-    left goes when the JVM ends.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
-        self._n = 0
-        self._paths: dict[int, str] = {}
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.base)
-        self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(path)
-        self._fs.deleteOnExit(path)
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
-        self._n += 1
-        path = f"{self.base}/{self._n}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for df in tables:
-            path = self._paths.pop(id(df), None)
-            if path:
-                self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
-
-
-def components(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges (a, b)`` as ``(node, root)``, root being the smallest node of its component.
-
-    Each round every node points to its smallest neighbour, pointers are followed twice and the edges are contracted to
-    the nodes pointed at, so at least half of the nodes in a component go away in a round. All steps are partial
-    aggregations and equi-joins; nothing is gathered on the driver. Null ends and loops are ignored.
-    """
-    clean = edges.select("a", "b").where("a is not null and b is not null and a <> b")
-    left = ws.keep(clean.distinct(), "edges")
-    roots: DataFrame | None = None
-    while not left.isEmpty():
-        both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
-        up = ws.keep(up.select("node", F.least("node", "to").alias("to")), "up")
-        for _ in range(2):
-            far = up.alias("x").join(up.alias("y"), F.col("x.to") == F.col("y.node"), "left")
-            jumped = ws.keep(far.select("x.node", F.coalesce("y.to", "x.to").alias("to")), "up")
-            ws.drop(up)
-            up = jumped
-        a = left.join(up, left.a == up.node).select(F.col("to").alias("a"), "b")
-        b = a.join(up, a.b == up.node).select("a", F.col("to").alias("b"))
-        small = b.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        nxt = ws.keep(small, "edges")
-        if roots is None:
-            new = up.select("node", F.col("to").alias("root"))
-        else:
-            m = roots.join(up.withColumnRenamed("node", "n2"), F.col("root") == F.col("n2"), "left")
-            new = m.select("node", F.coalesce("to", "root").alias("root"))
-        new = ws.keep(new, "roots")
-        ws.drop(left, up, *([roots] if roots is not None else []))
-        roots, left = new, nxt
-    if roots is None:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))  # no edges
-    ws.drop(left)
-    return roots
