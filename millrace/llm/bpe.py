@@ -4,11 +4,14 @@ A rolling hash over the bytes of a text marks chunk borders, so a passage that o
 same chunks wherever it stands. The inside of a chunk (from its first to its last space) is encoded once and kept; what
 lies around a border, from the last space before it to the first space after it, is the seam, which is re-encoded. A
 join is accepted when the re-encoded seam, read with one more word on either side, ends in exactly the ids that the
-chunks gave for these words; otherwise it is widened by a further word until they agree, up to the whole text.
+chunks gave for these words; otherwise the pieces on both sides of a join that disagrees are joined and encoded anew,
+until every join of the text agrees with its own re-encoding, the whole text in the end.
 
 The store of encoded chunks belongs to the Python worker, which serves many tasks; it is bounded by ``STORE_BYTES`` and
-emptied when full, which costs time and changes no result. Nothing is shuffled, so no key can be hot, and a lost task is
-just run again.
+emptied when full, which costs time and changes no result. ``reuse`` tells how many bytes of chunks a worker found there.
+Nothing is shuffled, so no key can be hot, and a lost task is just run again. A store for the whole cluster would need
+every chunk of every text to be shuffled twice, its bytes to be counted as distinct and its ids to come back, which costs
+more than the encoding that it saves unless most of the text is copies.
 
 Null and empty texts have no ids and decode to the empty string. Repeated rows give equal rows. Very long texts are
 chunked as any others. Further columns pass through unless their names clash with the new ones, which then win.
@@ -18,8 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,6 @@ from millrace.llm.textkernel import mix, powers, raw, slices
 #: A border falls where the hash of the last WINDOW bytes has its low MASK_BITS bits clear.
 WINDOW, MASK_BITS = 24, 10
 STORE_BYTES = 16 << 20
-#: Words of new chunks whose ids are kept beside the chunks, in each of two generations.
-STORE_WORDS = 120_000
 _SPACES = b" \n"
 
 
@@ -72,18 +71,17 @@ class Codec:
         self.tokenizer.no_padding()
         self.texts = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.plain_join = self.tokenizer.decoder is None
-        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        tried = ["Ab, cd. efgh\n ij", "ab", ",", "cd", ".", "efgh", "ij"]
-        self.by_word = ids(tried[0]) == [i for t in tried[1:] for i in ids(t)] and all(ids(t) == [x.id for x in self.tokenizer.model.tokenize(t)] for t in ("ab", "efgh"))
         self.store: dict[bytes, np.ndarray] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         self.held = 0
-        self.encoded_bytes = 0
+        #: Bytes of the chunks of all texts so far, and of those that had to be encoded.
+        self.chunk_bytes, self.encoded_bytes = 0, 0
 
-    def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def _encode(self, pieces: list[bytes], chunks: bool = False) -> list[np.ndarray]:
         """Ids of each piece, from the store where it is there."""
         new = [p for p in dict.fromkeys(pieces) if p not in self.store]
+        if chunks:
+            self.chunk_bytes += sum(map(len, pieces))
+            self.encoded_bytes += sum(map(len, new))
         if new:
             if self.held > STORE_BYTES:
                 kept = {p: self.store[p] for p in pieces if p in self.store}
@@ -93,42 +91,8 @@ class Codec:
                 ids = np.array(e.ids, "<u4")
                 self.store[p] = ids
                 self.held += len(p) + 4 * len(ids) + 200
-                self.encoded_bytes += len(p)
         return [self.store[p] for p in pieces]
 
-    def _inside(self, chunks: list[bytes]) -> list[np.ndarray]:
-        """As ``_encode`` for chunks, which start and end at spaces. If no token spans a space, new chunks are put together from words."""
-        if not self.by_word:
-            return self._encode(chunks)
-        new = {p: _words(p) for p in dict.fromkeys(chunks) if p not in self.store}
-        if self.held > STORE_BYTES:
-            self.store = {p: self.store[p] for p in chunks if p in self.store}
-            self.held = sum(len(p) + 4 * len(v) + 200 for p, v in self.store.items())
-        if len(self.words) > STORE_WORDS:
-            self.words, self.older = {}, self.words
-        known, older = self.words, self.older
-        missing = set().union(*new.values()).difference(known)
-        if older:  # words of the generation before that are met again
-            again = missing.intersection(older)
-            known.update({w: older[w] for w in again})
-            missing -= again
-        missing = list(missing)
-        if missing:
-            model = self.tokenizer.model
-            rest = []
-            for w in missing:
-                if w.isalpha() and w.islower():  # one piece, which the steps before the model leave alone
-                    known[w] = array("I", [t.id for t in model.tokenize(w.decode())]).tobytes()
-                else:
-                    rest.append(w)
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-            known.update(zip(rest, [array("I", e.ids).tobytes() for e in found], strict=True))
-        for p, words in new.items():
-            ids = self.store[p] = np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
-            self.held += len(p) + 4 * len(ids) + 200
-            self.encoded_bytes += len(p)
-        return [self.store[p] for p in chunks]
-
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of whole texts. Pieces of all texts are gathered first, so the tokenizer is called a few times only."""
         plans: list[list[tuple[str, bytes]]] = []
@@ -147,14 +111,14 @@ class Codec:
                 at = right
             plan.append(("chunk", text[at:]))
             plans.append(plan)
-        chunks = iter(self._inside([piece for plan in plans for kind, piece in plan if kind == "chunk"]))
+        chunks = iter(self._encode([piece for plan in plans for kind, piece in plan if kind == "chunk"], chunks=True))
         seams = iter(self._encode([piece for plan in plans for kind, piece in plan if kind == "seam"]))
         results = [[next(chunks if kind == "chunk" else seams) for kind, _ in plan] for plan in plans]
         tries = []
         for k, plan in enumerate(plans):
             for i in range(1, len(plan), 2):
                 tries.append((k, i, _last_word(plan[i - 1][1]), _first_word(plan[i + 1][1])))
-        ends = iter(self._inside([w for *_, before, after in tries for w in (before, after)]))
+        ends = iter(self._encode([w for *_, before, after in tries for w in (before, after)]))
         wide = iter(self._encode([before + plans[k][i][1] + after for k, i, before, after in tries]))
         bad: set[int] = set()
         for k, i, *_ in tries:
@@ -184,16 +148,6 @@ class Codec:
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
-_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
-
-
-def _words(chunk: bytes) -> list[bytes]:
-    """Words between spaces. A-Z is lower-cased as the tokenizer does, and one mark behind a letter stands alone, as it is a piece of its own; special tokens are left."""
-    if b"<|" in chunk:
-        return chunk.split()
-    return _MARK.sub(rb" \1", chunk.lower()).split()
-
-
 def _last_word(piece: bytes) -> bytes:
     body = piece.rstrip(_SPACES)
     at = max(body.rfind(b" "), body.rfind(b"\n"))
@@ -267,3 +221,21 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
             yield from _coded(batch, keep, path, full)
 
     return src.mapInArrow(run, schema)
+
+
+def reuse(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """``(chunk_bytes, encoded_bytes)``: bytes of the chunks of all texts, and of those that a worker had to encode. One row."""
+    runtime.prepare(docs.sparkSession)
+    path = path or word_tokenizer_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        before = c.chunk_bytes, c.encoded_bytes
+        for batch in batches:
+            data, offsets = raw(batch.column(0))
+            for i, j in slices(offsets):
+                c.encode([data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)])
+        yield pa.RecordBatch.from_arrays([pa.array([c.chunk_bytes - before[0]]), pa.array([c.encoded_bytes - before[1]])], ["chunk_bytes", "encoded_bytes"])
+
+    told = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "chunk_bytes bigint, encoded_bytes bigint")
+    return told.agg(F.coalesce(F.sum("chunk_bytes"), F.lit(0)).alias("chunk_bytes"), F.coalesce(F.sum("encoded_bytes"), F.lit(0)).alias("encoded_bytes"))
