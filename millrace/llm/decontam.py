@@ -10,10 +10,10 @@ of up to ``EXACT`` shingles; these are looked up by their rarest shingles, so ma
 none is missed. Candidates are verified by exact containment, the share of the
 item's distinct shingles that are in the document.
 
-Items are a stated query set, taken in blocks of at most ``BLOCK_ITEMS`` items, each matched against all documents in
-one pass; a block's hashes are broadcast, which bounds them by ``BLOCK_ITEMS`` and the block's text by ``ITEM_BYTES`` an
-item (a longer item is split over blocks of its own). Documents are never shuffled, so hot passages and copies cost what
-other rows cost.
+Items are a stated query set, taken in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` of text (an item that
+is longer is a block of its own). Blocks go to the driver one at a time; each is broadcast, matched against all documents
+in one pass whose result is written, and released, so what is held does not grow with the number of items. Documents are
+never shuffled, so hot passages and copies cost what other rows cost.
 
 Words are maximal runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. An item of fewer than k words
 is its whole sequence, contained where that sequence of words occurs. Null, empty and wordless items and documents match
@@ -23,6 +23,7 @@ nothing. Repeated rows are reported once for each document row. Further columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +36,26 @@ from millrace.llm import textkernel as tk
 HASHES, STEP, LEAST_U = 48, 1.5, 8
 #: Items of up to so many shingles are found by the shingles themselves.
 EXACT = 16
-BLOCK_ITEMS = 10_000
-#: Mean bytes of an item that a block's size is planned for.
-ITEM_BYTES = 4096
+BLOCK_ITEMS, BLOCK_BYTES = 10_000, 40 << 20
 #: Positions whose MinHash values are first reduced together.
 GRAIN = 8
-MASK_BITS = 18
-_MASK_SHIFT = np.uint64(64 - MASK_BITS)
 _LAST = np.uint64((1 << 64) - 1)
 
 
+class Mask:
+    """A first, rough test of membership by the upper bits of a hash, as large as its members need."""
+
+    def __init__(self, members: np.ndarray) -> None:
+        bits = min(18, max(8, int(len(members) * 16).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[members >> self.shift] = True
+
+    def maybe(self, values: np.ndarray) -> np.ndarray:
+        """Places of the values that may be members."""
+        return np.flatnonzero(self.table[values >> self.shift])
+
+
 class Items:
     """A block of items: shingle sets, MinHash values by partition, and the sequences of items of fewer than k words."""
 
@@ -62,8 +73,7 @@ class Items:
         by_u: dict[int, list[int]] = {}
         few = [i for i, s in enumerate(sets) if lengths[i] >= k and len(s) <= EXACT]
         self.keys, self.keyed = self._keys(few, num, den)
-        self.key_mask = np.zeros(1 << MASK_BITS, bool)
-        self.key_mask[self.keys >> _MASK_SHIFT] = True
+        self.key_mask = Mask(self.keys)
         for i, s in enumerate(sets):
             if 0 < lengths[i] < k:
                 seq = words.hashes[words.of[i] : words.of[i + 1]]
@@ -92,12 +102,10 @@ class Items:
         order = np.argsort(every, kind="stable")
         return every[order], of[order]
 
-    def _sorted(self, members: list[int], h: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _sorted(self, members: list[int], h: int) -> tuple[np.ndarray, np.ndarray, Mask]:
         v = np.array([((self.sets[i] ^ self.seeds[h]) * self.factors[h]).min() for i in members], np.uint64)
         order = np.argsort(v, kind="stable")
-        mask = np.zeros(1 << MASK_BITS, bool)  # a first, rough test of membership
-        mask[v >> _MASK_SHIFT] = True
-        return v[order], np.array(members)[order], mask
+        return v[order], np.array(members)[order], Mask(v)
 
 
 def _covering(first: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +126,7 @@ def matches(words: tk.Words, items: Items) -> Iterator[tuple[int, int, int]]:
     spans = np.stack([begin, np.maximum(begin, words.of[1:] - k + 1)], 1)
     found: dict[int, set[int]] = {}
     if len(items.keys) and len(every):
-        at = np.flatnonzero(items.key_mask[every >> _MASK_SHIFT])
+        at = items.key_mask.maybe(every)
         lo, hi = (np.searchsorted(items.keys, every[at], side) for side in ("left", "right"))
         text = np.searchsorted(words.of, at, "right") - 1
         for j in np.flatnonzero((hi > lo) & (at + k <= words.of[text + 1])).tolist():
@@ -150,7 +158,7 @@ def matches(words: tk.Words, items: Items) -> Iterator[tuple[int, int, int]]:
                 values, members, mask = parts[h]
                 for lv, _, start, end, text in windows[u]:
                     win = np.minimum(tables[lv][start], tables[lv][end])
-                    maybe = np.flatnonzero(mask[win >> _MASK_SHIFT])
+                    maybe = mask.maybe(win)
                     if not len(maybe):
                         continue
                     lo = np.searchsorted(values, win[maybe])
@@ -180,15 +188,13 @@ def containment(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 4, den
     spark = docs.sparkSession
     runtime.prepare(spark)
     q = items.select(F.col(f"`{item_key}`").alias("item_id"), F.col(f"`{item_text}`").alias("text"))
-    size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-size["b"] // (BLOCK_ITEMS * ITEM_BYTES)))
     src = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     ids, item_ids = (x.schema[0].dataType.simpleString() for x in (src, q))
     schema = f"doc_id {ids}, item_id {item_ids}, n_item bigint, n_common bigint"
     item_type = q.limit(0).toArrow().schema.field(0).type
-    out = None
-    for b in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id").collect()  # one block
+    ws = runtime.Workspace(spark)
+    found = []
+    for rows in _blocks(q):
         told = spark.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows], k, num, den))
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
@@ -207,9 +213,23 @@ def containment(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 4, den
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "n_item", "n_common"])
 
-        part = src.mapInArrow(run, schema)
-        out = part if out is None else out.unionAll(part)
-    return out
+        found.append(ws.keep(src.mapInArrow(run, schema), "found"))
+        told.destroy()
+    return reduce(DataFrame.unionAll, found)
+
+
+def _blocks(items: DataFrame) -> Iterator[list]:
+    """Rows of the items in blocks, read partition by partition; one empty block if there are none."""
+    held, size, some = [], 0, False
+    for row in items.toLocalIterator():
+        n = len((row["text"] or "").encode())
+        if held and (len(held) >= BLOCK_ITEMS or size + n > BLOCK_BYTES):
+            yield held
+            held, size, some = [], 0, True
+        held.append(row)
+        size += n
+    if held or not some:
+        yield held
 
 
 def clean(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
