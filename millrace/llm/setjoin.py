@@ -14,7 +14,8 @@ Two documents link when ``den * |A & B| >= num * |A | B|``. The join is exact an
   components of the ties are blocks, each set goes to its block once, and there the inverted lists are scanned for
   exact overlaps. Blocks of over ``BLOCK`` sets are split and every pair of parts is scanned as a task of its own.
 
-Equal sets are one class from the start, lists are merged within a task before they are shuffled, and a block returns a
+Lists are merged in buckets of their elements, as many as keep ``BUCKET_SHINGLES`` elements of all sets for each, so a
+bucket's table does not grow with the input. Equal sets are one class from the start, lists are merged within a task before they are shuffled, and a block returns a
 spanning forest of its links rather than the links, so copies are never expanded into pairs. Components come from
 ``runtime.components``. Shingles are 64-bit hashes of their words.
 
@@ -49,6 +50,8 @@ SHORT_LIST = 64
 BLOCK = 512
 #: Shingle hashes that a task holds before it sends what it has.
 FLUSH = 2_000_000
+#: Shingles of all sets for each bucket in which lists are merged, and the least number of buckets.
+BUCKET_SHINGLES, LEAST_BUCKETS = 2_000_000, 32
 #: The largest boundary that is considered.
 MOST_LIGHT = 24
 #: Cost of a posting on an inverted list, with what follows from it, in enumerated subsets.
@@ -435,9 +438,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, table:
     runtime.prepare(spark)
     ws = runtime.Workspace(spark)
     rule = Rule(num, den)
-    parts = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets = ws.keep(shingle_sets(docs, k, table, key, text), "sets")
     full = sets.where("n > 0 and doc_id is not null")
+    parts = max(LEAST_BUCKETS, -(-(full.agg(F.sum("n")).first()[0] or 0) // BUCKET_SHINGLES))
     sizes = {r["n"]: r["count"] for r in full.where(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect()}  # at most 2 * MOST_LIGHT rows
     x = boundary(sizes, rule)
     known = frequent(docs, k, table, key, text, parts)
