@@ -91,12 +91,14 @@ def sums_by_text(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, ext
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(text, y)`` of at most ``most`` labelled rows, chosen by a hash of the key. Null labels and keys are left out."""
+    """``(h, text, y)`` of at most ``most`` labelled rows, chosen by a hash of the key, ``h``. Null labels and keys are left out; of rows that share a key the one whose text has the least hash counts."""
     held = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
     chosen = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     named = F.broadcast(chosen.select(F.col("doc_id").alias("__id"), "y"))  # at most ``most`` rows of two numbers
-    src = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("text"))
-    return src.join(named, F.col("__key") == F.col("__id")).select("text", "y").limit(most)
+    src = docs.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    joined = src.join(named, F.col("__key") == F.col("__id"))
+    one = joined.groupBy("__id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return one.select(F.xxhash64("__id").alias("h"), "text", "y")
 
 
 def fitted(rows: DataFrame, extract: Extract, bits: int, fit: Callable[[list[tuple[np.ndarray, np.ndarray]], np.ndarray, int], np.ndarray]) -> np.ndarray:
@@ -106,8 +108,8 @@ def fitted(rows: DataFrame, extract: Extract, bits: int, fit: Callable[[list[tup
         xs, ys = [], []
         one = np.float32(1)
         for batch in batches:
-            data, offsets = tk.raw(batch.column(0))
-            ys += batch.column(1).to_pylist()
+            data, offsets = tk.raw(batch.column(1))
+            ys += batch.column(2).to_pylist()
             for i, j in tk.slices(offsets):
                 t, f, v = extract(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits)
                 cut = np.searchsorted(t, np.arange(j - i + 1))
@@ -115,6 +117,6 @@ def fitted(rows: DataFrame, extract: Extract, bits: int, fit: Callable[[list[tup
                 xs += [(f[a:b].astype(np.int32), v[a:b].copy() if weighted else np.broadcast_to(one, b - a)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([fit(xs, np.array(ys, np.int64), 1 << bits).astype(np.float32).tobytes()], pa.binary())], ["w"])
 
-    # in one order whatever the order of arrival, so that a run can be repeated
-    got = rows.repartition(1).sortWithinPartitions("text", "y").mapInArrow(train, "w binary").collect()  # one row
+    # in hashed order whatever the order of arrival, so that a run can be repeated and a part of the rows is a random one
+    got = rows.repartition(1).sortWithinPartitions("h", "text", "y").mapInArrow(train, "w binary").collect()  # one row
     return np.frombuffer(bytes(got[0]["w"]), np.float32) if got else np.zeros(0, np.float32)

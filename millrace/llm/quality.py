@@ -1,8 +1,8 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained with follow-the-regularised-leader updates.
 
 It learns from at most ``SAMPLE`` labelled rows in one task (FTRL-proximal with L1 and L2 terms, rows in hashed order,
-``EPOCHS`` passes in small batches). The last fifth of the sample sets a shift of the log-odds such that a score of 0.3
-is where both classes are told apart best. Scoring is a sparse dot product per text over the whole table, without a
+``EPOCHS`` passes in small batches). The last fifth of the sample in hashed order, a random fifth, sets a shift of the
+log-odds such that a score of 0.3 is where both classes are told apart best. Scoring is a sparse dot product per text over the whole table, without a
 shuffle; the weights are a vector of fixed size.
 
 Null and empty texts have no features and score by the bias alone. Without any label every score is 0.5. Repeated rows
