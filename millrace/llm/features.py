@@ -58,6 +58,7 @@ def quality_features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[
     tail = np.where(_PUNCT[last], last * 256 + np.where(_PUNCT[second], second, 0), 0)
     same = np.zeros(len(w), np.int64)
     same[1:] = w.hashes[1:] == w.hashes[:-1]
+    same[w.of[:-1][w.of[:-1] < len(w)]] = 0  # a text's first word repeats none
     case = np.where(upper == 0, 0, np.where(upper >= np.maximum(2, (length - punct) * 0.6), 2, 1))
     shape = tail + (case << 20) + (np.minimum(digit, 3) << 24) + (np.minimum(punct, 4).astype(np.int64) << 28) + (same << 32) + (np.minimum(length, 24) // 4 << 36)
     shape = tk.mix(shape.astype(np.uint64) ^ np.uint64(0x51A9E))
