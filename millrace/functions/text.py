@@ -35,9 +35,16 @@ def _decoded(s: pd.Series) -> pd.Series:
     return s.map(decode, na_action="ignore")
 
 
-#: Named as not deterministic though it is: so the optimiser neither repeats it in each expression that reads its column
-#: nor moves filters on the cleaned text below it, where they would clean the text a second time.
-decoded = F.pandas_udf(_decoded, T.StringType()).asNondeterministic()
+decoded = F.pandas_udf(_decoded, T.StringType())
+
+
+def once(c: Column) -> Column:
+    """``c``, in a form that counts as not deterministic though it is.
+
+    So the optimiser neither repeats it in each expression that reads its column nor moves filters on it below its
+    projection, where they would work it out again.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
 def let(value: Column, use) -> Column:  # noqa: ANN001
@@ -60,7 +67,7 @@ def clean(c: Column) -> Column:
     """Cleans a text. Only texts that could change by decoding visit Python."""
     # Latin letters with accents are as NFKC leaves them; the function gets nulls for the texts that need no decoding
     plain = ~(c.contains("&") | c.rlike(r"[^\x{00}-\x{7f}\x{c0}-\x{ff}]"))
-    return tidy(F.coalesce(decoded(F.when(~plain, c)), c))
+    return once(tidy(F.coalesce(decoded(F.when(~plain, c)), c)))
 
 
 def date_shaped(c: Column) -> Column:
