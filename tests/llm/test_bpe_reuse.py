@@ -25,7 +25,25 @@ def test_shared_passages_are_encoded_once(name):
         assert [g.tolist() for g in got] == [codec.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[at : at + 5]]
     own = sum(map(len, texts)) - 30 * len(passage)
     # of each copy the chunks at both ends of the passage are mixed with what stands around it
-    assert codec.chunk_bytes > 25 * len(passage) and codec.encoded_bytes < 1.1 * len(passage) + own + 30 * 2 * 4096
+    assert codec.chunk_bytes > 25 * len(passage) and codec.new_bytes < 1.1 * len(passage) + own + 30 * 2 * 4096
+    assert codec.by_word == name.startswith("word") and codec.encoded_bytes <= (codec.new_bytes / 5 if codec.by_word else codec.new_bytes)
+
+
+def test_words_are_pieces():
+    import json
+
+    import public_tokenizers
+
+    told = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    assert bpe.parts_at_spaces(json.dumps(told))
+    for change in ({"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel"}}, {"normalizer": {"type": "Replace", "pattern": {"String": " "}, "content": "_"}}, {"post_processor": {"type": "ByteLevel"}}):
+        assert not bpe.parts_at_spaces(json.dumps(told | change))
+    codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(2)
+    parts = ["ΑΣ", "Σ", "e", "\u0301", "'s", "<|endoftext|>", "<|", "9", "ß", "日本", ".", "\x85", "\u2003", "İ", "ﬁ", "A'", "\u00a0", "\ud55c"]
+    for _ in range(3000):
+        t = "".join(rng.choice([*parts, " ", "\n", "\t", "\r", "\x0b"]) for _ in range(rng.integers(1, 12))).encode()
+        assert codec._by_words([t])[0].tolist() == codec.tokenizer.encode(t.decode(), add_special_tokens=False).ids
 
 
 def test_a_full_store_changes_nothing(monkeypatch):
@@ -43,7 +61,7 @@ def test_reuse_is_told(spark):
     text = prose(5000)
     df = spark.createDataFrame([(i, text) for i in range(20)] + [(30, None), (31, "")], "doc_id long, text string").repartition(1)
     row = bpe.reuse(df).first()
-    assert row["chunk_bytes"] > 19 * len(text) and row["encoded_bytes"] <= len(text)
+    assert row["chunk_bytes"] > 19 * len(text) and row["encoded_bytes"] <= row["new_bytes"] <= len(text)
     assert bpe.reuse(df.limit(0)).first()["chunk_bytes"] == 0
 
 

@@ -387,8 +387,10 @@ def test_stages_keep_columns_with_odd_names(spark, docs):
 
 
 def test_novelty_is_marginal():
-    assert secrets.novelty("abc abc abc abc ", 4, 7) < secrets.novelty("abc Q9z abc abc ", 4, 7) + 1e-9
-    assert string.ascii_letters
+    key = "Zx9Kq2Lw8VbN4TyR7PmE"
+    new, again = f"credential {key} and more", f"{key} is the credential {key} and more"
+    assert secrets.novelty(again, again.rindex(key), again.rindex(key) + 20) < 0.5 * secrets.novelty(new, 11, 31)
+    assert secrets.novelty(new, 11, 31, key.encode() * 50) < 0.5 * secrets.novelty(new, 11, 31), "what the dictionary holds is not new"
 
 
 def test_training_samples_are_not_cut(spark):
