@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from millrace import errors, schema
 from millrace.functions import identity
-from millrace.operators import benchmarks, curate, gold, label, predict, report, score
+from millrace.operators import benchmarks, curate, gold, label, predict, report, score, waves
 from millrace.plans import analysis, curation, delivery
 from millrace.plans import fixtures as fx
 from millrace.plans.fixtures import table
@@ -306,7 +310,68 @@ SELECT 0::BIGINT AS i, '# ' || k || ' languages' AS line FROM k UNION ALL SELECT
 UNION ALL SELECT k + 4, '' FROM k UNION ALL SELECT k + 5, '{report.END}' FROM k UNION ALL SELECT k + 6, 'end' FROM k
 """
 
+def artifacts(spark: S, d: str) -> DataFrame:
+    """Results of the arms and their sweeps, a JSON file each, written and read back as a folder."""
+    docs = table(spark, d, "documents").where("doc_id % 5 <> 3")
+    folder = Workspace(spark).base.removeprefix("file://") + "/bench"
+    os.makedirs(folder, exist_ok=True)
+    for r in _metrics(docs).collect():  # one row for each arm
+        files.write_json(f"{folder}/{r['arm']}.json", {"arm": r["arm"], "macro_f1": r["macro_f1"]} if r["arm"] != "teacher" else {"macro_f1": r["macro_f1"]})
+        files.write_json(f"{folder}/{r['arm']}_sweep.json", {"sweep": [{"batch_size": 1}, {"batch_size": 2}]})
+    files.write_text(f"{folder}/notes.txt", "not read")
+    one, sweeps = files.read_artifacts(spark, f"file://{folder}", T.StructType.fromDDL("arm string, macro_f1 double, sweep array<struct<batch_size:int>>"))
+    return one.select("arm", F.lit("result").alias("kind"), "macro_f1").unionByName(sweeps.select("arm", F.concat(F.lit("sweep of "), F.size("sweep")).alias("kind"), "macro_f1"))
+
+
+_ARTIFACTS = f"WITH m AS (SELECT a.arm, count(*) FILTER (n_chars > 2000) / count(*) AS macro_f1 FROM documents JOIN (SELECT * FROM {analysis._ARMS}) a ON a.ord = doc_id % 5 WHERE doc_id % 5 <> 3 GROUP BY 1) SELECT arm, 'result' AS kind, macro_f1 FROM m UNION ALL SELECT arm, 'sweep of 2', NULL FROM m"
+
+
+def contract(spark: S, d: str) -> DataFrame:
+    """The posting's JSON Schema, a row for each property; ``d`` is not read."""
+    tree = schema.json_schema()
+    kind = lambda p: "enum" if "enum" in p else p["type"] if "type" in p else "|".join(x["type"] for x in p["anyOf"])
+    rows = [(i, f, kind(p), len(p.get("enum", [])), f in tree["required"]) for i, (f, p) in enumerate(tree["properties"].items())]
+    return spark.createDataFrame(rows, "ord int, field string, kind string, members int, required boolean")
+
+
+_CONTRACT = """
+SELECT * FROM (VALUES (0, 'title', 'string|null', 0), (1, 'company', 'string|null', 0), (2, 'employment_type', 'enum', 6), (3, 'seniority', 'enum', 7), (4, 'remote_mode', 'enum', 4), (5, 'location_city', 'string|null', 0),
+  (6, 'location_region', 'string|null', 0), (7, 'location_country', 'string|null', 0), (8, 'salary_min', 'number|null', 0), (9, 'salary_max', 'number|null', 0), (10, 'salary_currency', 'string|null', 0), (11, 'salary_period', 'enum', 6),
+  (12, 'years_experience_min', 'integer|null', 0), (13, 'education_level', 'enum', 7), (14, 'required_skills', 'array', 0), (15, 'posting_date', 'string|null', 0)) v(ord, field, kind, members), (SELECT true AS required)
+"""
+
+
+def waves_of(spark: S, d: str) -> DataFrame:
+    """Batches of a capped selection sent through a provider that loses some rows of each batch once, after a crash that left one batch open: how often each id was sent, and harvested."""
+    ids = curation.selected(spark, d).select("doc_id")
+    batches = [{"tag": f"b{r['batch']}", "doc_ids": list(r["ids"])} for r in label.batches(ids, 64).groupBy("batch").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).orderBy("batch").collect()]  # the selection is capped
+    sent: Counter[str] = Counter()
+    got: Counter[str] = Counter()
+    flying: dict[str, list[str]] = {}
+
+    def submit(batch: dict) -> str:
+        sent.update(batch["doc_ids"])
+        flying[f"at-{batch['tag']}"] = batch["doc_ids"]
+        return f"at-{batch['tag']}"
+
+    def harvest(batch_id: str) -> list[str]:
+        held = flying.pop(batch_id)
+        lost = [x for x in held if x.endswith("0") and sent[x] == 1]
+        got.update(x for x in held if x not in lost)
+        return lost
+
+    ledger = [{"tag": batches[0]["tag"], "batch_id": submit(batches[0])}, {"tag": "never", "doc_ids": batches[1]["doc_ids"]}]
+    again = waves.resume(ledger, lambda row: None, harvest, lambda row: None)
+    waves.run_wave([{"tag": "again", "doc_ids": again}, *batches[2:]], submit, harvest, lambda batch, state: None, most_incomplete=len(batches) + 1)
+    return spark.createDataFrame([(x, sent[x], got[x]) for x in sorted(sent)], "doc_id string, sent long, harvested long")
+
+
+_WAVES = f"SELECT doc_id, CASE WHEN doc_id LIKE '%0' THEN 2 ELSE 1 END::BIGINT AS sent, 1::BIGINT AS harvested FROM ({curation._SELECTED})"
+
 QUERIES = {
+    "s3_s4_k3_k4_artifacts": (artifacts, _ARTIFACTS),
+    "j8_contract": (contract, _CONTRACT),
+    "st3_st4_st7_waves": (waves_of, _WAVES),
     "s1_k1_k2_json_lines": (json_lines, _LINES),
     "s2_malformed_lines": (malformed_lines, _MALFORMED),
     "s5_s8_corpus_sources": (corpus_sources, _SOURCES),
