@@ -7,8 +7,13 @@ join is accepted when the re-encoded seam, read with one more word on either sid
 chunks gave for these words; otherwise the pieces on both sides of a join that disagrees are joined and encoded anew,
 until every join of the text agrees with its own re-encoding, the whole text in the end.
 
+With a tokenizer that takes words one by one (``parts_at_spaces`` reads that off its definition), a chunk that is not in
+the store is put together from its words, a second level of chunks that are encoded once; with any other tokenizer the
+chunk is encoded as it is. Either way the joins of chunks are repaired as above.
+
 The store of encoded chunks belongs to the Python worker, which serves many tasks; it is bounded by ``STORE_BYTES`` and
-emptied when full, which costs time and changes no result. ``reuse`` tells how many bytes of chunks a worker found there.
+emptied when full, which costs time and changes no result. ``reuse`` tells how many bytes were found at either level: of
+check_s 2 % of the bytes in chunks and 83 % of the rest in words; all workers together could find 10 % in chunks.
 Nothing is shuffled, so no key can be hot, and a lost task is just run again. A store for the whole cluster would need
 every chunk of every text to be shuffled twice, its bytes to be counted as distinct and its ids to come back, which costs
 more than the encoding that it saves unless most of the text is copies.
@@ -20,7 +25,9 @@ chunked as any others. Further columns pass through unless their names clash wit
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +42,11 @@ from millrace.llm.textkernel import mix, powers, raw, slices
 #: A border falls where the hash of the last WINDOW bytes has its low MASK_BITS bits clear.
 WINDOW, MASK_BITS = 24, 10
 STORE_BYTES = 16 << 20
+#: Words of new chunks whose ids are kept beside the chunks, in each of two generations.
+STORE_WORDS = 120_000
 _SPACES = b" \n"
+#: Patterns of pre-tokenizers that keep matches only, none of which holds white space, or letters and marks at once.
+SPACE_FREE = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
 
 
 def word_tokenizer_path() -> str:
@@ -45,6 +56,17 @@ def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def parts_at_spaces(tokenizer: str) -> bool:
+    """Whether a tokenizer (its JSON) takes words one by one, in lower case: white space is dropped before the model, which sees pieces without it, and no step before looks across it."""
+    told = json.loads(tokenizer)
+    flat = lambda part, name: (part.get(name) if part["type"] == "Sequence" else [part]) if part else []
+    steps, first = flat(told["normalizer"], "normalizers"), flat(told["pre_tokenizer"], "pretokenizers")[:1]
+    plain = all(s["type"] in ("NFC", "Lowercase") or (s["type"], s.get("pattern"), s.get("content")) == ("Replace", {"Regex": r"\s+"}, " ") for s in steps)
+    kept = [s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"] and s["pattern"].get("Regex") in SPACE_FREE for s in first]
+    lower = bool(steps) and steps[-1]["type"] == "Lowercase"
+    return plain and lower and kept == [True] and told["post_processor"] is None and not told["model"].get("dropout")
+
+
 def borders(data: np.ndarray) -> np.ndarray:
     """Content-defined borders inside a byte string, none of them inside a character."""
     n = len(data)
@@ -71,28 +93,47 @@ class Codec:
         self.tokenizer.no_padding()
         self.texts = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.plain_join = self.tokenizer.decoder is None
+        self.by_word = parts_at_spaces(self.tokenizer.to_str())
         self.store: dict[bytes, np.ndarray] = {}
         self.held = 0
-        #: Bytes of the chunks of all texts so far, and of those that had to be encoded.
-        self.chunk_bytes, self.encoded_bytes = 0, 0
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        #: Bytes of the chunks of all texts so far, of those that were not in the store, and of what of these had to be encoded.
+        self.chunk_bytes, self.new_bytes, self.encoded_bytes = 0, 0, 0
 
     def _encode(self, pieces: list[bytes], chunks: bool = False) -> list[np.ndarray]:
         """Ids of each piece, from the store where it is there."""
         new = [p for p in dict.fromkeys(pieces) if p not in self.store]
         if chunks:
             self.chunk_bytes += sum(map(len, pieces))
-            self.encoded_bytes += sum(map(len, new))
+            self.new_bytes += sum(map(len, new))
         if new:
             if self.held > STORE_BYTES:
                 kept = {p: self.store[p] for p in pieces if p in self.store}
                 self.store, self.held = kept, sum(len(p) + 4 * len(v) + 200 for p, v in kept.items())
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            for p, e in zip(new, found, strict=True):
-                ids = np.array(e.ids, "<u4")
+            for p, ids in zip(new, self._by_words(new) if chunks and self.by_word else self._fresh(new, chunks), strict=True):
                 self.store[p] = ids
                 self.held += len(p) + 4 * len(ids) + 200
         return [self.store[p] for p in pieces]
 
+    def _fresh(self, pieces: list[bytes], count: bool = True) -> list[np.ndarray]:
+        if count:
+            self.encoded_bytes += sum(map(len, pieces))
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+
+    def _by_words(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """Ids of chunks from those of their words, which are encoded once too."""
+        if len(self.words) > STORE_WORDS:
+            self.words, self.older = {}, self.words
+        words = [_words(c) for c in chunks]
+        known = self.words
+        missing = set().union(*words).difference(known)
+        again = missing.intersection(self.older)
+        known.update({w: self.older[w] for w in again})
+        missing = list(missing - again)
+        known.update(zip(missing, (ids.tobytes() for ids in self._fresh(missing)), strict=True))
+        return [np.frombuffer(b"".join(map(known.__getitem__, w)), "<u4") for w in words]
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of whole texts. Pieces of all texts are gathered first, so the tokenizer is called a few times only."""
         plans: list[list[tuple[str, bytes]]] = []
@@ -148,6 +189,16 @@ class Codec:
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
+_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+
+
+def _words(chunk: bytes) -> list[bytes]:
+    """Words in the form in which most are met again: A-Z in lower case, as the tokenizer does next, and a mark behind a letter by itself, as it is a piece of its own. What may hold a special token stays as it is."""
+    if b"<|" in chunk:
+        return chunk.split()
+    return _MARK.sub(rb" \1", chunk.lower()).split()
+
+
 def _last_word(piece: bytes) -> bytes:
     body = piece.rstrip(_SPACES)
     at = max(body.rfind(b" "), body.rfind(b"\n"))
@@ -224,18 +275,19 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
 
 
 def reuse(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """``(chunk_bytes, encoded_bytes)``: bytes of the chunks of all texts, and of those that a worker had to encode. One row."""
+    """``(chunk_bytes, new_bytes, encoded_bytes)``: bytes of the chunks of all texts, of those that a worker did not hold, and of what of these it had to encode. One row."""
     runtime.prepare(docs.sparkSession)
     path = path or word_tokenizer_path()
+    names = ["chunk_bytes", "new_bytes", "encoded_bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        before = c.chunk_bytes, c.encoded_bytes
+        before = [getattr(c, n) for n in names]
         for batch in batches:
             data, offsets = raw(batch.column(0))
             for i, j in slices(offsets):
                 c.encode([data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)])
-        yield pa.RecordBatch.from_arrays([pa.array([c.chunk_bytes - before[0]]), pa.array([c.encoded_bytes - before[1]])], ["chunk_bytes", "encoded_bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([getattr(c, n) - b]) for n, b in zip(names, before, strict=True)], names)
 
-    told = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "chunk_bytes bigint, encoded_bytes bigint")
-    return told.agg(F.coalesce(F.sum("chunk_bytes"), F.lit(0)).alias("chunk_bytes"), F.coalesce(F.sum("encoded_bytes"), F.lit(0)).alias("encoded_bytes"))
+    told = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return told.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
