@@ -87,8 +87,7 @@ def extra_and_duplicate(spark: S, d: str) -> DataFrame:
     """Predictions for unknown ids, and ids that occur twice."""
     docs = table(spark, d, "documents")
     known, preds = docs.where("doc_id % 4 <> 0").select("doc_id"), docs.select("doc_id").unionAll(docs.where("doc_id % 5 = 0").select("doc_id"))
-    extra = preds.join(known, "doc_id", "left_anti").distinct().select("doc_id", F.lit("extra").alias("what"))
-    return extra.unionByName(preds.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit("duplicate").alias("what")))
+    return score.faults(known, preds).select("doc_id", F.when(F.col("what") == "unknown to gold", "extra").otherwise("duplicate").alias("what"))
 
 
 def messages(spark: S, d: str) -> DataFrame:

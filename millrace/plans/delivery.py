@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace import schema
+from millrace import errors, schema
 from millrace.functions import normalize
 from millrace.operators import benchmarks, gold, label, predict, report, score
 from millrace.plans import analysis, curation
@@ -215,9 +215,8 @@ _FACTS = f"WITH s AS ({analysis._SCORE}) " + " UNION ALL ".join(f"SELECT 'lora_f
 
 def error_sample(spark: S, d: str) -> DataFrame:
     """How an error names its ids: the first ten in order, and how many more there are."""
-    bad = table(spark, d, "documents").where("doc_id % 13 = 0").select("doc_id")
-    first = bad.orderBy("doc_id").limit(10).agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ", ").alias("ids"))
-    return bad.agg(F.count("*").alias("n")).crossJoin(first).select(F.concat("ids", F.when(F.col("n") > 10, F.format_string(" (+%d more)", F.col("n") - 10)).otherwise("")).alias("sample"))  # one row each
+    bad = errors.sampled(table(spark, d, "documents").where("doc_id % 13 = 0"), "doc_id")
+    return bad.select(F.substring_index(errors.message(F.lit(""), F.col("n"), F.col("sample")), ": ", -1).alias("sample"))
 
 
 _RECORDS = f"""
