@@ -12,7 +12,10 @@ Two documents link when ``den * |A & B| >= num * |A | B|``. The join is exact an
   a broadcast and nothing else) are known to every task. Inverted lists of these first elements give ties: a long list,
   or that of a frequent element, is a star; short lists give pairs, of which those with r lists in common stay. The
   components of the ties are blocks, each set goes to its block once, and there the inverted lists are scanned for
-  exact overlaps. Blocks of over ``BLOCK`` sets are split and every pair of parts is scanned as a task of its own.
+  exact overlaps. In blocks of over ``BLOCK`` sets all sets are first compared with ``PIVOTS`` of them. What is linked
+  with the pivots of the largest group (near copies mostly are) is connected and needs no comparison among itself, so
+  parts of at most about ``BLOCK`` of the other sets are scanned against parts of all, each pair as a task of its own; if
+  the others are most of the block, every pair of parts is.
 
 Lists are merged in buckets of their elements, as many as keep ``BUCKET_SHINGLES`` elements of all sets for each, so a
 bucket's table does not grow with the input. Equal sets are one class from the start, lists are merged within a task before they are shuffled, and a block returns a
@@ -34,7 +37,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import runtime
@@ -46,8 +49,8 @@ ORDERED = 1 << 20
 FREQUENT = 16
 #: A longer list is a star.
 SHORT_LIST = 64
-#: Sets that one task compares with each other.
-BLOCK = 512
+#: Sets that one task compares with each other, and sets of a large block that all of it is compared with first.
+BLOCK, PIVOTS = 512, 16
 #: Shingle hashes that a task holds before it sends what it has.
 FLUSH = 2_000_000
 #: Shingles of all sets for each bucket in which lists are merged, and the least number of buckets.
@@ -404,12 +407,9 @@ def forest(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], rule: Rul
     return found
 
 
-def block_links(docs: DataFrame, chosen: DataFrame, k: int, table: np.ndarray, key: str, text: str, rule: Rule) -> DataFrame:
-    """``(a, b)``: forests of the links within blocks. ``chosen (node, root, part, parts)``: one row for each set."""
+def block_links(ws: runtime.Workspace, docs: DataFrame, members: DataFrame, k: int, table: np.ndarray, key: str, text: str, rule: Rule) -> DataFrame:
+    """``(a, b)``: forests of the links within blocks. ``members (node, root, m)``: one row for each set, with its block and the block's size."""
     src = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    # rows that share a key are all in; each has its own set
-    # both sides grow with the input, so neither is broadcast, however small it is
-    held = src.hint("merge").join(chosen, src.doc_id == chosen.node).select("doc_id", "text", "root", "part", "parts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,19 +417,53 @@ def block_links(docs: DataFrame, chosen: DataFrame, k: int, table: np.ndarray, k
             for i, j in tk.slices(offsets):
                 words = tk.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table)
                 found = [s.tobytes() for s in tk.sets(words, k)]
-                cols = [batch.column(c).slice(i, j - i) for c in (0, 2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.binary())], ["doc_id", "root", "part", "parts", "s"])
+                cols = [batch.column(c).slice(i, j - i) for c in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.binary())], ["doc_id", "root", "m", "s"])
 
     def scan(t: pa.Table) -> pa.Table:
-        raw = [(d, p, np.frombuffer(s, np.uint64)) for d, p, s in zip(t["doc_id"].to_pylist(), t["part"].to_pylist(), t["s"].to_pylist(), strict=True) if s]
-        across = t["i"][0].as_py() != t["j"][0].as_py()
-        pairs = forest(np.array([r[0] for r in raw]), np.array([r[1] for r in raw]), [r[2] for r in raw], rule, across) if len(raw) > 1 else []
+        raw = [(d, p, np.frombuffer(s, np.uint64)) for d, p, s in zip(t["doc_id"].to_pylist(), t["side"].to_pylist(), t["s"].to_pylist(), strict=True) if s]
+        pairs = forest(np.array([r[0] for r in raw]), np.array([r[1] for r in raw]), [r[2] for r in raw], rule, t["across"][0].as_py()) if len(raw) > 1 else []
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    rows = held.mapInArrow(sets, "doc_id bigint, root bigint, part int, parts int, s binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = rows.select("*", other.alias("o")).select("doc_id", "root", "part", "s", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
-    return dealt.groupBy("root", "i", "j").applyInArrow(scan, "a bigint, b bigint")
+    def scanned(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.select("root", *by, "doc_id", "side", "across", "s").groupBy("root", *by).applyInArrow(scan, "a bigint, b bigint")
+
+    def side(n: int, across: bool) -> list[Column]:
+        return [F.lit(n).alias("side"), F.lit(across).alias("across")]
+
+    # rows that share a key are all in; each has its own set
+    # both sides grow with the input, so neither is broadcast, however small it is
+    held = src.hint("merge").join(members, src.doc_id == members.node).select("doc_id", "text", "root", "m")
+    rows = ws.keep(held.mapInArrow(sets, "doc_id bigint, root bigint, m bigint, s binary"), "members")
+    small = scanned(rows.where(F.col("m") <= BLOCK).select("*", *side(0, False)))
+    large = rows.where(F.col("m") > BLOCK)
+    if large.isEmpty():
+        return small
+
+    # all sets of a large block against its pivots, in salted groups that each hold the pivots
+    chosen = large.groupBy("root").agg(F.array_distinct(F.array(*[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(i))) for i in range(PIVOTS)])).alias("p"))
+    pivots = large.join(chosen.select("root", F.explode("p").alias("doc_id")), ["root", "doc_id"], "left_semi")
+    salts = F.ceil(F.col("m") / BLOCK).cast("int")
+    met = large.select("*", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), *side(0, True)).unionByName(pivots.select("*", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), *side(1, True)))
+    near = ws.keep(scanned(met, "salt"), "near")
+
+    # what is linked with the pivots of the largest group needs no comparison among itself
+    groups = runtime.components(ws, near).withColumnRenamed("root", "label")
+    ids = large.select("doc_id", "root", "m").distinct()
+    labelled = ws.keep(ids.join(groups, ids.doc_id == groups.node, "left").select("doc_id", "root", "m", F.coalesce("label", "doc_id").alias("label")), "labelled")
+    sizes = labelled.groupBy("root", "label").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("top"), (F.sum("n") - F.max("n")).alias("others"))
+    told = labelled.join(top, "root").select("doc_id", "root", (F.col("label") != F.col("top")).alias("other"), "others")
+    each = large.join(told, ["doc_id", "root"]).where("others > 0")
+    parts, few = F.ceil(F.col("m") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
+    part, rest = F.pmod(F.xxhash64("doc_id"), parts).cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(1)), few).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    lean = each.where(2 * F.col("others") <= F.col("m"))
+    x = lean.select("root", part.alias("i"), upto(few).alias("j"), "doc_id", "s", *side(0, True))
+    y = lean.where("other").select("root", upto(parts).alias("i"), rest.alias("j"), "doc_id", "s", *side(1, True))
+    full = each.where(2 * F.col("others") > F.col("m")).select("root", part.alias("p"), upto(parts).alias("o"), "doc_id", "s")
+    z = full.select("root", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "doc_id", "s", F.col("p").alias("side"), (F.col("p") != F.col("o")).alias("across"))
+    return small.unionAll(near).unionAll(scanned(x.unionByName(y), "i", "j")).unionAll(scanned(z, "i", "j"))
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, table: np.ndarray = tk.NON_SPACE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -452,9 +486,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, table:
     blocks = runtime.components(ws, maybe.unionAll(same))
     reps = first.select("rep").distinct()
     inside = ws.keep(blocks.join(reps, blocks.node == reps.rep, "left_semi"), "inside")
-    count = inside.groupBy("root").count().where("count > 1").select("root", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
-    chosen = inside.join(count, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "parts")
-    exact = ws.keep(block_links(docs, ws.keep(chosen, "chosen"), k, table, key, text, rule), "links")
+    count = inside.groupBy("root").agg(F.count("*").alias("m")).where("m > 1")
+    exact = ws.keep(block_links(ws, docs, ws.keep(inside.join(count, "root").select("node", "root", "m"), "blocks"), k, table, key, text, rule), "links")
     edges = exact.unionAll(tied.where("sure").select("a", "b")).unionAll(same)
     roots = runtime.components(ws, edges)
     ws.drop(tied, first, same, inside, exact)
