@@ -80,10 +80,10 @@ def whole(cases):
     return {c: X.parse("\n".join(m), scorer) for c, _, m in cases}
 
 
-@pytest.mark.parametrize(("size", "fan", "first"), [(1, 2, 0), (3, 2, -4), (2, 256, 0), (3, 4, 1000)])
+@pytest.mark.parametrize(("size", "fan", "first"), [(1, 2, 0), (3, 2, -4), (3, 4, 1000)])
 def test_pieces_are_read_as_a_whole(spark, monkeypatch, size, fan, first):
     monkeypatch.setattr(X, "FAN", fan)
-    cases = noisy(spark, 0.3, 0.3, seed=size)[:25]
+    cases = noisy(spark, 0.3, 0.3, seed=size)[:12]
     rng = np.random.default_rng(7)
     joined = [(1000, [r for _, x, _ in cases for r in x], [m for _, _, x in cases for m in x])]
     cases = [*cases, *joined, (2000, ["user"] * 5, ["", "x\n", "\n\n", "System: y", "?"])]
