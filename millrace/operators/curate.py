@@ -47,7 +47,7 @@ def pick_key_column(rows: DataFrame, text_column: str) -> str | None:
 def cleaned(rows: DataFrame, raw: str = "text") -> DataFrame:
     """Rows with a non-blank text, cleaned. The filter stands before the cleaning."""
     c = F.col(raw)
-    return rows.where(c.isNotNull() & (F.trim(c) != "")).withColumn(raw, text.clean(c))
+    return rows.where(c.isNotNull() & (F.trim(c, F.lit(text.BLANK)) != "")).withColumn(raw, text.clean(c))
 
 
 def reason(length: Column) -> Column:

@@ -87,6 +87,12 @@ def test_clean_is_worked_out_once(spark):
     assert plan.count("ArrowEvalPython") == 1 and plan.count("regexp_replace") == 2
 
 
+def test_blank_texts_are_left_out(spark):
+    rows = [(0, None), (1, ""), (2, " \t\r\n"), (3, "\u3000\u2003"), (4, " x\n"), (5, "&nbsp;")]
+    got = curate.cleaned(spark.createDataFrame(rows, "i long, text string")).collect()
+    assert {r["i"]: r["text"] for r in got} == {4: "x", 5: ""}
+
+
 def test_very_long_blank_runs(spark):
     t = ("x" + " " * 200_000 + "y" + "\t" * 100_000 + "\n") * 2
     assert spark.createDataFrame([(t,)], "t string").select(text.clean(F.col("t")).alias("t")).first()["t"] == plain_clean(t)
