@@ -81,6 +81,22 @@ def borders(data: np.ndarray) -> np.ndarray:
     return at[(data[at] & 0xC0) != 0x80]
 
 
+def plan(text: bytes) -> list[tuple[str, bytes]]:
+    """A text as chunk, seam, chunk, ..., chunk; a seam runs from the last space before a border to the first after it."""
+    data = np.frombuffer(text, np.uint8)
+    cuts = borders(data)
+    gaps = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    nth = np.searchsorted(gaps, cuts)
+    nth = nth[(nth > 0) & (nth < len(gaps))]
+    out: list[tuple[str, bytes]] = []
+    at = 0  # all before it is planned
+    for left, right in zip(gaps[nth - 1].tolist(), gaps[nth].tolist(), strict=True):
+        if left > at:
+            out += [("chunk", text[at:left]), ("seam", text[left:right])]
+            at = right
+    return [*out, ("chunk", text[at:])]
+
+
 class Codec:
     """Encodes whole texts with one tokenizer of the tokenizers library and keeps what it has encoded."""
 
@@ -136,29 +152,14 @@ class Codec:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of whole texts. Pieces of all texts are gathered first, so the tokenizer is called a few times only."""
-        plans: list[list[tuple[str, bytes]]] = []
-        for text in texts:
-            cuts = [0, *borders(np.frombuffer(text, np.uint8)).tolist(), len(text)]
-            plan: list[tuple[str, bytes]] = []
-            at = 0  # all before it is planned
-            for cut in cuts[1:-1]:
-                # the seam runs from the last space before the border to the first after it
-                left = max(text.rfind(b" ", at, cut), text.rfind(b"\n", at, cut))
-                ends = [x for x in (text.find(b" ", cut), text.find(b"\n", cut, cut + 4096)) if x >= 0]
-                if left <= at or not ends:
-                    continue
-                right = min(ends)
-                plan += [("chunk", text[at:left]), ("seam", text[left:right])]
-                at = right
-            plan.append(("chunk", text[at:]))
-            plans.append(plan)
-        chunks = iter(self._encode([piece for plan in plans for kind, piece in plan if kind == "chunk"], chunks=True))
-        seams = iter(self._encode([piece for plan in plans for kind, piece in plan if kind == "seam"]))
-        results = [[next(chunks if kind == "chunk" else seams) for kind, _ in plan] for plan in plans]
+        plans = [plan(text) for text in texts]
+        chunks = iter(self._encode([piece for p in plans for kind, piece in p if kind == "chunk"], chunks=True))
+        seams = iter(self._encode([piece for p in plans for kind, piece in p if kind == "seam"]))
+        results = [[next(chunks if kind == "chunk" else seams) for kind, _ in p] for p in plans]
         tries = []
-        for k, plan in enumerate(plans):
-            for i in range(1, len(plan), 2):
-                tries.append((k, i, _last_word(plan[i - 1][1]), _first_word(plan[i + 1][1])))
+        for k, p in enumerate(plans):
+            for i in range(1, len(p), 2):
+                tries.append((k, i, _last_word(p[i - 1][1]), _first_word(p[i + 1][1])))
         ends = iter(self._encode([w for *_, before, after in tries for w in (before, after)]))
         wide = iter(self._encode([before + plans[k][i][1] + after for k, i, before, after in tries]))
         bad: set[int] = set()
@@ -190,12 +191,22 @@ class Codec:
 
 
 _MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+_CAPITAL_BEFORE_WIDE = re.compile(rb"[A-Z][\x80-\xff]")
 
 
 def _words(chunk: bytes) -> list[bytes]:
-    """Words in the form in which most are met again: A-Z in lower case, as the tokenizer does next, and a mark behind a letter by itself, as it is a piece of its own. What may hold a special token stays as it is."""
+    """Words in the form in which most are met again: A-Z in lower case, as the tokenizer does later, and a mark behind a letter by itself, as it is a piece of its own.
+
+    What may hold a special token stays as it is, and so does a word in which a capital stands before a character beyond
+    ASCII: the tokenizer composes characters before it lower-cases, and some marks compose with a small letter only.
+    """
     if b"<|" in chunk:
         return chunk.split()
+    if _CAPITAL_BEFORE_WIDE.search(chunk):
+        out: list[bytes] = []
+        for word in chunk.split():
+            out += [word] if _CAPITAL_BEFORE_WIDE.search(word) else _MARK.sub(rb" \1", word.lower()).split()
+        return out
     return _MARK.sub(rb" \1", chunk.lower()).split()
 
 

@@ -70,3 +70,41 @@ def test_borders_depend_on_content_only():
     cuts = bpe.borders(np.frombuffer(data, np.uint8))
     moved = bpe.borders(np.frombuffer(b"something else in front " + data, np.uint8))
     assert len(cuts) > 10 and set((cuts + 24).tolist()) <= set(moved.tolist())
+
+
+def test_capitals_compose_before_they_are_lowered():
+    codec = bpe.Codec(bpe.word_tokenizer_path())
+    lib = codec.tokenizer
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123))]
+    for letter in letters:
+        texts = [form.format(letter + chr(mark)) for mark in range(0x300, 0x370) for form in ("xx {} yy", "{}.", "Up{}Down, next", "{}́ A")]
+        for t, got in zip(texts, codec.encode([t.encode() for t in texts]), strict=True):
+            assert got.tolist() == lib.encode(t, add_special_tokens=False).ids, ascii(t)
+            assert np.concatenate([*codec._by_words([t.encode()])]).tolist() == got.tolist(), ascii(t)
+
+
+def test_spaces_emoji_and_random_strings():
+    codec = bpe.Codec(bpe.word_tokenizer_path())
+    spaces = [chr(c) for c in (*range(9, 14), 0x1C, 0x1F, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    emoji = ["\U0001f468\u200d\U0001f469\u200d\U0001f467", "\U0001f1e9\U0001f1ea", "\u2764\ufe0f", "\U0001f44d\U0001f3fd", "1\ufe0f\u20e3"]
+    marks = [chr(c) for c in (0x301, 0x308, 0x30C, 0x331, 0x344, 0x345, 0x5B0, 0x64B, 0x93C, 0x1100, 0x1161, 0x11A8)]
+    rng = np.random.default_rng(8)
+    parts = [*spaces, *emoji, *marks, *"AJHTWYajhtwy.,'9", "Fox.", "It's", "<|endoftext|>"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts, rng.integers(1, 14)))
+        want = codec.tokenizer.encode(t, add_special_tokens=False).ids
+        assert codec.encode([t.encode()])[0].tolist() == want and codec._by_words([t.encode()])[0].tolist() == want, ascii(t)
+
+
+def test_a_text_without_spaces_takes_linear_time():
+    import time
+
+    codec = bpe.Codec(bpe.word_tokenizer_path())
+    took = []
+    for n in (200_000, 1_600_000):
+        text = "".join(RNG.choice(list("abcdefghij.,;0"), n)).encode()
+        began = time.perf_counter()
+        plan_only = bpe.plan(text)
+        took.append(time.perf_counter() - began)
+        assert plan_only == [("chunk", text)]
+    assert took[1] < 40 * max(took[0], 0.005)
