@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, neardup, ordinal, pseudonyms, quality, runtime, secrets, setjoin, sharding, transcript
+from millrace.llm import bpe, decontam, neardup, ordinal, pseudonyms, quality, runs, runtime, secrets, setjoin, sharding, transcript
 
 #: Production parameters.
 SHARDS = [1.0] * 16
@@ -69,8 +69,35 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_read(spark, sf_dir, "documents")))
 
 
+def _looped(text: Column, doc_id: Column) -> Column:
+    """A tenth of the texts, chosen by the id's checksum, with their end replaced by repetitions of a stretch of words."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
+
+    def loop(w: Column) -> Column:
+        n = F.size(w).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.concat(F.slice(w, 1, a.cast("int")), F.transform(F.sequence(a, n - 1), lambda i: F.get(w, (a + (i - a) % p).cast("int")))), " ")
+
+    # a blank text has no word and stays as it is
+    return F.when(h % 10 == 0, F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, loop(w))), 1)).otherwise(text)
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", _looped(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.periodic_runs(docs).withColumn("best", runs.strongest(F.col("runs")))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_jaccard, op3_toxicity, op4_chat, op5_neardup, op6_decontamination, op7_sharding, op8_quality, op9_pii, op10_secrets)
+    own = (op1_bpe, op2_jaccard, op3_toxicity, op4_chat, op5_neardup, op6_decontamination, op7_sharding, op8_quality, op9_pii, op10_secrets, op11_runs)
     return {f.__name__: f for f in own}
 
 
