@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, neardup, ordinal, pseudonyms, quality, runs, runtime, secrets, setjoin, sharding, transcript
+from millrace.llm import bpe, decontam, neardup, ordinal, pseudonyms, quality, runs, runtime, secrets, setjoin, sharding, transcript, turns
 
 #: Production parameters.
 SHARDS = [1.0] * 16
@@ -96,8 +96,30 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Rows by their checksum: dropped, emptied, without sentence ends, repeated next to themselves, or made the user's."""
+    one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(one("conv_id"), F.lit(":"), one("turn")).cast("binary")) % 20
+    told = rows.select("conv_id", "turn", one("role").alias("role"), one("text").alias("text"), code.alias("code")).where("code <> 0")
+    text = F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("code") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("code") == 3, 2).otherwise(1)))
+    return told.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    fixed = turns.repair(_damaged(rows))
+    told = fixed.summary.withColumnRenamed("conv", "c1")
+    hashed = turns.digests(fixed.turns).withColumnRenamed("conv", "c2")
+    every = rows.select("conv_id").distinct()
+    out = every.join(told, every.conv_id.eqNullSafe(told.c1), "left").join(hashed, every.conv_id.eqNullSafe(hashed.c2), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_jaccard, op3_toxicity, op4_chat, op5_neardup, op6_decontamination, op7_sharding, op8_quality, op9_pii, op10_secrets, op11_runs)
+    own = (op1_bpe, op2_jaccard, op3_toxicity, op4_chat, op5_neardup, op6_decontamination, op7_sharding, op8_quality, op9_pii, op10_secrets, op11_runs, op13_turns)
     return {f.__name__: f for f in own}
 
 
