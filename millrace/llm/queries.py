@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontam, neardup, ordinal, pseudonyms, quality, runs, runtime, secrets, setjoin, sharding, transcript, turns
+from millrace.llm import bpe, decontam, divergence, neardup, ordinal, pseudonyms, quality, runs, runtime, secrets, setjoin, sharding, transcript, turns
 
 #: Production parameters.
 SHARDS = [1.0] * 16
@@ -96,6 +96,11 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return divergence.judge(docs, divergence.references(docs)).drop("chars_distance", "words_distance")
+
+
 def _damaged(rows: DataFrame) -> DataFrame:
     """Rows by their checksum: dropped, emptied, without sentence ends, repeated next to themselves, or made the user's."""
     one = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -119,9 +124,9 @@ def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_jaccard, op3_toxicity, op4_chat, op5_neardup, op6_decontamination, op7_sharding, op8_quality, op9_pii, op10_secrets, op11_runs, op13_turns)
+    own = (op1_bpe, op2_jaccard, op3_toxicity, op4_chat, op5_neardup, op6_decontamination, op7_sharding, op8_quality, op9_pii, op10_secrets, op11_runs, op12_rules, op13_turns)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard": setjoin.ORACLE, "op5_neardup": neardup.ORACLE, "op6_decontamination": decontam.ORACLE, "op7_sharding": sharding.ORACLE}
+    return {"op2_jaccard": setjoin.ORACLE, "op5_neardup": neardup.ORACLE, "op6_decontamination": decontam.ORACLE, "op7_sharding": sharding.ORACLE, "op12_rules": divergence.ORACLE}
