@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from millrace import schema
 from millrace.errors import ContractError
 from millrace.functions import identity, text
-from millrace.tables import Workspace
+from millrace.tables import Workspace, components
 
 LEAST_CHARS, MOST_CHARS = 400, 40_000
 # Columns that may hold a stable key, by preference.
@@ -72,27 +72,27 @@ def dedupe_unique(rows: DataFrame, seq: str = "seq") -> DataFrame:
     return flagged.withColumn("drop", F.when(F.col(seq) > F.col("__first"), "duplicate_prefix")).drop("__p", "__first")
 
 
-#: Rows still to be decided that one task replays in order instead of a further round.
-REPLAYED = 100_000
+#: Rounds of minima that are tried whatever they decide; after these, rounds go on while each leaves half of its rows at most.
+LEAST_ROUNDS = 4
 
 
 def dedupe(rows: DataFrame, seq: str = "seq") -> DataFrame:
     """First-seen-wins on id, then on prefix, where a dropped row registers neither. ``seq`` is unique.
 
     With ids and prefixes as nodes and rows as edges, the rows kept are the greedy matching in the order of ``seq``. It is
-    found in rounds: a row that is the first left of its id and of its prefix is kept, and all others of that id or prefix
-    go. Rounds are minima that combine map-side and equi-joins, so neither a hot id or prefix nor a large component of
-    the graph is one task's; they go on until nothing is left, and once at most ``REPLAYED`` rows are, one task decides
-    these in order, which gives the same.
+    found in two steps. Rounds of minima: a row that is the first left of its id and of its prefix is kept, and all others
+    of that id or prefix go; minima combine map-side, so a hot id or prefix is not one task's. Rounds stop when one leaves
+    more than half of its rows, which only chains do, in which rows wait for one another; so there are at most
+    ``LEAST_ROUNDS`` and the logarithm of the number of rows. What is left falls into components, which are found by
+    contraction in a logarithmic number of rounds too, and each component's rows are decided in their order by one task,
+    which streams them and holds the ids and prefixes that still have rows to come. Null ids are one id, null prefixes one prefix.
     """
     ws = Workspace(rows.sparkSession)
     held = ws.keep(rows, "rows")
     left = ws.keep(held.select(F.col(seq).alias("seq"), "id", "prefix"), "left")
     kept: list[DataFrame] = []
-    while n := left.count():
-        if n <= REPLAYED:
-            kept.append(left.repartition(1).sortWithinPartitions("seq").mapInPandas(_replayed, left.schema))
-            break
+    n, rounds, halved = left.count(), 0, True
+    while n and (rounds < LEAST_ROUNDS or halved):
         by_id = left.groupBy(F.col("id").alias("i")).agg(F.min("seq").alias("first_i"))
         by_prefix = left.groupBy(F.col("prefix").alias("p")).agg(F.min("seq").alias("first_p"))
         marked = left.join(by_id, F.col("id").eqNullSafe(F.col("i"))).join(by_prefix, F.col("prefix").eqNullSafe(F.col("p")))
@@ -101,7 +101,10 @@ def dedupe(rows: DataFrame, seq: str = "seq") -> DataFrame:
         rest = left.join(won.select(F.col("id").alias("i")), F.col("id").eqNullSafe(F.col("i")), "left_anti")
         rest = ws.keep(rest.join(won.select(F.col("prefix").alias("p")), F.col("prefix").eqNullSafe(F.col("p")), "left_anti"), "left")
         ws.drop(left)
-        left = rest
+        left, m = rest, rest.count()
+        n, rounds, halved = m, rounds + 1, 2 * m <= n
+    if n:
+        kept.append(ws.keep(_by_component(ws, left), "kept"))
     out = held
     if not kept:
         return out.withColumn("drop", F.lit(None).cast("string"))
@@ -113,19 +116,81 @@ def dedupe(rows: DataFrame, seq: str = "seq") -> DataFrame:
     return out.withColumn("drop", drop).drop("__i", "__p", "__by_id", "__by_prefix")
 
 
-def _replayed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows kept of rows in order."""
-    ids: set[str] = set()
-    prefixes: set[str] = set()
-    for pdf in parts:
+def _by_component(ws: Workspace, left: DataFrame) -> DataFrame:
+    """The rows ``(seq, id, prefix)`` kept, each component of ids and prefixes in the order of its rows."""
+    node = lambda kind: F.coalesce(F.concat(F.lit(f"{kind}:"), F.col({"i": "id", "p": "prefix"}[kind])), F.lit(f"no {kind}"))
+    edges = left.select("seq", "id", "prefix", node("i").alias("a"), node("p").alias("b"))
+    roots = components(ws, edges.select("a", "b"))
+    last = lambda c: edges.groupBy(F.col(c).alias(f"{c}_")).agg(F.max("seq").alias(f"last_{c}"))
+    told = edges.join(roots, edges.a == roots.node).join(last("a"), F.col("a") == F.col("a_")).join(last("b"), F.col("b") == F.col("b_"))
+    rows = told.select("root", "seq", "id", "prefix", "a", "b", "last_a", "last_b")
+    return rows.repartition("root").sortWithinPartitions("root", "seq").mapInArrow(_in_order, left.schema)
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows kept of components whose rows come in order. An id or prefix is forgotten behind its last row."""
+    root, taken = None, set()
+    for batch in batches:
         keep = []
-        for i, p in zip(pdf["id"], pdf["prefix"], strict=True):
-            new = i not in ids and p not in prefixes
+        for r, seq, a, b, last_a, last_b in zip(*[batch.column(c).to_pylist() for c in ("root", "seq", "a", "b", "last_a", "last_b")], strict=True):
+            if r != root:
+                root, taken = r, set()
+            new = a not in taken and b not in taken
             keep.append(new)
             if new:
-                ids.add(i)
-                prefixes.add(p)
-        yield pdf[keep]
+                taken |= {a, b}
+            if seq == last_a:
+                taken.discard(a)
+            if seq == last_b:
+                taken.discard(b)
+        yield batch.select(["seq", "id", "prefix"]).filter(pa.array(keep))
+
+
+def take_until(raw: DataFrame, target: int, prepare: Callable[[DataFrame], DataFrame], seq: str = "seq") -> tuple[DataFrame, int]:
+    """Rows of ``raw`` in the order of ``seq`` up to the target-th kept one, with ``reason`` and ``drop``, and how many rows were read for them.
+
+    ``prepare`` makes ``(seq, id, prefix, reason, ...)`` of rows. Ranges of ``seq`` are read, the first of about ``target``
+    rows and each further one of as many as all before it, so at most about twice the rows that the answer needs are read;
+    their ends come from an approximate look at ``seq`` alone and shape the work, not the result. What was kept before is
+    carried along by its ids and prefixes. ``seq`` is unique and not null.
+    """
+    ws = Workspace(raw.sparkSession)
+    n = raw.agg(F.count(seq)).first()[0]
+    at = [target * 2**k / n for k in range(64) if target * 2**k < n] if n else []
+    accuracy = min(10_000_000, max(10_000, 20 * n // max(target, 1)))
+    ends = raw.agg(F.percentile_approx(seq, [*at, 1.0], accuracy)).first()[0] if n and target > 0 else []
+    parts, keys, kept, read, low = [], None, 0, 0, None
+    for k, end in enumerate(ends):
+        if kept >= target or (k and end == low):
+            continue
+        here = F.col(seq) <= end if k < len(ends) - 1 else F.lit(True)
+        part = ws.keep(prepare(raw.where(here if low is None else here & (F.col(seq) > low))), "part")
+        low, read = end, read + part.count()
+        ok = part.where("reason is null")
+        flagged = _flagged_after(ok, keys, seq)
+        flagged = ws.keep(flagged.unionByName(part.where("reason is not null").withColumn("drop", F.lit(None).cast("string"))), "flagged")
+        mine = flagged.where("reason is null and drop is null")
+        new = mine.count()
+        if kept + new > target:
+            flagged = take_kept(flagged, target - kept, seq)
+        parts.append(flagged)
+        kept += new
+        mine = mine.select("seq" if seq == "seq" else F.col(seq).alias("seq"), "id", "prefix")
+        keys = mine if keys is None else keys.unionByName(mine)
+    if not parts:
+        return prepare(raw.limit(0)).withColumn("drop", F.lit(None).cast("string")), read
+    return reduce(DataFrame.unionByName, parts), read
+
+
+def _flagged_after(rows: DataFrame, keys: DataFrame | None, seq: str) -> DataFrame:
+    """``dedupe`` of rows behind those whose keys ``(seq, id, prefix)`` were kept before and which all come first."""
+    if keys is None:
+        return dedupe(rows, seq)
+    one = lambda c: rows.select(F.col(c).alias("__k")).distinct()
+    met = keys.join(one("id"), F.col("id").eqNullSafe(F.col("__k")), "left_semi").unionByName(keys.join(one("prefix"), F.col("prefix").eqNullSafe(F.col("__k")), "left_semi")).distinct()
+    light = rows.select(F.col(seq).alias("seq"), "id", "prefix", F.lit(True).alias("new"))
+    marks = dedupe(light.unionByName(met.withColumn("new", F.lit(False)))).where("new").select(F.col("seq").alias("__seq"), "drop")
+    return rows.join(marks, F.col(seq) == F.col("__seq")).drop("__seq")
 
 
 def take_kept(flagged: DataFrame, target: int, seq: str = "seq") -> DataFrame:

@@ -137,10 +137,18 @@ def batches(ids: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
 
 
 def adopt(open_batches: DataFrame, remote: DataFrame) -> DataFrame:
-    """For each ledger row without a batch id the first remote batch with its input file or its digest of ids: two equi-joins."""
-    a = open_batches.join(remote, "input_file_id").select("tag", "batch_id", "ord")
-    b = open_batches.join(remote.drop("input_file_id"), "docs_sha").select("tag", "batch_id", "ord")
-    return a.unionByName(b).groupBy("tag").agg(F.min_by("batch_id", "ord").alias("batch_id"))
+    """For each ledger row ``(tag, input_file_id, docs_sha)`` without a batch id the first remote batch with its input file or its digest of ids.
+
+    The first batch of each file and of each digest is found before either join, so both joins give at most a row for each
+    ledger row, however many batches share a key. Rows that meet no batch are left out; null keys meet none; rows of one
+    tag are one batch and take the first of their hits.
+    """
+    first = lambda key: remote.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"__{key}")).agg(F.min(F.struct("ord", "batch_id")).alias(f"by_{key}"))
+    hit = open_batches
+    for key in ("input_file_id", "docs_sha"):
+        hit = hit.join(first(key), F.col(key) == F.col(f"__{key}"), "left")
+    best = hit.groupBy("tag").agg(F.min(F.least("by_input_file_id", "by_docs_sha")).alias("best"))
+    return best.where("best is not null").select("tag", F.col("best.batch_id").alias("batch_id"))
 
 
 def terminal(status: Column, incomplete: Column) -> Column:

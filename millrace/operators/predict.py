@@ -13,10 +13,11 @@ from pyspark.sql.window import Window
 from millrace import schema
 from millrace.errors import ContractError, none_of
 from millrace.functions import cost, extract
+from millrace.tables import Workspace
 
 Generate = Callable[[list[str]], list[str]]
 BATCH = 8
-FEWSHOT_CHARS, MOST_COVERS = 3500, 12
+FEWSHOT_CHARS = 3500
 
 
 def truncated(text: Column) -> Column:
@@ -59,22 +60,29 @@ def in_gold_order(done: DataFrame, gold: DataFrame, order: str = "ord") -> DataF
 
 
 def pick_exemplars(rows: DataFrame, covers: dict[str, Column], n: int, key: str = "doc_id", text: str = "text") -> list:
-    """Greedy: each round takes the row that adds most predicates, ties by hash of the key.
+    """Greedy: each round takes the row that adds most predicates, ties by hash of the key. Fewer than n rows are an error.
 
-    One job: rows with the same predicates differ by hash only, so of each combination the first n are all that n rounds
-    can take. There are at most ``2 ** len(covers)`` combinations, and at most ``MOST_COVERS`` predicates.
+    A round is one aggregation over (key, predicates, hash), which are written once; each task sends one row. A null
+    predicate does not hold. Repeated keys are rows of their own.
     """
-    if len(covers) > MOST_COVERS:
-        raise ContractError(f"{len(covers)} predicates, at most {MOST_COVERS} are possible")
-    mask = sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(covers.values())), F.lit(0)).alias("mask")
-    left = rows.where(F.length(text) <= FEWSHOT_CHARS).select(key, mask, F.sha2(F.col(key).cast("string"), 256).alias("h"))
-    first = left.withColumn("r", F.row_number().over(Window.partitionBy("mask").orderBy("h"))).where(F.col("r") <= n).collect()
-    seen, out = 0, []
-    while first and len(out) < n:
-        top = min(first, key=lambda r: (-(r["mask"] & ~seen).bit_count(), r["h"]))
-        seen |= top["mask"]
-        out.append(top[key])
-        first.remove(top)
+    if n <= 0:
+        raise ContractError(f"n must be positive, not {n}")
+    held = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in covers.items()])) if covers else F.array().cast("array<string>")
+    hashed = F.sha2(F.concat(F.lit(""), F.col(key).cast("string")), 256)
+    short = rows.where(F.length(text) <= FEWSHOT_CHARS).select(F.col(key).alias("key"), held.alias("held"), hashed.alias("h"), F.monotonically_increasing_id().alias("nth"))
+    pool = Workspace(rows.sparkSession).keep(short, "pool")
+    there = pool.limit(n).count()
+    if there < n:
+        raise ContractError(f"{there} exemplars of the {n} needed")
+    seen: list[str] = []
+    taken: list[int] = []
+    out = []
+    for _ in range(n):
+        gain = F.size(F.array_except("held", F.array(*map(F.lit, seen)).cast("array<string>")))
+        top = pool.where(~F.col("nth").isin(taken)).agg(F.min_by(F.struct("key", "held", "nth"), F.struct(-gain, F.col("h"), F.col("nth"))).alias("r")).first()["r"]
+        seen = sorted({*seen, *top["held"]})
+        taken.append(top["nth"])
+        out.append(top["key"])
     return out
 
 

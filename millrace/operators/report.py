@@ -13,7 +13,6 @@ from millrace.functions import cost
 
 DASH = "—"
 NULL_BASELINE = "null baseline"
-MOST_FIGURES = 1000
 BEGIN, END = "<!-- generated:begin -->", "<!-- generated:end -->"
 # What makes a number a claim, and how each fact is rendered.
 CLAIMS = (r"(?<![\w.])(\d+(?:\.\d+)?)\s*%", r"(?<![\w.])(\d+(?:\.\d+)?)\s*ms\b", r"\$\s*(\d+(?:\.\d+)?)", r"(?<![\w.])([+-]?\d+(?:\.\d+)?)\s*(?:macro-)?F1\b")
@@ -189,11 +188,20 @@ def word_violations(line: Column) -> Column:
 
 
 def conflated(lines: DataFrame, amortized: DataFrame) -> DataFrame:
-    """Lines that call an amortised figure (arm, shown) a p50. A nested-loop join, so ``amortized``, which has one row for each arm, may have ``MOST_FIGURES`` rows."""
-    if amortized.limit(MOST_FIGURES + 1).count() > MOST_FIGURES:
-        raise ContractError(f"more than {MOST_FIGURES} amortised figures")
+    """Lines that call an amortised figure ``(arm, shown)`` a p50.
+
+    Each numeral in front of ``ms`` is a token, once from each of its dots on, since a figure may begin behind one; figures
+    are joined on the token, and the line is then held against the figure as a whole word. Figures that are no numerals
+    are in no line. A line with the same figure twice counts once.
+    """
     suspect = lines.where(F.lower("line").contains("p50") & ~F.lower("line").contains("amortized"))
-    return suspect.join(F.broadcast(amortized), F.expr(r"line rlike concat('\\b', replace(shown, '.', '\\.'), '\\s*ms\\b')"))
+    runs = F.regexp_extract_all("line", F.lit(r"([\w.]+)\s*ms\b"), F.lit(1))
+    parts = F.transform(runs, lambda x: F.split(x, r"\."))
+    ends = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), "."))))
+    tokens = suspect.withColumn("__token", F.explode(F.array_distinct(ends)))
+    figures = amortized.where(F.col("shown").rlike(r"^\d+(\.\d+)?$")).select(F.col("shown").alias("__shown"), *amortized.columns)
+    both = tokens.join(figures, F.col("__token") == F.col("__shown"))
+    return both.where(F.expr(r"line rlike concat('\\b', replace(shown, '.', '\\.'), '\\s*ms\\b')")).drop("__token", "__shown")
 
 
 def flatten(tree: dict, prefix: str = "") -> dict:
@@ -206,17 +214,19 @@ def flatten(tree: dict, prefix: str = "") -> dict:
 
 
 def pipe_table(headers: list[str], aligns: list[str], rows: list[list[str]]) -> str:
-    rule = {"l": ":--", "r": "--:", "c": ":-:"}
+    rule = {"l": ":---", "r": "---:", "c": ":---:"}
     body = [headers, [rule[a] for a in aligns], *rows]
     return "\n".join("| " + " | ".join(r) + " |" for r in body) + "\n"
 
 
 def splice(document: str, block: str) -> str:
-    """Replaces what stands between the markers; without them the document is an error."""
-    if BEGIN not in document or END not in document:
-        raise ValueError("markers not found")
-    head, rest = document.split(BEGIN, 1)
-    return f"{head}{BEGIN}\n{block}\n{END}{rest.split(END, 1)[1]}"
+    """The document with ``block`` between its markers; what stands outside stays. Without markers, or with the end before the begin, the block is appended with markers of its own."""
+    marked = f"{BEGIN}\n{block}\n{END}"
+    head, begin, rest = document.partition(BEGIN)
+    _, end, tail = rest.partition(END)
+    if begin and end and END not in head:
+        return f"{head}{marked}{tail}"
+    return f"{document.rstrip(chr(10))}\n\n{marked}\n"
 
 
 def placeholders(template: str) -> list[str]:

@@ -269,12 +269,13 @@ SELECT DISTINCT n AS number FROM f WHERE n NOT IN (SELECT n FROM a)
 
 
 def conflated(spark: S, d: str) -> DataFrame:
+    """Every figure there is against every line."""
     lines = spark.sql(f"SELECT {_LINE} AS line FROM {{docs}}", docs=table(spark, d, "documents"))
-    figures = table(spark, d, "documents").where("doc_id in (4, 8, 12)").select(F.concat(F.lit("arm"), "doc_id").alias("arm"), F.col("n_chars").cast("string").alias("shown"))
+    figures = table(spark, d, "documents").select(F.concat(F.lit("arm"), "doc_id").alias("arm"), F.col("n_chars").cast("string").alias("shown"))
     return report.conflated(lines, figures).select("line", "arm")
 
 
-_CONFLATED = f"WITH l AS (SELECT {_LINE} AS line FROM documents), a AS (SELECT 'arm' || doc_id AS arm, CAST(n_chars AS VARCHAR) AS shown FROM documents WHERE doc_id IN (4, 8, 12)) SELECT line, arm FROM l JOIN a ON contains(lower(line), 'p50') AND NOT contains(lower(line), 'amortized') AND regexp_matches(line, '\\b' || shown || '\\s*ms\\b')"
+_CONFLATED = f"WITH l AS (SELECT {_LINE} AS line FROM documents), a AS (SELECT 'arm' || doc_id AS arm, CAST(n_chars AS VARCHAR) AS shown FROM documents) SELECT line, arm FROM l JOIN a ON contains(lower(line), 'p50') AND NOT contains(lower(line), 'amortized') AND regexp_matches(line, '\\b' || shown || '\\s*ms\\b')"
 
 
 def missing_artifacts(spark: S, d: str) -> DataFrame:
@@ -345,7 +346,7 @@ QUERIES = {
     "r3_fl10_sweep_all": (sweep_marks, _MARKS),
     "t13_t14_claims": (claims, _CLAIMS),
     "r6_r7_jn14_unknown_claims": (unknown_claims, _UNKNOWN),
-    "jn15_conflated": (conflated, _CONFLATED),
+    "jn15_conflated_all": (conflated, _CONFLATED),
     "r8_missing_artifacts": (missing_artifacts, _MISSING),
     "a23_a24_first_and_falsy": (first_and_falsy, "SELECT user_id % 9 AS g, min(event_id) FILTER (event_id % 4 = 0) AS first_x, sum(CASE WHEN event_id % 3 = 0 THEN 10 ELSE event_id % 3 END)::BIGINT AS falsy FROM events GROUP BY 1"),
     "o6_top_members": (top_members, _TOP),

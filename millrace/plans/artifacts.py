@@ -306,10 +306,26 @@ def rendered_table(spark: S, d: str) -> DataFrame:
 
 _TABLE = f"""
 WITH c AS (SELECT coalesce(lang, 'None') AS lang, count(*) AS n, row_number() OVER (ORDER BY lang NULLS FIRST) AS r FROM documents GROUP BY documents.lang), k AS (SELECT count(*) AS k FROM c)
-SELECT 0::BIGINT AS i, '# ' || k || ' languages' AS line FROM k UNION ALL SELECT 1, '{report.BEGIN}' UNION ALL SELECT 2, '| lang | n |' UNION ALL SELECT 3, '| :-- | --: |' UNION ALL SELECT 3 + r, '| ' || lang || ' | ' || n || ' |' FROM c
+SELECT 0::BIGINT AS i, '# ' || k || ' languages' AS line FROM k UNION ALL SELECT 1, '{report.BEGIN}' UNION ALL SELECT 2, '| lang | n |' UNION ALL SELECT 3, '| :--- | ---: |' UNION ALL SELECT 3 + r, '| ' || lang || ' | ' || n || ' |' FROM c
 UNION ALL SELECT k + 4, '' FROM k UNION ALL SELECT k + 5, '{report.END}' FROM k UNION ALL SELECT k + 6, 'end' FROM k
 """
 
+
+def appended_block(spark: S, d: str) -> DataFrame:
+    """A block added to a document that has no markers, then made anew in place; line by line."""
+    counts = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # one row for each language
+    first = report.splice("# Title\n\nprose\n", report.pipe_table(["lang"], ["c"], [[str(r["lang"])] for r in counts]))
+    text = report.splice(first, report.pipe_table(["n"], ["r"], [[str(r["n"])] for r in counts]))
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "i long, line string")
+
+
+_APPENDED = f"""
+WITH c AS (SELECT count(*) AS n, row_number() OVER (ORDER BY lang NULLS FIRST) AS r FROM documents GROUP BY lang), k AS (SELECT count(*) AS k FROM c)
+SELECT i::BIGINT AS i, line FROM (VALUES (0, '# Title'), (1, ''), (2, 'prose'), (3, ''), (4, '{report.BEGIN}'), (5, '| n |'), (6, '| ---: |')) v(i, line) UNION ALL SELECT 6 + r, '| ' || n || ' |' FROM c
+UNION ALL SELECT k + 7, '' FROM k UNION ALL SELECT k + 8, '{report.END}' FROM k UNION ALL SELECT k + 9, '' FROM k
+"""
+
+
 def artifacts(spark: S, d: str) -> DataFrame:
     """Results of the arms and their sweeps, a JSON file each, written and read back as a folder."""
     docs = table(spark, d, "documents").where("doc_id % 5 <> 3")
@@ -392,5 +408,6 @@ QUERIES = {
     "o6_quality_summary": (quality_summary, _SUMMARY),
     "r1_headline_rows": (headline_rows, _FLOOR_ROWS),
     "r4_j7_all_facts": (all_facts, _ALL_FACTS),
+    "k9_appended_block": (appended_block, _APPENDED),
     "k8_k9_r5_rendered_table": (rendered_table, _TABLE),
 }

@@ -19,7 +19,11 @@ _ID = "'jp_' || substr(sha256(source || chr(0) || CAST(doc_id AS VARCHAR)), 1, 1
 
 
 def _docs(spark: S, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), "text", "source", "lang", F.col("doc_id").cast("string").alias("key"))
+    return _identified(table(spark, d, "documents"))
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").alias("seq"), "text", "source", "lang", F.col("doc_id").cast("string").alias("key"))
     return curate.identified(rows.withColumn("text", text.clean(F.col("text"))), F.col("source"), F.col("key")).withColumn("char_len", F.length("text"))
 
 
@@ -63,10 +67,9 @@ SELECT s AS split, coalesce(n, 0)::BIGINT AS n FROM (VALUES ('train'), ('dev'),
 
 def drop_counts(spark: S, d: str) -> DataFrame:
     """Counters of a run that stops at the 500th kept row."""
-    rows = Workspace(spark).keep(_docs(spark, d).select("seq", "prefix", curate.reason(F.col("char_len")).alias("reason")), "rows")
-    ok = curate.dedupe_unique(rows.where("reason is null"))
-    flagged = ok.unionByName(rows.where("reason is not null").withColumn("drop", F.lit(None).cast("string")))
-    seen = curate.take_kept(flagged, 500)
+    raw = table(spark, d, "documents").withColumn("seq", F.col("doc_id"))
+    prepare = lambda rows: _identified(rows).select("seq", "id", "prefix", curate.reason(F.col("char_len")).alias("reason"))
+    seen, _ = curate.take_until(raw, 500, prepare)
     return seen.agg(F.count("*").alias("seen"), F.count_if(F.col("reason") == "short").alias("short"), F.count_if(F.col("reason") == "long").alias("long"), F.count_if(F.col("drop").isNotNull()).alias("duplicates"), F.count_if(F.col("reason").isNull() & F.col("drop").isNull()).alias("kept"))
 
 

@@ -58,17 +58,21 @@ class Workspace:
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges (a, b)`` as ``(node, root)``, root being the smallest node of its component.
 
-    Each round every node points to its smallest neighbour, pointers are followed twice and the edges are contracted to
-    the nodes pointed at, so at least half of the nodes in a component go away in a round. All steps are partial
-    aggregations and equi-joins; nothing is gathered on the driver. Null ends and loops are ignored.
+    Each round deals new ranks to the nodes by a hash of node and round. A node points to its neighbour of lowest rank, if
+    that is lower than its own, pointers are followed twice, and the edges are contracted to the nodes pointed at. Ranks
+    that have nothing to do with the order of the nodes keep the chains of pointers short, so a path whose nodes are in
+    order shrinks by a constant factor a round as anything else does. The smallest node is looked up at the end. All steps
+    are partial aggregations and equi-joins; nothing is gathered on the driver. Null ends and loops are ignored.
     """
     clean = edges.select("a", "b").where("a is not null and b is not null and a <> b")
-    left = ws.keep(clean.distinct(), "edges")
+    left = ws.keep(clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     roots: DataFrame | None = None
+    nth = 0
     while not left.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(nth)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
-        up = ws.keep(up.select("node", F.least("node", "to").alias("to")), "up")
+        up = both.groupBy("a").agg(F.min(rank("b")).alias("low")).select(F.col("a").alias("node"), F.least(rank("a"), "low")["n"].alias("to"))
+        up = ws.keep(up, "up")
         for _ in range(2):
             far = up.alias("x").join(up.alias("y"), F.col("x.to") == F.col("y.node"), "left")
             jumped = ws.keep(far.select("x.node", F.coalesce("y.to", "x.to").alias("to")), "up")
@@ -85,8 +89,10 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
             new = m.select("node", F.coalesce("to", "root").alias("root"))
         new = ws.keep(new, "roots")
         ws.drop(left, up, *([roots] if roots is not None else []))
-        roots, left = new, nxt
+        roots, left, nth = new, nxt, nth + 1
     if roots is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))  # no edges
-    ws.drop(left)
-    return roots
+    least = roots.groupBy(F.col("root").alias("__root")).agg(F.min("node").alias("__least"))
+    out = ws.keep(roots.join(least, F.col("root") == F.col("__root")).select("node", F.col("__least").alias("root")), "roots")
+    ws.drop(left, roots)
+    return out

@@ -9,7 +9,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import schema
+from millrace import schema, tables
 from millrace.errors import ContractError
 from millrace.functions import text
 from millrace.operators import benchmarks, curate, gold, label, predict, report, score, waves
@@ -28,10 +28,10 @@ def first_seen(rows):
     return out
 
 
-@pytest.mark.parametrize("least", [0, 7, 100_000])
+@pytest.mark.parametrize("least", [0, 1, 100])
 @pytest.mark.parametrize(("n", "ids", "prefixes"), [(120, 20, 25), (80, 79, 3), (60, 2, 50), (1, 1, 1)])
 def test_dedupe_is_the_sequential_rule(spark, monkeypatch, least, n, ids, prefixes):
-    monkeypatch.setattr(curate, "REPLAYED", least)
+    monkeypatch.setattr(curate, "LEAST_ROUNDS", least)
     rng = random.Random(n * ids + least)
     rows = [(i, rng.choice([None, *(f"i{k}" for k in range(ids))]), rng.choice([None, *(f"p{k}" for k in range(prefixes))])) for i in rng.sample(range(10_000), n)]
     df = spark.createDataFrame(rows, "seq long, id string, prefix string").withColumn("text", F.concat(F.lit("t"), "seq"))
@@ -41,12 +41,47 @@ def test_dedupe_is_the_sequential_rule(spark, monkeypatch, least, n, ids, prefix
 
 
 def test_dedupe_of_a_long_chain(spark, monkeypatch):
-    """Each row waits for the one before: as many rounds as rows, or the replay."""
-    rows = [(k, f"i{(k + 1) // 2}", f"p{k // 2}") for k in range(12)]
-    df = spark.createDataFrame(rows, "seq long, id string, prefix string")
-    monkeypatch.setattr(curate, "REPLAYED", 0)
-    assert {r["seq"]: r["drop"] for r in curate.dedupe(df).collect()} == first_seen(rows)
-    assert curate.dedupe(df.limit(0)).collect() == []
+    """Each row waits for the one before. The rounds are few, and so are those in which components are found."""
+    n = 100_000
+    rows = spark.range(n).select(F.col("id").alias("seq"), F.concat(F.lit("i"), F.floor((F.col("id") + 1) / 2)).alias("id"), F.concat(F.lit("p"), F.floor(F.col("id") / 2)).alias("prefix"))
+    kept, real = [], tables.Workspace.keep
+
+    def keep(self, df, name):
+        kept.append(name)
+        return real(self, df, name)
+
+    monkeypatch.setattr(tables.Workspace, "keep", keep)
+    got = curate.dedupe(rows).groupBy("drop").agg(F.count("*").alias("n"), F.sum(F.col("seq") % 2).alias("odd")).collect()
+    want = first_seen([(k, f"i{(k + 1) // 2}", f"p{k // 2}") for k in range(2000)])
+    assert {r["drop"] for r in got} == set(want.values())
+    assert {r["drop"]: r["n"] for r in got}[None] == n // 2 == 50 * sum(v is None for v in want.values())
+    assert kept.count("left") - 1 <= curate.LEAST_ROUNDS + 1 and kept.count("edges") <= 16
+    assert curate.dedupe(rows.limit(0)).collect() == []
+
+
+def test_components_of_a_path_in_order(spark, monkeypatch):
+    n, rounds, real = 20_000, [], tables.Workspace.keep
+    monkeypatch.setattr(tables.Workspace, "keep", lambda self, df, name: (rounds.append(name), real(self, df, name))[1])
+    edges = spark.range(n).selectExpr("id as a", "id + 1 as b").unionAll(spark.createDataFrame([(-5, -7), (-7, -5), (50_000, 50_000), (None, 3)], "a long, b long"))
+    got = tables.components(tables.Workspace(spark), edges).groupBy("root").agg(F.count("*").alias("n")).collect()
+    assert sorted(map(tuple, got)) == [(-7, 2), (0, n + 1)] and rounds.count("edges") <= 14
+
+
+@pytest.mark.parametrize("target", [7, 10_000])
+def test_take_until_reads_what_it_needs(spark, target):
+    rng = random.Random(target)
+    rows = [(s, f"i{rng.randrange(300)}", f"p{rng.randrange(300)}", rng.choice([None, None, None, "short"])) for s in sorted(rng.sample(range(100_000), 900))]
+    raw = spark.createDataFrame(rows, "seq long, id string, prefix string, reason string")
+    got, read = curate.take_until(raw, target, lambda x: x)
+    drops, kept, want = first_seen([r[:3] for r in rows if r[3] is None]), 0, {}
+    for s, *_, reason in rows:
+        want[s] = (reason, drops.get(s))
+        kept += reason is None and drops[s] is None
+        if kept == target:
+            break
+    assert {r["seq"]: (r["reason"], r["drop"]) for r in got.collect()} == want
+    assert read <= max(2 * len(want) + 20, 2 * target + 20)
+    assert curate.take_until(raw.limit(0), target, lambda x: x)[0].collect() == []
 
 
 def test_dedupe_unique(spark):

@@ -156,6 +156,20 @@ def test_exemplars(spark):
     assert [r["doc_id"] for r in predict.frozen_exemplars(rows, [3, 1]).collect()] == [3, 1]
     with pytest.raises(ContractError):
         predict.frozen_exemplars(rows, [9])
+    with pytest.raises(ContractError, match="4 exemplars of the 5"):
+        predict.pick_exemplars(rows, {}, 5)
+    many = {f"p{i}": F.col("doc_id") % 13 == i % 13 for i in range(40)}  # any number of predicates
+    wide = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    picked = predict.pick_exemplars(wide, many, 20)
+    assert len(set(picked)) == 20 and {x % 13 for x in picked[:13]} == set(range(13)) and picked[0] % 13 == 0
+
+
+def test_splice_without_markers():
+    block = f"{report.BEGIN}\nnew\n{report.END}\n"
+    for text in ("# Title\n\nprose\n", "", f"a {report.END} b {report.BEGIN} c", f"only {report.BEGIN} begins"):
+        assert report.splice(text, "new") == text.rstrip("\n") + "\n\n" + block
+    once = report.splice("# Title\n", "old")
+    assert report.splice(once, "new") == "# Title\n\n" + block
 
 
 def test_report_pieces():
@@ -163,7 +177,7 @@ def test_report_pieces():
     assert report.flatten({"a": {"b": 1}, "c": 2}) == {"a__b": 1, "c": 2}
     assert report.splice(f"x{report.BEGIN}old{report.END}y", "new") == f"x{report.BEGIN}\nnew\n{report.END}y"
     assert report.placeholders("{{ a }} {{b}} {{a}}") == ["a", "b"]
-    assert report.pipe_table(["h"], ["r"], [["1"]]) == "| h |\n| --: |\n| 1 |\n"
+    assert report.pipe_table(["h"], ["r"], [["1"]]) == "| h |\n| ---: |\n| 1 |\n"
     assert schema.json_schema()["required"] == list(schema.FIELDS)
 
 
