@@ -47,6 +47,11 @@ def once(c: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
+def once_streamed(c: Column) -> Column:
+    """The same for a stream, in which rows have no numbers."""
+    return F.when(F.rand(0) >= 0, c)
+
+
 def let(value: Column, use) -> Column:  # noqa: ANN001
     """``use(value)`` with the value worked out once, however often it is named."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -63,11 +68,11 @@ def tidy(c: Column) -> Column:
     return let(joined, lambda x: F.trim(F.when(x.contains("\n\n\n"), F.regexp_replace(x, r"\n{3,}", "\n\n")).otherwise(x), F.lit(BLANK)))
 
 
-def clean(c: Column) -> Column:
-    """Cleans a text. Only texts that could change by decoding visit Python."""
+def clean(c: Column, guard=once) -> Column:  # noqa: ANN001
+    """Cleans a text. Only texts that could change by decoding visit Python. ``guard`` keeps it from being worked out twice; a stream needs another one than a table."""
     # Latin letters with accents are as NFKC leaves them; the function gets nulls for the texts that need no decoding
     plain = ~(c.contains("&") | c.rlike(r"[^\x{00}-\x{7f}\x{c0}-\x{ff}]"))
-    return once(tidy(F.coalesce(decoded(F.when(~plain, c)), c)))
+    return guard(tidy(F.coalesce(decoded(F.when(~plain, c)), c)))
 
 
 def date_shaped(c: Column) -> Column:

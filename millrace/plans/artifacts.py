@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from millrace.plans import analysis, curation, delivery
 from millrace.plans import fixtures as fx
 from millrace.plans.fixtures import table
 from millrace.sources import files
-from millrace.streaming import replay
+from millrace.streaming import ingest, replay
 from millrace.tables import Workspace
 
 S = SparkSession
@@ -46,6 +45,25 @@ def malformed_lines(spark: S, d: str) -> DataFrame:
 _MALFORMED = "SELECT '{\"doc_id\": ' || doc_id AS line FROM documents WHERE doc_id % 14 = 0"
 
 
+def malformed_places(spark: S, d: str) -> DataFrame:
+    """Where malformed lines stand, in one file that is read in many splits."""
+    docs = table(spark, d, "documents")
+    line = F.concat(F.lit('{"doc_id": '), F.col("doc_id"), F.when(F.col("doc_id") % 7 != 0, "}").otherwise(F.when(F.col("doc_id") % 2 == 0, "")))
+    path = f"{Workspace(spark).base}/lines"
+    rows = docs.select("doc_id", F.coalesce(line, F.lit(" ")).alias("value"))
+    rows.coalesce(1).sortWithinPartitions("doc_id").select("value").write.text(path)
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "4k")
+        return Workspace(spark).keep(files.malformed_lines(spark, path, docs.select("doc_id").schema).select("line", "value"), "places")
+    finally:
+        spark.conf.set(size, before)
+
+
+_PLACES = "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS line FROM documents) SELECT line, '{\"doc_id\": ' || doc_id AS value FROM n WHERE doc_id % 14 = 0"
+
+
 def corpus_sources(spark: S, d: str) -> DataFrame:
     """Text and key of two tables of unlike shape."""
     parts = [files.corpus_rows(table(spark, d, t)).select(F.lit(t).alias("source"), "source_key", F.md5(F.col("text").cast("binary")).alias("digest")) for t in ("documents", "pages")]
@@ -100,6 +118,27 @@ def streamed(spark: S, d: str) -> DataFrame:
     return s.select("doc_id", "status", "verified_at", F.array_join(F.transform(F.array_sort(F.map_entries("edits")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("edits"))
 
 
+def ingested(spark: S, d: str) -> DataFrame:
+    """Documents that arrive in three waves of files, ingested as a stream that is started anew for each; the key is the text's, so ids and prefixes interact."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.lit(None).cast("string").alias("source_key"), "text")
+    base = Workspace(spark).base
+    low, high = docs.agg(F.min("seq"), F.max("seq")).first()
+    wave = F.floor((F.col("seq") - F.lit(low)) * 3 / (F.lit(high) - F.lit(low) + 1))
+    for k in range(3):
+        docs.where(wave == k).write.mode("append").option("ignoreNullFields", False).json(f"{base}/pages")
+        ingest.ingest_stream(spark, f"{base}/pages", f"{base}/out", f"{base}/checkpoint", source="s")
+    ids = ingest.docs(spark, f"{base}/out").agg(F.sum("seq").alias("ids"))
+    return ingest.counters(spark, f"{base}/out").join(ids, F.col("what") == "kept", "left")
+
+
+_INGESTED = """
+WITH d AS (SELECT doc_id AS seq, sha256(text) AS id, sha1(substr(text, 1, 600)) AS p, length(text) AS n FROM documents WHERE regexp_matches(text, '\\S')),
+w AS (SELECT *, min(seq) OVER (PARTITION BY p) AS fp, min(seq) OVER (PARTITION BY id) AS fi FROM d WHERE n BETWEEN 400 AND 40000),
+o AS (SELECT seq, CASE WHEN seq = fp THEN 'kept' WHEN fi = fp THEN 'duplicate_id' ELSE 'duplicate_prefix' END AS what FROM w UNION ALL SELECT seq, CASE WHEN n < 400 THEN 'short' ELSE 'long' END FROM d WHERE n NOT BETWEEN 400 AND 40000)
+SELECT v.what, count(o.seq) AS n, CASE WHEN v.what = 'kept' THEN sum(o.seq)::BIGINT END AS ids FROM (VALUES ('kept'), ('short'), ('long'), ('duplicate_id'), ('duplicate_prefix')) v(what) LEFT JOIN o ON o.what = v.what GROUP BY v.what
+"""
+
+
 def gates(spark: S, d: str) -> DataFrame:
     """What the corpus has too few rows of."""
     docs = table(spark, d, "documents").select(identity.split(identity.doc_id(F.col("source"), F.col("doc_id").cast("string"))).alias("split"))
@@ -159,8 +198,8 @@ def ordered_file(spark: S, d: str) -> DataFrame:
     path = f"{Workspace(spark).base}/predictions"
     ordered = predict.in_gold_order(docs.where("doc_id % 4 <> 1").select("doc_id", "lang"), docs.where("doc_id % 2 = 1").select("doc_id", (F.col("doc_id") * 31 % 1009 * 100000 + F.col("doc_id")).alias("ord")))
     files.write_jsonl(ordered, path)
-    back = spark.read.schema(ordered.schema).json(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("nth"))
-    return back.withColumn("line", F.row_number().over(Window.orderBy("file", "at", "nth")).cast("bigint")).select("doc_id", "line")
+    back = files.numbered(spark, path, whole=True)
+    return back.select(F.from_json("value", ordered.schema)["doc_id"].alias("doc_id"), "line")
 
 
 _ORDERED = "SELECT doc_id, row_number() OVER (ORDER BY doc_id * 31 % 1009 * 100000 + doc_id) AS line FROM documents WHERE doc_id % 4 = 3"
@@ -329,13 +368,14 @@ UNION ALL SELECT k + 7, '' FROM k UNION ALL SELECT k + 8, '{report.END}' FROM k
 def artifacts(spark: S, d: str) -> DataFrame:
     """Results of the arms and their sweeps, a JSON file each, written and read back as a folder."""
     docs = table(spark, d, "documents").where("doc_id % 5 <> 3")
-    folder = Workspace(spark).base.removeprefix("file://") + "/bench"
-    os.makedirs(folder, exist_ok=True)
+    folder = f"{Workspace(spark).base}/bench"
+    for first in ("lora_ft", "teacher"):  # written twice; the last writer's file is the one there
+        files.write_json(f"{folder}/{first}.json", {"arm": "none"})
     for r in _metrics(docs).collect():  # one row for each arm
         files.write_json(f"{folder}/{r['arm']}.json", {"arm": r["arm"], "macro_f1": r["macro_f1"]} if r["arm"] != "teacher" else {"macro_f1": r["macro_f1"]})
         files.write_json(f"{folder}/{r['arm']}_sweep.json", {"sweep": [{"batch_size": 1}, {"batch_size": 2}]})
     files.write_text(f"{folder}/notes.txt", "not read")
-    one, sweeps = files.read_artifacts(spark, f"file://{folder}", T.StructType.fromDDL("arm string, macro_f1 double, sweep array<struct<batch_size:int>>"))
+    one, sweeps = files.read_artifacts(spark, folder, T.StructType.fromDDL("arm string, macro_f1 double, sweep array<struct<batch_size:int>>"))
     return one.select("arm", F.lit("result").alias("kind"), "macro_f1").unionByName(sweeps.select("arm", F.concat(F.lit("sweep of "), F.size("sweep")).alias("kind"), "macro_f1"))
 
 
@@ -389,10 +429,12 @@ QUERIES = {
     "j8_contract": (contract, _CONTRACT),
     "st3_st4_st7_waves": (waves_of, _WAVES),
     "s1_k1_k2_json_lines": (json_lines, _LINES),
+    "s1_malformed_places": (malformed_places, _PLACES),
     "s2_malformed_lines": (malformed_lines, _MALFORMED),
     "s5_s8_corpus_sources": (corpus_sources, _SOURCES),
     "s6_s7_inferred_columns": (inferred_columns, _INFERRED),
     "k5_written_splits": (written_splits, _WRITTEN),
+    "st1_ingest_stream": (ingested, _INGESTED),
     "st1_st2_streaming_replay": (streamed, curation._REPLAY),
     "fl7_gates": (gates, _GATES),
     "jn2_x4_x6_faults": (faults, _FAULTS),

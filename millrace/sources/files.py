@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Callable, Iterable
@@ -11,11 +12,14 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from millrace import schema
 from millrace.errors import ContractError
 from millrace.functions.text import BLANK
 from millrace.operators import curate
+from millrace.sources import stores
+from millrace.tables import Workspace
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -31,6 +35,36 @@ def malformed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return parsed.where("p._corrupt_record is not null").select(F.col("value").alias("_corrupt_record"), "file")
 
 
+def numbered(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """``(file, line, value)`` of every line, numbered from 1 within its file, or with ``whole`` through all files by name.
+
+    A large file is read in splits by many tasks. Lines of a split are numbered by the task, and a split's first number is
+    the sum of the counts of the splits before it; these are one row a split and come from the same scan.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("nth"))
+    splits = Workspace(spark).keep(lines.groupBy("file", "at").agg(F.min("nth").alias("first"), F.count("*").alias("n")), "splits")
+    order = Window.orderBy("file", "at") if whole else Window.partitionBy("file").orderBy("at")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "at", (before - F.col("first") + 1).alias("shift"))
+    return lines.join(starts, ["file", "at"]).select("file", (F.col("nth") + F.col("shift")).alias("line"), "value")
+
+
+def malformed_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``(file, line, value)`` of the lines that are not objects of the schema; blank lines count and are not malformed."""
+    wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return numbered(spark, path).where((F.trim("value", F.lit(BLANK)) != "") & parsed["_corrupt_record"].isNotNull())
+
+
+def checked_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``read_jsonl`` after a look for malformed lines; the error names the first of them as ``file:line``. One more pass over the file."""
+    bad = malformed_lines(spark, path, schema).orderBy("file", "line").limit(10).collect()
+    if bad:
+        places = [f"{r['file'].rpartition('/')[2]}:{r['line']}" for r in bad]
+        raise ContractError(f"malformed JSON at {places[0]}: {bad[0]['value'][:80]!r}", len(bad), places)
+    return read_jsonl(spark, path, schema)
+
+
 def corpus_rows(rows: DataFrame, most: int | None = None) -> DataFrame:
     """``(source_key, text)`` of a corpus table of any shape: the text and key columns are found by a look at its first rows, and only these two are read.
 
@@ -98,7 +132,10 @@ def write_splits(rows: DataFrame, folder: str, splits: Iterable[str]) -> dict[st
 
 
 def write_text(path: str, text: str) -> None:
-    """Atomic on the driver's file system."""
+    """Atomic: readers see the old file or the new one. A path with a scheme is written on its store, any other on the driver's disk."""
+    if re.match(r"[a-z][a-z0-9+.-]*:/", path):
+        stores.write_text(path, text)
+        return
     tmp = f"{path}.tmp"
     with open(tmp, "w", encoding="utf-8") as f:
         f.write(text)

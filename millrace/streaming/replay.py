@@ -35,11 +35,12 @@ def _newest(spark: SparkSession, state_dir: str, before: int) -> tuple[dict[int,
     return newest, [f for b, _, f in found if f != newest[b]]
 
 
-def replay_stream(spark: SparkSession, log_dir: str, state_dir: str, checkpoint_dir: str, files_per_batch: int = 1000) -> None:
+def replay_stream(spark: SparkSession, log_dir: str, state_dir: str, checkpoint_dir: str, files_per_batch: int = 1000, after_write=None) -> None:  # noqa: ANN001
     """Reads what is new in a folder of JSON lines and merges it into states; run again it goes on where it stopped.
 
     A micro-batch writes a new version of the buckets that it touches from their newest earlier version, so a batch that is
-    run twice writes the same again; versions that no batch can need any more are removed.
+    run twice writes the same again; versions that no batch can need any more are removed. ``after_write(batch_id)`` is
+    called when a micro-batch is written and not committed, for tests of crashes.
     """
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).json(log_dir)
 
@@ -59,6 +60,8 @@ def replay_stream(spark: SparkSession, log_dir: str, state_dir: str, checkpoint_
         fs = path(state_dir).getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
         for f in stale:
             fs.delete(path(f), True)
+        if after_write:
+            after_write(batch_id)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
     query.awaitTermination()

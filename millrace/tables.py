@@ -36,6 +36,7 @@ class Workspace:
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.base)
         self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.base = self._fs.makeQualified(path).toString()  # with the scheme, so that others take it for what it is
         self._fs.mkdirs(path)
         self._fs.deleteOnExit(path)
 

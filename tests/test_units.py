@@ -222,6 +222,42 @@ def test_streaming_replay_equals_batch(spark, tmp_path):
     assert sorted(map(str, whole.collect())) == sorted(map(str, part.collect()))
 
 
+def test_replay_survives_a_crash_before_the_commit(spark, tmp_path):
+    src = tmp_path / "log"
+    src.mkdir()
+    lines = [dict(seq=i, doc_id=str(i % 7), field="title", old=None, new=str(i), at="2026-01-01T00:00:00Z", action="edit" if i % 3 else "accept") for i in range(60)]
+
+    def crash(batch_id):
+        raise RuntimeError("crash between write and commit")
+
+    for k in range(2):
+        (src / f"{k}.json").write_text("\n".join(json.dumps(x) for x in lines[k * 30 : k * 30 + 30]))
+        with pytest.raises(Exception, match="crash"):
+            replay.replay_stream(spark, str(src), str(tmp_path / "state"), str(tmp_path / "cp"), after_write=crash)
+        replay.replay_stream(spark, str(src), str(tmp_path / "state"), str(tmp_path / "cp"))
+        whole = gold.replay(spark.createDataFrame([tuple(x[c] for c in replay.LOG.names) for x in lines[: k * 30 + 30]], replay.LOG))
+        assert sorted(map(str, gold.replay(replay.states(spark, str(tmp_path / "state"))).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_line_numbers(spark, tmp_path):
+    from pyspark.sql.types import _parse_datatype_string
+
+    s = _parse_datatype_string("n long")
+    text = "".join(f'{{"n": {i}}}\n' if i % 50 else ("\n" if i % 100 else "broken\n") for i in range(1, 1001))
+    (tmp_path / "a.jsonl").write_text(text)
+    (tmp_path / "b.jsonl").write_text('{"n": 1}\n[1]')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        got = files.malformed_lines(spark, str(tmp_path), s)
+        assert got.rdd.getNumPartitions() > 1
+        assert sorted((r["file"].rpartition("/")[2], r["line"], r["value"]) for r in got.collect()) == sorted([*(("a.jsonl", i, "broken") for i in range(100, 1001, 100)), ("b.jsonl", 2, "[1]")])
+        with pytest.raises(ContractError, match=r"a\.jsonl:100"):
+            files.checked_jsonl(spark, str(tmp_path), s)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_leakage_guard(spark):
     a, b = spark.range(20).withColumnRenamed("id", "doc_id"), spark.range(5, 25).withColumnRenamed("id", "doc_id")
     with pytest.raises(ContractError) as e:
