@@ -55,8 +55,3 @@ def effective_batch(*factors: Column) -> Column:
 def implausible(p50_ms: Column, tokens: Column) -> Column:
     """A latency below what the tokens need at the fastest believable rate, or no tokens at all."""
     return (tokens <= 0) | (p50_ms <= tokens * 1000.0 / MOST_TOKENS_PER_S)
-
-
-def spread_pct(value: Column) -> Column:
-    """(max - min) / median in percent, 0 for no positive median (an aggregate)."""
-    return F.coalesce(F.when(F.median(value) > 0, (F.max(value) - F.min(value)) / F.nullif(F.median(value), F.lit(0.0)) * 100), F.lit(0.0))

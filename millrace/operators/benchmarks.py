@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import cost
+from millrace.operators import quantiles
 
 
 def latency_summary(samples: DataFrame, by: str, value: str = "ms") -> DataFrame:
-    """n, p50, p95, mean, min, max and sample deviation (0 for one sample) of each group."""
-    disc = lambda q: F.expr(f"percentile_disc({q}) within group (order by {value})")
+    """n, p50, p95, mean, min, max and sample deviation (0 for one sample) of each group; percentiles are by nearest rank."""
     v = F.col(value)
-    return samples.groupBy(by).agg(F.count(v).alias("n"), disc(0.5).alias("p50"), disc(0.95).alias("p95"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"))
+    plain = samples.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("stdev"))
+    ranks = quantiles.nearest(samples, [by], value, {"p50": 50, "p95": 95}).withColumnRenamed(by, "__by")
+    return plain.join(ranks, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "n", "p50", "p95", "mean", "min", "max", "stdev")
 
 
 def median_pass(passes: DataFrame) -> DataFrame:
     """Of the repeats (arm, ord, p50) the one closest to the arm's median p50; the first of equals."""
-    med = passes.groupBy("arm").agg(F.median("p50").alias("med"))
+    med = quantiles.medians(passes, ["arm"], "p50", "med")
     return passes.join(med, "arm").groupBy("arm").agg(F.min_by("ord", F.struct(F.abs(F.col("p50") - F.col("med")), F.col("ord"))).alias("ord"))
 
 
@@ -30,8 +32,10 @@ def best_rows(sweep: DataFrame) -> DataFrame:
 
 def index_build(timings: DataFrame) -> DataFrame:
     """Construction plus what the first call takes beyond the median of the others: (arm, ord, ms), ord 0 the construction."""
-    first, rest = F.max(F.when(F.col("ord") == 1, F.col("ms"))), F.median(F.when(F.col("ord") > 1, F.col("ms")))
-    return timings.groupBy("arm").agg((F.max(F.when(F.col("ord") == 0, F.col("ms"))) + F.greatest(F.lit(0.0), first - rest)).alias("build_ms"))
+    rest = quantiles.medians(timings.where("ord > 1"), ["arm"], "ms", "rest").withColumnRenamed("arm", "__arm")
+    one = timings.groupBy("arm").agg(*[F.max(F.when(F.col("ord") == i, F.col("ms"))).alias(c) for i, c in enumerate(("built", "first"))])
+    both = one.join(rest, F.col("arm").eqNullSafe(F.col("__arm")), "left")
+    return both.select("arm", (F.col("built") + F.greatest(F.lit(0.0), F.col("first") - F.col("rest"))).alias("build_ms"))
 
 
 def teacher_summary(calls: DataFrame) -> DataFrame:
@@ -39,8 +43,9 @@ def teacher_summary(calls: DataFrame) -> DataFrame:
     ok = F.col("ok")
     of = lambda c: F.when(ok, c)
     usd = F.sum(of(cost.cost(F.col("input_tokens"), F.col("output_tokens"), F.col("model"))))
-    p50 = F.expr("percentile_disc(0.5) within group (order by case when ok then ms end)")
-    out = calls.agg(F.count_if(ok).alias("n_calls_ok"), F.count_if(~ok).alias("n_calls_failed"), p50.alias("p50_ms"), F.avg(of(F.col("input_tokens"))).alias("mean_prompt_tokens"), F.avg(of(F.col("output_tokens"))).alias("mean_completion_tokens"), usd.alias("total_usd"))
+    out = calls.agg(F.count_if(ok).alias("n_calls_ok"), F.count_if(~ok).alias("n_calls_failed"), F.avg(of(F.col("input_tokens"))).alias("mean_prompt_tokens"), F.avg(of(F.col("output_tokens"))).alias("mean_completion_tokens"), usd.alias("total_usd"))
+    p50 = quantiles.nearest(calls.where(ok).withColumn("__all", F.lit(0)), ["__all"], "ms", {"p50_ms": 50}).drop("__all")
+    out = out.join(p50, F.lit(True), "left").select("n_calls_ok", "n_calls_failed", "p50_ms", "mean_prompt_tokens", "mean_completion_tokens", "total_usd")  # one row each
     return out.withColumn("cost_per_1k_docs_usd", F.try_divide("total_usd", "n_calls_ok") * 1000.0).withColumn("throughput_docs_per_s", F.coalesce(F.try_divide(F.lit(1000.0), "p50_ms"), F.lit(0.0)))
 
 

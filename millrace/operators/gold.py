@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from millrace import schema
 from millrace.errors import none_of
 from millrace.functions import normalize, text
+from millrace.operators import quantiles
 
 # Edges of the length strata, years that make a hint, and what a text may show for a currency.
 BINS = (400, 1500, 3000, 8000, 40000)
@@ -92,7 +93,9 @@ def median_gap(log: DataFrame) -> DataFrame:
     inside = rows.select((F.col("t") - F.lag("t").over(Window.partitionBy("block").orderBy("seq"))).alias("gap"))
     ends = rows.groupBy("block").agg(F.min_by("t", "seq").alias("first"), F.max_by("t", "seq").alias("last"))
     between = ends.select((F.col("first") - F.lag("last").over(Window.orderBy("block"))).alias("gap"))  # one row for each block
-    return inside.unionAll(between).agg(F.coalesce(F.median("gap"), F.lit(0.0)).alias("median_s"))
+    gaps = inside.unionAll(between).withColumn("__all", F.lit(0))
+    m = quantiles.medians(gaps, ["__all"], "gap")
+    return gaps.sparkSession.range(1).join(m, F.lit(True), "left").select(F.coalesce("median", F.lit(0.0)).alias("median_s"))  # one row each
 
 
 def agreement(final: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from millrace import schema
 from millrace.functions import cost, text
-from millrace.operators import benchmarks, curate, label, predict, report, score
+from millrace.operators import benchmarks, curate, label, predict, quantiles, report, score
 from millrace.plans import fixtures as fx
 from millrace.plans.curation import norm_sql
 from millrace.plans.fixtures import table
@@ -138,7 +138,7 @@ def latency(spark: S, d: str) -> DataFrame:
 
 def spread(spark: S, d: str) -> DataFrame:
     e = table(spark, d, "events").groupBy("user_id").agg(F.count("*").cast("double").alias("v"))
-    return e.groupBy((F.col("user_id") % 5).alias("g")).agg(cost.spread_pct(F.col("v")).alias("spread"))
+    return quantiles.spread_pct(e.select((F.col("user_id") % 5).alias("g"), "v"), ["g"], "v")
 
 
 _SWEEP = "SELECT user_id % 40 AS ord, 'a' || CAST(user_id % 5 AS STRING) AS arm, 1 + user_id % 40 AS batch_size, CAST(event_id % 17 AS DOUBLE) + 1 AS throughput, event_id % 11 = 0 AS oom FROM events"
