@@ -59,18 +59,20 @@ class Workspace:
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges (a, b)`` as ``(node, root)``, root being the smallest node of its component.
 
-    Each round deals new ranks to the nodes by a hash of node and round. A node points to its neighbour of lowest rank, if
-    that is lower than its own, pointers are followed twice, and the edges are contracted to the nodes pointed at. Ranks
-    that have nothing to do with the order of the nodes keep the chains of pointers short, so a path whose nodes are in
-    order shrinks by a constant factor a round as anything else does. The smallest node is looked up at the end. All steps
-    are partial aggregations and equi-joins; nothing is gathered on the driver. Null ends and loops are ignored.
+    In each round a node points to its neighbour of lowest rank, if that is lower than its own, pointers are followed twice,
+    and the edges are contracted to the nodes pointed at. The first two rounds rank nodes as they are, which ends stars and
+    groups in which all are linked; from then on they are ranked by a hash of node and round, which keeps
+    chains of pointers short, so that a path whose nodes are in order shrinks by a constant factor too. The smallest node
+    is looked up at the end. All steps are partial aggregations and equi-joins; nothing is gathered on the driver. Null
+    ends and loops are ignored.
     """
     clean = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     left = ws.keep(clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     roots: DataFrame | None = None
     nth = 0
     while not left.isEmpty():
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(nth)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        first = F.lit(0).cast("bigint") if nth < 2 else None
+        rank = lambda c: F.struct((F.xxhash64(c, F.lit(nth)) if first is None else first).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min(rank("b")).alias("low")).select(F.col("a").alias("node"), F.least(rank("a"), "low")["n"].alias("to"))
         up = ws.keep(up, "up")
