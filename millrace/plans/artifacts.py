@@ -76,6 +76,18 @@ UNION ALL SELECT 'pages', sha256(html), md5(html) FROM pages WHERE regexp_matche
 """
 
 
+def remote_sources(spark: S, d: str) -> DataFrame:
+    """Text and key of the first rows of a store that is read through a source of its own; rows with a blank text count as read."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 9 == 4, " \n").otherwise(F.col("text")).alias("text"), "source")
+    path = f"{Workspace(spark).base}/store"
+    docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.option("parquet.block.size", 64 * 1024).parquet(path)
+    most = docs.count() * 2 // 3
+    return files.remote_rows(spark, path, most).select("source_key", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_REMOTE = "SELECT doc_id::VARCHAR AS source_key, md5(text) AS digest FROM (SELECT * FROM documents ORDER BY doc_id LIMIT (SELECT count(*) * 2 // 3 FROM documents)) WHERE doc_id % 9 <> 4 AND regexp_matches(text, '\\S')"
+
+
 def inferred_columns(spark: S, d: str) -> DataFrame:
     """What is taken for the text and the key of each table, the first rows by id."""
     out = []
@@ -432,6 +444,7 @@ QUERIES = {
     "s1_malformed_places": (malformed_places, _PLACES),
     "s2_malformed_lines": (malformed_lines, _MALFORMED),
     "s5_s8_corpus_sources": (corpus_sources, _SOURCES),
+    "s5_remote_sources": (remote_sources, _REMOTE),
     "s6_s7_inferred_columns": (inferred_columns, _INFERRED),
     "k5_written_splits": (written_splits, _WRITTEN),
     "st1_ingest_stream": (ingested, _INGESTED),

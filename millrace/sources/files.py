@@ -18,7 +18,7 @@ from millrace import schema
 from millrace.errors import ContractError
 from millrace.functions.text import BLANK
 from millrace.operators import curate
-from millrace.sources import stores
+from millrace.sources import rowstore, stores
 from millrace.tables import Workspace
 
 
@@ -70,11 +70,24 @@ def corpus_rows(rows: DataFrame, most: int | None = None) -> DataFrame:
 
     ``most`` bounds the rows read, as part of the request. Without a key column the key is the text's hash; null and blank texts are left out.
     """
+    text, key = _columns(rows)
+    read = rows.select(*[F.col(f"`{c}`") for c in ((text,) if key is None else (key, text))])
+    return _keyed(read if most is None else read.limit(most), text, key)
+
+
+def remote_rows(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """The same of a store outside Spark: a look at its first rows, then a scan that fetches two columns of the first ``most`` rows, blank ones counted."""
+    text, key = _columns(rowstore.read(spark, path, limit=curate.PEEK_ROWS))
+    return _keyed(rowstore.read(spark, path, [text] if key is None else [key, text], most), text, key)
+
+
+def _columns(rows: DataFrame) -> tuple[str, str | None]:
     text = curate.pick_text_column(rows)
-    key = curate.pick_key_column(rows, text)
+    return text, curate.pick_key_column(rows, text)
+
+
+def _keyed(read: DataFrame, text: str, key: str | None) -> DataFrame:
     t = F.col(f"`{text}`")
-    read = rows.select(*[F.col(f"`{c}`") for c in ((text,) if key is None else (key, text))])
-    read = read if most is None else read.limit(most)
     kept = read.where(t.isNotNull() & (F.trim(t, F.lit(BLANK)) != ""))
     return kept.select((F.sha2(t, 256) if key is None else F.col(f"`{key}`").cast("string")).alias("source_key"), t.alias("text"))
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ROOT = str(Path(__file__).resolve().parents[1])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a private one only if the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it."""
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
+
+
 class Workspace:
     """Intermediate tables in the shared folder.
 
@@ -30,6 +43,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
+        let_workers_import(spark)
         self.base = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
         self._n = 0
         self._paths: dict[int, str] = {}
