@@ -149,6 +149,17 @@ def _unpack(b: bytes, kind: type) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
+def buckets(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` ranges (fewer than 2**32) of 64-bit hashes each one falls into."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def _ranges(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``(bucket, from, to)`` of the buckets that sorted bucket numbers name; what it costs depends on these, not on how many buckets there are."""
+    edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    yield from zip(of[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(of)], strict=True) if len(of) else ()
+
+
 def shingle_sets(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str) -> DataFrame:
     """``(doc_id, n, sig)``: size and fingerprint of each row's set."""
     src = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -180,8 +191,7 @@ def frequent(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, pa
             keys = np.sort(np.concatenate(held))
             edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             keys, n = keys[edge], np.diff(np.append(edge, len(keys))).clip(max=65535).astype(np.uint16)
-            cut = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32 - bits))
-            rows = [(b, x, y) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
+            rows = list(_ranges(keys.astype(np.uint64) >> np.uint64(32 - bits)))
             comp = zstandard.ZstdCompressor(level=1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b for b, _, _ in rows], pa.int32()), pa.array([_pack(keys[x:y]) for _, x, y in rows], pa.binary()), pa.array([comp.compress(n[x:y].tobytes()) for _, x, y in rows], pa.binary())],
@@ -280,7 +290,6 @@ def ties(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, rule:
     """``(a, b, n, need, sure)``: ties between documents on n common lists, of which a link needs ``need``; a common subset makes them sure."""
     src = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     told = docs.sparkSession.sparkContext.broadcast(known)
-    edges = np.array([(i << 64) // parts for i in range(parts)], np.uint64)
 
     def send(kind: int, tokens: list[np.ndarray], ids: list[np.ndarray], needs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not tokens:
@@ -295,8 +304,7 @@ def ties(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, rule:
             need = np.ones(len(t), np.uint16)
             if len(a):
                 rows.append((parts + int(a[0] % parts), _planes(a), _planes(b), b""))
-        cut = np.searchsorted(t, edges)
-        rows += [(i, _pack(t[p:q]), _planes(d[p:q]), _planes(need[p:q])) for i, (p, q) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), len(t)], strict=True)) if q > p]
+        rows += [(i, _pack(t[p:q]), _planes(d[p:q]), _planes(need[p:q])) for i, p, q in _ranges(buckets(t, parts))]
         cols = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([kind] * len(rows), pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "kind", "x", "y", "z"])
 

@@ -59,3 +59,19 @@ def test_large_blocks(spark, monkeypatch, name):
     monkeypatch.setattr(setjoin, "PIVOTS", 3)
     got = sorted(map(tuple, setjoin.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()))
     assert got == brute(rows, 4, 85, 100)
+
+
+def test_sending_does_not_walk_all_buckets():
+    """Steps follow the elements sent, however many buckets there are."""
+    import numpy as np
+
+    from millrace.llm import setjoin
+
+    t = np.sort(np.random.default_rng(3).integers(0, 2**64, 5000, dtype=np.uint64))
+    for parts in (1, 7, 4096, 3_000_000_000):
+        of = setjoin.buckets(t, parts)
+        assert int(of.max()) < parts and (np.diff(of.astype(np.int64)) >= 0).all()
+        got = list(setjoin._ranges(of))
+        assert len(got) == len(np.unique(of)) <= len(t) and got[0][1] == 0 and got[-1][2] == len(t)
+        assert all((of[p:q] == b).all() for b, p, q in got) and all(x[2] == y[1] for x, y in zip(got, got[1:], strict=False))
+    assert list(setjoin._ranges(t[:0])) == []
