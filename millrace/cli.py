@@ -172,10 +172,23 @@ def teacher_label(spark: SparkSession, p: Paths, a: argparse.Namespace) -> None:
         return
     if n_left:
         provider = named(a.provider, "a provider of labels")
-        batches = label.batches(left.select("doc_id")).groupBy("batch").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids")).orderBy("batch")
-        for row in batches.toLocalIterator():  # one batch at a time
-            batch = {"tag": f"batch-{row['batch']}", "doc_ids": row["doc_ids"], "model": a.model, "prompt_sha": prompt_sha}
-            waves.run_wave([batch], provider.submit, provider.harvest, provider.record)
+        held = label.batches(left.select("doc_id")).groupBy("batch").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids")).orderBy("batch")
+        # a provider with a ledger goes on with what an earlier run has left there
+        ledger = provider.ledger() if hasattr(provider, "ledger") else []
+        waves.consistent([b for b in ledger if not b.get("harvested")], a.model, prompt_sha)
+        lost = waves.resume(ledger, getattr(provider, "adopt", lambda row: None), provider.harvest, getattr(provider, "save", lambda row: None))
+        if ledger:  # what these have brought is not asked for again
+            cache = _cache(spark, p)
+            left = label.todo(chosen, label.cache_hits(cache, a.model, prompt_sha))
+            held = label.batches(left.select("doc_id")).groupBy("batch").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids")).orderBy("batch")
+            say(resumed=len(ledger), lost=len(lost))
+        batch = lambda tag, ids: {"tag": tag, "doc_ids": ids, "model": a.model, "prompt_sha": prompt_sha}
+        send = lambda rows, name: waves.run_wave((batch(f"{name}-{r['batch']}", r["doc_ids"]) for r in rows.toLocalIterator()), provider.submit, provider.harvest, provider.record)
+        send(held, "batch")
+        outcomes = label.outcomes(chosen, _cache(spark, p).where((F.col("teacher_model") == a.model) & (F.col("prompt_sha") == prompt_sha)))
+        retried = Workspace(spark).keep(label.retry_round(outcomes), "retry")
+        if not retried.isEmpty():  # one more round for lost calls and output that did not parse
+            send(label.batches(retried).groupBy("batch").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids")).orderBy("batch"), "retry")
         cache = _cache(spark, p)
     done = label.outcomes(chosen, cache.where((F.col("teacher_model") == a.model) & (F.col("prompt_sha") == prompt_sha)))
     done = Workspace(spark).keep(done.withColumn("gold", extract.posting(F.col("v"))).drop("v"), "outcomes")

@@ -6,7 +6,7 @@ Only batch descriptors (tag and ids of one batch) are on the driver; rows stay i
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
 from millrace.errors import ContractError
@@ -62,21 +62,26 @@ def resume(ledger: Sequence[Batch], adopt: Callable[[Batch], str | None], harves
     return again
 
 
-def run_wave(batches: Sequence[Batch], submit: Callable[[Batch], str], harvest: Callable[[str], list[str]], record: Callable[[Batch, str], None], window: int = IN_FLIGHT, most_incomplete: int = MOST_INCOMPLETE) -> list[str]:
-    """Sends all batches, at most ``window`` at a time, oldest harvested first.
+def run_wave(batches: Iterable[Batch], submit: Callable[[Batch], str], harvest: Callable[[str], list[str]], record: Callable[[Batch, str], None], window: int = IN_FLIGHT, most_incomplete: int = MOST_INCOMPLETE) -> list[str]:
+    """Sends all batches, at most ``window`` at a time, oldest harvested first; ``batches`` is drawn from as they are sent, so it may be longer than the driver could hold.
 
     ``record`` is called with the state ``intent`` before a batch is sent and with its id after, so a crash between the two
     can be found and adopted. ``harvest`` returns the ids that came back without a result; these are sent again as a batch
-    of their own. The ``most_incomplete``-th incomplete batch ends the requeues with an error. Returns the harvested ids.
+    of their own, behind all others. The ``most_incomplete``-th incomplete batch ends the requeues with an error. Returns
+    the harvested batches' ids.
     """
-    waiting, flying, done, incomplete = deque(batches), deque(), [], 0
-    while waiting or flying:
-        while waiting and len(flying) < window:
-            batch = waiting.popleft()
+    waiting, again, flying, done, incomplete = iter(batches), deque(), deque(), [], 0
+    while True:
+        while len(flying) < window:
+            batch = next(waiting, None) or (again.popleft() if again else None)
+            if batch is None:
+                break
             record(batch, "intent")
             batch_id = submit(batch)
             record(batch, batch_id)
             flying.append((batch, batch_id))
+        if not flying:
+            return done
         batch, batch_id = flying.popleft()
         left = harvest(batch_id)
         done.append(batch_id)
@@ -84,5 +89,4 @@ def run_wave(batches: Sequence[Batch], submit: Callable[[Batch], str], harvest:
             incomplete += 1
             if incomplete >= most_incomplete:
                 raise ContractError("batches keep coming back incomplete", len(left), left[:10])
-            waiting.append(batch | {"tag": f"{batch['tag']}-requeue{incomplete}", "doc_ids": left})
-    return done
+            again.append(batch | {"tag": f"{batch['tag']}-requeue{incomplete}", "doc_ids": left})

@@ -279,11 +279,12 @@ _CONFLATED = f"WITH l AS (SELECT {_LINE} AS line FROM documents), a AS (SELECT '
 
 
 def missing_artifacts(spark: S, d: str) -> DataFrame:
-    a = _arms(spark)
-    return report.warnings(a, a.where("ord < 4"), a.where("ord <> 2"), a.where("ord in (0, 2)"))
+    docs = table(spark, d, "documents").select(F.element_at(F.array(*map(F.lit, schema.ARMS)), (F.col("doc_id") % 5 + 1).cast("int")).alias("arm"), (F.col("doc_id") % 5).alias("ord"))
+    there = lambda cond: docs.where(cond).select("arm").distinct()
+    return report.warnings(_arms(spark), there("ord < 4"), there("ord <> 2"), there("ord in (0, 2)"))
 
 
-_MISSING = f"WITH a AS (SELECT * FROM {_ARMS}) SELECT arm, 'metrics' AS missing FROM a WHERE ord >= 4 UNION ALL SELECT arm, 'bench' FROM a WHERE ord = 2 UNION ALL SELECT arm, 'sweep' FROM a WHERE ord IN (1, 3)"
+_MISSING = f"WITH a AS (SELECT * FROM {_ARMS}), d AS (SELECT DISTINCT doc_id % 5 AS ord FROM documents) SELECT arm, 'metrics' AS missing FROM a WHERE ord NOT IN (SELECT ord FROM d WHERE ord < 4) UNION ALL SELECT arm, 'bench' FROM a WHERE ord NOT IN (SELECT ord FROM d WHERE ord <> 2) UNION ALL SELECT arm, 'sweep' FROM a WHERE ord < 4 AND ord NOT IN (SELECT ord FROM d WHERE ord IN (0, 2))"
 
 
 def first_and_falsy(spark: S, d: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -395,43 +393,57 @@ _ARTIFACTS = f"WITH m AS (SELECT a.arm, count(*) FILTER (n_chars > 2000) / count
 
 
 def contract(spark: S, d: str) -> DataFrame:
-    """The posting's JSON Schema, a row for each property; ``d`` is not read."""
+    """The posting's JSON Schema, a row for each property, and how many of the documents' postings have a value there and one that the property allows."""
     tree = schema.json_schema()
     kind = lambda p: "enum" if "enum" in p else p["type"] if "type" in p else "|".join(x["type"] for x in p["anyOf"])
     rows = [(i, f, kind(p), len(p.get("enum", [])), f in tree["required"]) for i, (f, p) in enumerate(tree["properties"].items())]
-    return spark.createDataFrame(rows, "ord int, field string, kind string, members int, required boolean")
+    g = fx.gold(spark, d)
+    json = g.select(predict.compact_json(F.struct(*schema.FIELDS)).alias("j"))
+    v = json.select(F.from_json("j", "map<string,string>").alias("v"))
+    allows = lambda f, p: F.col("v")[f].isin(p["enum"]) if "enum" in p else F.map_contains_key("v", f)
+    sums = v.agg(*[F.count(F.col("v")[f]).alias(f"there_{f}") for f in tree["properties"]], *[F.count_if(allows(f, p)).alias(f"ok_{f}") for f, p in tree["properties"].items()])
+    long = sums.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"there_{f}").alias("n_there"), F.col(f"ok_{f}").alias("n_allowed")) for f in tree["properties"]])).alias("x")).select("x.*")
+    return spark.createDataFrame(rows, "ord int, field string, kind string, members int, required boolean").join(long, "field")
 
 
-_CONTRACT = """
-SELECT * FROM (VALUES (0, 'title', 'string|null', 0), (1, 'company', 'string|null', 0), (2, 'employment_type', 'enum', 6), (3, 'seniority', 'enum', 7), (4, 'remote_mode', 'enum', 4), (5, 'location_city', 'string|null', 0),
+_CONTRACT = f"""
+WITH {fx.gold_cte()}, c AS (SELECT * FROM (VALUES (0, 'title', 'string|null', 0), (1, 'company', 'string|null', 0), (2, 'employment_type', 'enum', 6), (3, 'seniority', 'enum', 7), (4, 'remote_mode', 'enum', 4), (5, 'location_city', 'string|null', 0),
   (6, 'location_region', 'string|null', 0), (7, 'location_country', 'string|null', 0), (8, 'salary_min', 'number|null', 0), (9, 'salary_max', 'number|null', 0), (10, 'salary_currency', 'string|null', 0), (11, 'salary_period', 'enum', 6),
-  (12, 'years_experience_min', 'integer|null', 0), (13, 'education_level', 'enum', 7), (14, 'required_skills', 'array', 0), (15, 'posting_date', 'string|null', 0)) v(ord, field, kind, members), (SELECT true AS required)
+  (12, 'years_experience_min', 'integer|null', 0), (13, 'education_level', 'enum', 7), (14, 'required_skills', 'array', 0), (15, 'posting_date', 'string|null', 0)) v(ord, field, kind, members), (SELECT true AS required)),
+n AS ({" UNION ALL ".join(f"SELECT '{f}' AS field, count({f}) AS n_there, count(*) AS n_allowed FROM gold" for f in schema.FIELDS)})
+SELECT c.*, n_there, n_allowed FROM c JOIN n USING (field)
 """
 
 
 def waves_of(spark: S, d: str) -> DataFrame:
-    """Batches of a capped selection sent through a provider that loses some rows of each batch once, after a crash that left one batch open: how often each id was sent, and harvested."""
+    """Batches of a capped selection, each written as a file of requests and answered by a file of results that lacks some rows the first time; a batch is harvested by a join of the two. Before them a crash has left one batch open. How often each id was sent, and answered."""
     ids = curation.selected(spark, d).select("doc_id")
-    batches = [{"tag": f"b{r['batch']}", "doc_ids": list(r["ids"])} for r in label.batches(ids, 64).groupBy("batch").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).orderBy("batch").collect()]  # the selection is capped
-    sent: Counter[str] = Counter()
-    got: Counter[str] = Counter()
-    flying: dict[str, list[str]] = {}
+    base = Workspace(spark).base
+    held = label.batches(ids, 64).groupBy("batch").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).orderBy("batch")
+    batches = ({"tag": f"b{r['batch']}", "doc_ids": list(r["ids"])} for r in held.toLocalIterator())  # one batch at a time
+    one = T.StructType([T.StructField("doc_id", T.StringType())])
 
     def submit(batch: dict) -> str:
-        sent.update(batch["doc_ids"])
-        flying[f"at-{batch['tag']}"] = batch["doc_ids"]
-        return f"at-{batch['tag']}"
-
-    def harvest(batch_id: str) -> list[str]:
-        held = flying.pop(batch_id)
-        lost = [x for x in held if x.endswith("0") and sent[x] == 1]
-        got.update(x for x in held if x not in lost)
-        return lost
-
-    ledger = [{"tag": batches[0]["tag"], "batch_id": submit(batches[0])}, {"tag": "never", "doc_ids": batches[1]["doc_ids"]}]
+        at = f"at-{batch['tag']}"
+        asked = spark.createDataFrame([(x,) for x in batch["doc_ids"]], one)  # a batch's ids
+        files.write_jsonl(asked, f"{base}/requests/{at}")
+        lost = F.col("doc_id").endswith("0") & F.lit("requeue" not in at and at != "at-again")
+        files.write_jsonl(asked.where(~lost).withColumn("ok", F.lit(True)), f"{base}/results/{at}")
+        return at
+
+    def harvest(at: str) -> list[str]:
+        asked = files.read_jsonl(spark, f"{base}/requests/{at}", one).agg(F.collect_list("doc_id").alias("doc_ids")).withColumn("batch", F.lit(at))
+        answered = files.read_jsonl(spark, f"{base}/results/{at}", T.StructType([*one.fields, T.StructField("ok", T.BooleanType())]))
+        return [r["doc_id"] for r in label.missing(asked, answered).orderBy("doc_id").collect()]  # of one batch
+
+    first, second = next(batches), next(batches, {"tag": "none", "doc_ids": []})
+    ledger = [{"tag": first["tag"], "batch_id": submit(first)}, {"tag": "never", "doc_ids": second["doc_ids"]}]
     again = waves.resume(ledger, lambda row: None, harvest, lambda row: None)
-    waves.run_wave([{"tag": "again", "doc_ids": again}, *batches[2:]], submit, harvest, lambda batch, state: None, most_incomplete=len(batches) + 1)
-    return spark.createDataFrame([(x, sent[x], got[x]) for x in sorted(sent)], "doc_id string, sent long, harvested long")
+    lost = [x for x in again if x not in second["doc_ids"]]
+    rest = ({"tag": "again", "doc_ids": lost}, second, *batches)
+    waves.run_wave(rest, submit, harvest, lambda batch, state: None, most_incomplete=1 << 30)
+    count = lambda what: spark.read.schema(one).option("recursiveFileLookup", True).json(f"{base}/{what}").groupBy("doc_id").agg(F.count("*").alias(what))
+    return count("requests").join(count("results"), "doc_id", "left").select("doc_id", F.col("requests").alias("sent"), F.coalesce("results", F.lit(0)).alias("harvested"))
 
 
 _WAVES = f"SELECT doc_id, CASE WHEN doc_id LIKE '%0' THEN 2 ELSE 1 END::BIGINT AS sent, 1::BIGINT AS harvested FROM ({curation._SELECTED})"

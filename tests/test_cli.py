@@ -120,3 +120,59 @@ def test_commands_are_complete():
     with pytest.raises(SystemExit) as e:
         cli.main(["gold", "unheard-of"])
     assert e.value.code == 2
+
+
+class Provider:
+    """Answers into the cache; the first time it loses some rows of a batch and spoils others."""
+
+    def __init__(self, root):
+        self.root, self.flying, self.most, self.sent, self.states = root, {}, 0, {}, []
+        self.open = []
+
+    def ledger(self):
+        return self.open
+
+    def record(self, batch, state):
+        self.states.append((batch["tag"], state))
+
+    def submit(self, batch):
+        self.flying[batch["tag"]] = batch
+        self.most = max(self.most, len(self.flying))
+        return batch["tag"]
+
+    def harvest(self, at):
+        batch = self.flying.pop(at)
+        rows, lost = [], []
+        for d in batch["doc_ids"]:
+            n = self.sent[d] = self.sent.get(d, 0) + 1
+            if n == 1 and d.endswith("0"):
+                lost.append(d)
+            else:
+                rows.append({"doc_id": d, "raw_output": "not json" if n == 1 and d.endswith("1") else json.dumps(POSTING), "teacher_model": "gpt-4o-mini", "prompt_sha": cli.PROMPT_SHA, "error": None, "ok": True, "seq": len(self.states), "tokens_in": 1, "tokens_out": 1})
+        path = f"{self.root}/labeled/_cache"
+        os.makedirs(path, exist_ok=True)
+        with open(f"{path}/{at}-{len(self.states)}.json", "w", encoding="utf-8") as f:
+            f.writelines(json.dumps(r) + "\n" for r in rows)
+        return lost
+
+
+def test_labelling_by_waves(spark, root, tmp_path, monkeypatch):
+    real = cli.label.batches
+    monkeypatch.setattr(cli.label, "batches", lambda ids: real(ids, 16))
+    monkeypatch.setattr(cli.waves, "MOST_INCOMPLETE", 99)
+    monkeypatch.setattr(cli.waves.run_wave, "__defaults__", (4, 99))
+    mine = str(tmp_path)
+    assert run(spark, mine, "corpus", "build", "--source", f"{root}/raw", "--target-n", "100", "--least", "1", "--least-split", "0") == 0
+    ids = sorted(r["doc_id"] for r in cli.files.read_jsonl(spark, f"{mine}/corpus/docs", cli.DOC).collect())
+    provider = Provider(mine)
+    provider.open = [{"tag": "old", "batch_id": "old", "doc_ids": ids[:10], "model": "gpt-4o-mini", "prompt_sha": "another"}]
+    monkeypatch.setattr("test_cli.PROVIDER", provider, raising=False)
+    assert run(spark, mine, "teacher", "label", "--split", "all", "--provider", "test_cli:PROVIDER") == 1, "an open batch of another prompt"
+    provider.open[0]["prompt_sha"] = cli.PROMPT_SHA
+    provider.flying["old"] = provider.open[0]
+    run(spark, mine, "teacher", "label", "--split", "all", "--provider", "test_cli:PROVIDER")
+    stats = cli._stats(f"{mine}/results/teacher_stats.json")
+    assert stats["n_ok"] == len(ids) == 100 and provider.open[0]["harvested"]
+    assert provider.most == 4 and not provider.flying
+    assert {d: 2 if d[-1] in "01" else 1 for d in ids} == provider.sent
+    assert [s for t, s in provider.states[:2]] == ["intent", "batch-0"] and any(t.startswith("retry") for t, _ in provider.states)
