@@ -10,6 +10,7 @@ from millrace import schema
 from millrace.errors import none_of
 from millrace.functions import normalize, text
 from millrace.operators import quantiles
+from millrace.tables import Workspace
 
 # Edges of the length strata, years that make a hint, and what a text may show for a currency.
 BINS = (400, 1500, 3000, 8000, 40000)
@@ -160,6 +161,26 @@ def leaked(held_out: DataFrame, other: DataFrame, key: str = "doc_id") -> DataFr
     return held_out.join(other.select(key), key, "left_semi")
 
 
+def split_leaks(docs: DataFrame, splits: tuple[str, ...], text: str = "text") -> DataFrame:
+    """``(doc_id, held_out, other, by)``: rows ``(doc_id, text, split)`` of a split whose id or text also stands in a later one of ``splits``.
+
+    Texts are read once and compared by SHA-256; for each id and each text one pass gathers the splits it stands in as bits,
+    so no row meets another. Null texts and ids leak nothing; repeated rows give a row each.
+    """
+    n = {s: i for i, s in enumerate(splits)}
+    place = F.coalesce(*[F.when(F.col("split") == s, i) for s, i in n.items()])
+    rows = docs.where(F.col("split").isin(*splits)).select("doc_id", place.alias("n"), F.sha2(text, 256).alias("digest"))
+    rows = Workspace(docs.sparkSession).keep(rows, "digests")
+    parts = []
+    for by, key in (("doc_id", "doc_id"), ("text", "digest")):
+        stands = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.bit_or(F.expr("shiftleft(1L, n)")).alias("bits")).where("bit_count(bits) > 1")
+        later = F.explode(F.filter(F.array(*map(F.lit, range(len(splits)))), lambda j: (j > F.col("n")) & (F.getbit(F.col("bits"), j) == 1)))
+        met = rows.join(stands, F.col(key) == F.col("__k")).select("doc_id", "n", later.alias("m"))
+        name = lambda c: F.element_at(F.array(*map(F.lit, splits)), F.col(c) + 1)
+        parts.append(met.select("doc_id", name("n").alias("held_out"), name("m").alias("other"), F.lit(by).alias("by")))
+    return parts[0].unionByName(parts[1])
+
+
 def assert_no_leakage(held_out: DataFrame, *others: DataFrame, key: str = "doc_id") -> None:
     """No held-out id may occur in any of the other tables."""
     for other in others:

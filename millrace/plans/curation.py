@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -352,9 +350,7 @@ _SPLITS = ("eval_pool", "dev", "train")
 def split_leakage(spark: S, d: str) -> DataFrame:
     """Held-out documents of the splits whose id or text occurs in a later split."""
     docs = table(spark, d, "documents").select(identity.doc_id(F.col("source"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
-    parts = [docs.where(identity.split(F.col("doc_id")) == name) for name in _SPLITS]
-    pairs = [(i, j, key) for i in range(len(parts)) for j in range(i + 1, len(parts)) for key in ("doc_id", "text")]
-    return reduce(DataFrame.unionAll, [gold.leaked(parts[i], parts[j], key=key).select("doc_id", F.lit(_SPLITS[i]).alias("held_out"), F.lit(_SPLITS[j]).alias("other"), F.lit(key).alias("by")) for i, j, key in pairs])
+    return gold.split_leaks(docs.withColumn("split", identity.split(F.col("doc_id"))), _SPLITS)
 
 
 _SPLIT_LEAKS = f"""
