@@ -30,6 +30,13 @@ def make_dir(spark: SparkSession, path: str) -> None:
     fs.mkdirs(p)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Files or folders with all that is in them; one that is not there is no error."""
+    for path in paths:
+        fs, p, _ = _at(spark, path)
+        fs.delete(p, True)
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     """Names of a folder's visible files; none if it is not there."""
     fs, p, _ = _at(spark, folder)

@@ -1,13 +1,13 @@
-"""Review logs as a stream: each micro-batch is folded into a table of states."""
+"""Review logs as a stream: the last row of each slot of a document is kept in the state store."""
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources import stores
+
 LOG = T.StructType([T.StructField("seq", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("doc_id", "field", "old", "new", "at", "action")]])
 
 
@@ -17,57 +17,50 @@ def fold(rows: DataFrame) -> DataFrame:
     return rows.withColumn("slot", slot).groupBy("doc_id", "slot").agg(F.max_by(F.struct("seq", "field", "old", "new", "at", "action"), F.col("seq")).alias("r")).select("doc_id", "r.*")
 
 
-#: Parts of the state; a micro-batch rewrites only those that its documents fall into.
-BUCKETS = 64
-_VERSION = re.compile(r"/v=([0-9]+)/b=([0-9]+)$")
-
+#: Changes of so many micro-batches are folded into one table.
+FOLDED = 16
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
 
-
-def _newest(spark: SparkSession, state_dir: str, before: int) -> tuple[dict[int, str], list[str]]:
-    """The folder of each bucket's newest version below ``before``, and those that are older than it. There are at most ``BUCKETS`` folders a version."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(state_dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = sorted((int(m[2]), int(m[1]), str(f)) for f in ([x.getPath().toString() for x in fs.globStatus(path(f"{state_dir}/v=*/b=*"))] if fs.exists(path(state_dir)) else []) if (m := _VERSION.search(f)) and int(m[1]) < before)
-    newest = {b: f for b, _, f in found}
-    return newest, [f for b, _, f in found if f != newest[b]]
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the finished versions below a folder, in order. There are few, since they are folded."""
+    found = [int(n[2:]) for n in stores.names(spark, folder) if n.startswith("v=")]
+    return sorted(v for v in found if stores.exists(spark, f"{folder}/v={v}/_SUCCESS"))
 
 
 def replay_stream(spark: SparkSession, log_dir: str, state_dir: str, checkpoint_dir: str, files_per_batch: int = 1000, after_write=None) -> None:  # noqa: ANN001
-    """Reads what is new in a folder of JSON lines and merges it into states; run again it goes on where it stopped.
+    """Reads what is new in a folder of JSON lines and keeps the last row of each slot; run again it goes on where it stopped.
 
-    A micro-batch writes a new version of the buckets that it touches from their newest earlier version, so a batch that is
-    run twice writes the same again; versions that no batch can need any more are removed. ``after_write(batch_id)`` is
-    called when a micro-batch is written and not committed, for tests of crashes.
+    The slots are keyed state in Spark's state store, so a micro-batch costs what it changes. It writes the changed slots as
+    a version of its own, again the same if it is run twice; when there are more than ``FOLDED`` versions, the older ones
+    are folded into one table, which is finished before they go. ``after_write(batch_id)`` is called when a micro-batch is
+    written and not committed, for tests of crashes.
     """
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_batch).json(log_dir)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        new = fold(batch).select(*LOG.names, _bucket().alias("b")).persist()
-        touched = [r["b"] for r in new.select("b").distinct().collect()]  # at most BUCKETS
-        newest, stale = _newest(session, state_dir, batch_id + 1)
-        old = [newest[b] for b in touched if b in newest]
-        rows = new.drop("b")
-        if old:
-            rows = rows.unionByName(session.read.schema(LOG).json(old))
-        merged = fold(rows).select(*LOG.names, _bucket().alias("b"))
-        merged.repartition("b").write.mode("overwrite").partitionBy("b").json(f"{state_dir}/v={batch_id + 1}")
-        new.unpersist()
-        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = path(state_dir).getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
-        for f in stale:
-            fs.delete(path(f), True)
+        batch.select(*LOG.names).write.mode("overwrite").json(f"{state_dir}/changes/v={batch_id + 1}")
+        _fold_older(session, state_dir, batch_id)
         if after_write:
             after_write(batch_id)
 
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
+    query = fold(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def _fold_older(spark: SparkSession, state_dir: str, upto: int) -> None:
+    """Folds all versions up to one, if they are many, and removes them once that is written."""
+    old = [v for v in _versions(spark, f"{state_dir}/changes") if v <= upto]
+    if len(old) > FOLDED:
+        fold(states(spark, state_dir, upto)).select(*LOG.names).write.mode("overwrite").json(f"{state_dir}/folded/v={upto}")
+        stores.remove(spark, *[f"{state_dir}/changes/v={v}" for v in old])
+        stores.remove(spark, *[f"{state_dir}/folded/v={v}" for v in _versions(spark, f"{state_dir}/folded") if v < upto])
+
+
 def states(spark: SparkSession, state_dir: str, version: int | None = None) -> DataFrame:
-    """The folded log, from which ``gold.replay`` gives the same answer as from the whole log; by default of the last version."""
-    newest, _ = _newest(spark, state_dir, (1 << 62) if version is None else version + 1)
-    return spark.read.schema(LOG).json(sorted(newest.values())) if newest else spark.createDataFrame([], LOG)
+    """The folded log, from which ``gold.replay`` gives the same answer as from the whole log; by default of the last version. A version that was folded into a later one is not there any more."""
+    most = (1 << 62) if version is None else version
+    base = [v for v in _versions(spark, f"{state_dir}/folded") if v <= most][-1:]
+    after = [v for v in _versions(spark, f"{state_dir}/changes") if v <= most and (not base or v > base[0])]
+    paths = [f"{state_dir}/folded/v={v}" for v in base] + [f"{state_dir}/changes/v={v}" for v in after]
+    return fold(spark.read.schema(LOG).json(paths)).select(*LOG.names) if paths else spark.createDataFrame([], LOG)

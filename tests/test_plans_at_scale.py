@@ -291,7 +291,8 @@ def test_facts():
     assert f["teacher"]["cost_per_1k_docs_usd"] is None and f["train_runtime_h"] == 2 and f["spend_usd"] == 2.0 and f["macro_f1_null_baseline"] == 0.1
 
 
-def test_streaming_states_keep_few_versions(spark, tmp_path):
+def test_streaming_states_keep_few_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(replay, "FOLDED", 2)
     rng = random.Random(4)
     lines = [{"seq": i, "doc_id": f"d{rng.randint(0, 30)}", "field": rng.choice(["title", "company"]), "old": None, "new": str(i), "at": f"t{i}", "action": rng.choice(["edit", "edit", "accept", "reject_doc"])} for i in range(300)]
     src = tmp_path / "src"
@@ -302,6 +303,5 @@ def test_streaming_states_keep_few_versions(spark, tmp_path):
     whole = gold.replay(spark.createDataFrame([tuple(x[c] for c in replay.LOG.names) for x in lines], replay.LOG))
     part = gold.replay(replay.states(spark, str(tmp_path / "state")))
     assert sorted(map(str, part.collect())) == sorted(map(str, whole.collect()))
-    kept = list((tmp_path / "state").glob("v=*/b=*"))
-    assert len(kept) <= 2 * len({p.name for p in kept}), "a bucket keeps its newest version and the one before"
+    assert len(list((tmp_path / "state").glob("changes/v=*"))) <= 3 and len(list((tmp_path / "state").glob("folded/v=*"))) == 1
     assert replay.states(spark, str(tmp_path / "none")).count() == 0
