@@ -10,7 +10,6 @@ from millrace.functions import cost, extract, identity, normalize, text
 from millrace.operators import curate, gold, label
 from millrace.plans import fixtures as fx
 from millrace.plans.fixtures import table
-from millrace.tables import Workspace
 
 S = SparkSession
 _ID = "'jp_' || substr(sha256(source || chr(0) || CAST(doc_id AS VARCHAR)), 1, 10)"
