@@ -8,7 +8,8 @@ source of the same query, so the state holds what was kept and nothing that was
 The order of rows is that of micro-batches and within one that of ``seq``; if later files hold later numbers, the result is
 that of the batch. Keys are salted, so rows that share an opening are asked for by ``SALTS`` groups; a claim goes to each of
 them. A micro-batch's tables are written below its number and counted once a manifest of that number exists, which is put
-there last by an atomic rename: a batch that is run again after a crash writes the same again, or does nothing.
+there last by an atomic rename: a batch that is run again after a crash writes the same again, or
+brings the state store up to date and writes nothing.
 """
 
 from __future__ import annotations
@@ -82,6 +83,7 @@ def ingest_stream(spark: SparkSession, pages_dir: str, out_dir: str, checkpoint_
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         if stores.exists(session, f"{out_dir}/manifests/{batch_id}"):
+            batch.write.format("noop").mode("overwrite").save()  # all is written; only the state has still to take its claims
             return
         ws = Workspace(session)
         events = ws.keep(batch, "events")
