@@ -116,6 +116,13 @@ def test_clean_is_the_plain_rule(spark):
         assert r["t"] == plain_clean(cases[r["i"]]), repr(cases[r["i"]])
 
 
+def test_entities_without_a_semicolon_are_decoded(spark):
+    cases = ["and&amp</title>", "a &amp b", "&copy 2026", "cut &am", "&amp;amp x", "R&D"]
+    got = spark.createDataFrame(list(enumerate(cases)), "i long, t string").select("i", text.clean(F.col("t")).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in got} == {i: plain_clean(c) for i, c in enumerate(cases)}
+    assert plain_clean("a &amp b") == "a & b"
+
+
 def test_clean_is_worked_out_once(spark):
     df = spark.createDataFrame([("x",)], "t string").withColumn("t", text.clean(F.col("t"))).withColumn("n", F.length("t")).withColumn("h", F.sha2("t", 256))
     plan = df.where("n > 0 and t <> 'y'")._jdf.queryExecution().executedPlan().toString()
