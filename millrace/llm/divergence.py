@@ -38,20 +38,35 @@ _SPACE = r"[ \t-\r]+"
 _CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "symbol": "[#*$%&|<>]+", "mark": "[!-~]+"}
 
 
+def _between(text: Column, runs: str) -> Column:
+    """What stands between runs of separators. Only the first and the last piece can be empty, so no piece is looked at one by one."""
+    pieces = F.split(text, runs)
+
+    def filled(x: Column) -> Column:
+        first, last = (F.when(F.element_at(x, i) == "", 1).otherwise(0) for i in (1, -1))
+        return F.slice(x, first + 1, F.greatest(F.size(x) - first - last, F.lit(0)))
+
+    return let(pieces, filled)
+
+
 def _tokens(text: Column) -> Column:
     """Runs of letters in lower case."""
-    return F.filter(F.split(F.lower(text), r"[\x00-`{-\x7f]+"), lambda w: w != "")
+    return _between(F.lower(text), r"[\x00-`{-\x7f]+")
 
 
 def _classes(docs: DataFrame, text: str) -> DataFrame:
-    """Adds ``classes``, the counts of the classes of characters of words, and ``word_chars``, their sum. Each class is cut out of what the ones before have left."""
-    out = docs.withColumn("__left0", F.regexp_replace(text, _SPACE, ""))
-    for i, pattern in enumerate(_CLASSES.values()):
+    """Adds ``classes``, the counts of the classes of characters of words, and ``word_chars``, their sum. Each class is cut out of what the ones before have left.
+
+    Blanks are cut out after the first class, which is most of a text, and counted with none.
+    """
+    first, *others = _CLASSES.values()
+    out = docs.withColumn("__left0", F.col(text))
+    for i, pattern in enumerate([first, _SPACE, *others]):
         out = out.withColumn(f"__left{i + 1}", F.regexp_replace(f"__left{i}", pattern, ""))
-    n = len(_CLASSES)
+    n = len(_CLASSES) + 1
     size = lambda i: F.length(f"__left{i}").cast("bigint")
-    counts = F.array(*[size(i) - size(i + 1) for i in range(n)], size(n))
-    return out.withColumn("classes", counts).withColumn("word_chars", size(0)).drop(*[f"__left{i}" for i in range(n + 1)])
+    counts = F.array(size(0) - size(1), *[size(i) - size(i + 1) for i in range(2, n)], size(n))
+    return out.withColumn("classes", counts).withColumn("word_chars", size(0) - size(1) + size(2)).drop(*[f"__left{i}" for i in range(n + 1)])
 
 
 def references(docs: DataFrame, lang: str = "lang", text: str = "text", common: int = COMMON) -> DataFrame:
@@ -78,10 +93,11 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text", common:
 
 
 def _slots(words: Column) -> Column:
-    """For each slot the places of the words that hash into it."""
+    """For each slot the words that hash into it with their places, null if there are none."""
     slot = lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS))
-    placed = F.transform(words, lambda x, i: F.struct(slot(x["word"]).alias("s"), i.alias("i")))
-    return let(placed, lambda p: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.transform(F.filter(p, lambda x: x["s"] == s), lambda x: x["i"])))
+    placed = F.transform(words, lambda x, i: F.struct(slot(x["word"]).alias("s"), x["word"].alias("word"), i.alias("i")))
+    here = lambda p, s: F.transform(F.filter(p, lambda x: x["s"] == s), lambda x: F.struct(x["word"].alias("word"), x["i"].alias("i")))
+    return let(placed, lambda p: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: let(here(p, s), lambda x: F.when(F.size(x) > 0, x))))
 
 
 def _part(p: Column, q: Column) -> Column:
@@ -109,8 +125,8 @@ def word_distance(tokens: Column, words: Column, slots: Column, total: Column) -
     """Jensen-Shannon distance of a document's words and its language's, the common ones and all others as one bin."""
 
     def rank(t: Column) -> Column:
-        here = F.get(slots, F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int"))
-        return F.when(F.size(here) > 0, F.get(F.filter(here, lambda i: F.get(words, i)["word"] == t), F.lit(0)))
+        here = F.get(slots, F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int"))  # mostly null
+        return F.get(F.filter(here, lambda x: x["word"] == t), F.lit(0))["i"]
 
     def judged(ranks: Column, n: Column) -> Column:
         """``ranks``: the ranks of the common ones of the document's n words, sorted."""
@@ -129,7 +145,7 @@ def word_distance(tokens: Column, words: Column, slots: Column, total: Column) -
 
         return let(found, sums)
 
-    ranks = let(F.transform(tokens, rank), lambda r: F.array_sort(F.filter(r, lambda x: x.isNotNull())))
+    ranks = let(F.transform(tokens, rank), lambda r: F.sort_array(F.array_compact(r)))
     return let(F.struct(ranks.alias("r"), F.size(tokens).alias("n")), lambda x: judged(x["r"], x["n"]))
 
 
@@ -146,11 +162,11 @@ def repeated_words(words: Column, k: int = WINDOW) -> Column:
         """``pairs``: (hash, place) in order."""
         same = lambda x, j: F.coalesce(F.get(pairs, j)["h"] == x["h"], F.lit(False))
         mine = F.filter(pairs, lambda x, i: same(x, i + 1) | ((i > 0) & same(x, F.greatest(i - 1, F.lit(0)))))
-        return let(F.array_sort(F.transform(mine, lambda x: x["i"])), covered)
+        return let(F.sort_array(F.transform(mine, lambda x: x["i"])), covered)
 
     def counted(windows: Column) -> Column:
         pairs = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(let(F.array_sort(pairs), doubled))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(let(F.sort_array(pairs), doubled))
 
     one = F.transform(words, lambda w: F.xxhash64(w))
     windows = let(one, lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + d) for d in range(1, k)])))
@@ -172,7 +188,7 @@ def judge(docs: DataFrame, refs: DataFrame, key: str = "doc_id", lang: str = "la
         spread = refs.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         both = dealt.join(spread, F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("__salt") == F.col("__s")), "left")
     counted = _classes(both, "text")
-    base_words = F.filter(F.split("text", _SPACE), lambda w: w != "")
+    base_words = _between(F.col("text"), _SPACE)
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     numbers = let(base_words, lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
     dup = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))

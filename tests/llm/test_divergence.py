@@ -96,3 +96,13 @@ def test_labelled_rows(spark):
 def test_no_python_and_no_copies_of_the_text(spark):
     plan = queries.op12_rules(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|CartesianProduct", plan)
+
+
+def test_pieces_are_not_looked_at_one_by_one(spark):
+    cases = ["", " ", "a", " a", "a ", " a b ", "  a  \n b", "\t\t"]
+    df = spark.createDataFrame(list(enumerate(cases)), "i long, t string")
+    assert {r["i"]: r["w"] for r in df.select("i", d._between(F.col("t"), d._SPACE).alias("w")).collect()} == {i: c.split() for i, c in enumerate(cases)}
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan(d._tokens(F.col("t")))
+    words = spark.createDataFrame([], "w array<string>, c array<struct<word:string,n:bigint>>, s array<array<struct<word:string,i:int>>>, n bigint")
+    assert "array_sort" not in words.select(d.word_distance(F.col("w"), F.col("c"), F.col("s"), F.col("n")))._jdf.queryExecution().optimizedPlan().toString(), "its comparator is interpreted for each comparison"
