@@ -1,7 +1,8 @@
 """Ingest of raw pages as a stream: clean, filter by length, keep the first of each id and prefix, and count every drop.
 
-The rows kept so far are keyed state in Spark's state store: one entry for each id and each prefix that a kept row has
-claimed. A micro-batch asks the state for its own keys only. Rows without a claimed key compete among themselves by the
+The rows kept so far are keyed state in Spark's state store: the 16-byte digests of each id and each prefix that a kept row
+has claimed, ``BUCKETS`` entries of them, since Python is called once for each entry that a micro-batch touches and a call
+costs far more than a key. An entry that gets claims is written again as a whole. A micro-batch asks the state for its own keys only. Rows without a claimed key compete among themselves by the
 rule of ``curate.dedupe``; what these keep is written and comes back as claims with the next micro-batch, through a second
 source of the same query, so the state holds what was kept and nothing that was dropped, as in a run over a table.
 
@@ -31,19 +32,25 @@ _CLAIM = "id string, prefix string"
 DOC = "seq long, id string, prefix string, text string, char_len int"
 #: Groups over which the rows of one key are dealt.
 SALTS = 4
+#: Entries of the state for each salt; a checkpoint goes with their number.
+BUCKETS = 1024
+_DIGEST = 16
 REASONS = ("short", "long", "duplicate_id", "duplicate_prefix")
 _EVENT = "seq long, kind string, id string, prefix string, text string, char_len int, reason string, claimed boolean"
 
 
 def _claimed(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one key, with whether it was claimed before this micro-batch. A claim that comes with it is passed on, since rows may have come first."""
-    before = state.exists
+    """Rows of one bucket of keys, with whether their key was claimed before this micro-batch. A claim that comes with it is passed on, since rows may have come first."""
+    held = state.get[0] if state.exists else b""
+    before = {held[i : i + _DIGEST] for i in range(0, len(held), _DIGEST)}
+    new: dict[bytes, None] = {}
     for rows in parts:
-        rows = rows.drop(columns=["key", "salt"])
-        claims = rows["kind"] == "claim"
-        if claims.any():
-            state.update((True,))
-        yield rows.assign(claimed=before)
+        digests = rows["digest"].map(bytes)
+        new.update(dict.fromkeys(digests[rows["kind"] == "claim"]))
+        yield rows.drop(columns=["bucket", "salt", "digest"]).assign(claimed=[d in before for d in digests])  # isin() would take digests that end in zero bytes for others
+    added = [d for d in new if d not in before]
+    if added:
+        state.update((held + b"".join(added),))
 
 
 def _key(kind: str, value: str) -> Column:
@@ -61,12 +68,13 @@ def _events(pages: DataFrame, claims: DataFrame, source: str) -> DataFrame:
     nothing = F.lit(None).cast("string")
     both = F.array(question("prefix", _key("p", "prefix"), c), question("id", _key("i", "id"), nothing))
     asked = F.when(F.col("reason").isNull(), both).otherwise(F.array(question("dropped", F.concat(F.lit("x:"), F.pmod(F.xxhash64("seq"), F.lit(997))), nothing)))
-    names = ["key", "salt", "seq", "kind", "id", "prefix", "text", "char_len", "reason"]
+    names = ["bucket", "salt", "digest", "seq", "kind", "id", "prefix", "text", "char_len", "reason"]
     new = rows.select("seq", "id", "prefix", "char_len", "reason", salt.alias("salt"), F.explode(asked).alias("q")).select(F.col("q.key").alias("key"), "salt", "seq", F.col("q.kind").alias("kind"), "id", "prefix", F.col("q.body").alias("text"), "char_len", "reason")
     each = claims.select("id", "prefix", F.explode(F.array(_key("p", "prefix"), _key("i", "id"))).alias("key")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     none = lambda t: F.lit(None).cast(t)
     old = each.select("key", "salt", none("long").alias("seq"), F.lit("claim").alias("kind"), F.col("key").alias("id"), none("string").alias("prefix"), none("string").alias("text"), none("int").alias("char_len"), none("string").alias("reason"))
-    return new.select(*names).unionByName(old.select(*names))
+    bucketed = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")).withColumn("digest", F.unhex(F.md5(F.col("key").cast("binary"))))
+    return bucketed(new).select(*names).unionByName(bucketed(old).select(*names))
 
 
 def ingest_stream(spark: SparkSession, pages_dir: str, out_dir: str, checkpoint_dir: str, source: str = "pages", files_per_batch: int = 1000, after_write=None) -> None:  # noqa: ANN001
@@ -78,7 +86,7 @@ def ingest_stream(spark: SparkSession, pages_dir: str, out_dir: str, checkpoint_
     stores.make_dir(spark, f"{out_dir}/claims")
     pages = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", files_per_batch).json(pages_dir)
     claims = spark.readStream.schema(_CLAIM).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{out_dir}/claims")
-    told = _events(pages, claims, source).groupBy("key", "salt").applyInPandasWithState(_claimed, _EVENT, "claimed boolean", "append", GroupStateTimeout.NoTimeout)
+    told = _events(pages, claims, source).groupBy("bucket", "salt").applyInPandasWithState(_claimed, _EVENT, "claimed binary", "append", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession

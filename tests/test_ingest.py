@@ -4,6 +4,7 @@ import json
 import random
 import threading
 
+import pandas as pd
 import pytest
 
 from millrace.functions import text as cleaning
@@ -87,3 +88,28 @@ def test_small_files_on_a_store(spark, tmp_path):
     for w in writers:
         w.join()
     assert stores.read_text(f"{base}/a/b.txt") in texts and stores.names(spark, f"{base}/a") == ["b.txt"]
+
+
+def test_claims_of_many_keys_share_a_bucket():
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    ends_in_zeros = [bytes([n]) * 12 + b"\0" * 4 for n in range(1, 6)]
+    state = State()
+    rows = lambda *events: pd.DataFrame([(0, 0, bytearray(d), k) for d, k in events], columns=["bucket", "salt", "digest", "kind"])
+    ask = lambda *parts: [c for p in ingest._claimed((0, 0), iter(parts), state) for c in p["claimed"]]
+    assert ask(rows((ends_in_zeros[0], "id"), (ends_in_zeros[0], "claim")), rows((ends_in_zeros[0], "prefix"), (ends_in_zeros[1], "claim"))) == [False] * 4, "claims count from the next micro-batch on"
+    assert ask(rows(*[(d, "id") for d in ends_in_zeros]), rows((ends_in_zeros[2], "claim"), (ends_in_zeros[0], "claim"))) == [True, True, False, False, False, False, True]
+    assert state.get == (b"".join(ends_in_zeros[:3]),)
+
+
+def test_python_is_called_for_buckets_and_not_for_keys(spark):
+    n = 2 * ingest.BUCKETS * ingest.SALTS
+    pages = spark.range(n).selectExpr("id AS seq", "CAST(id AS STRING) AS source_key", "repeat(CAST(id AS STRING), 500) AS text")
+    claims = spark.range(n).selectExpr("CAST(id AS STRING) AS id", "CAST(-id AS STRING) AS prefix")
+    events = ingest._events(pages, claims, "s")
+    assert events.count() > 4 * n
+    assert events.select("bucket", "salt").distinct().count() <= ingest.BUCKETS * ingest.SALTS
