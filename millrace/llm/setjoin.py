@@ -18,7 +18,8 @@ Two documents link when ``den * |A & B| >= num * |A | B|``. The join is exact an
   the others are most of the block, every pair of parts is.
 
 Lists are merged in buckets of their elements, as many as keep ``BUCKET_SHINGLES`` elements of all sets for each, so a
-bucket's table does not grow with the input. Equal sets are one class from the start, lists are merged within a task before they are shuffled, and a block returns a
+bucket's table does not grow with the input. Equal sets are one class from the start: lists name classes and not documents, so copies that
+lie in different tasks count once on a list. Lists are merged within a task before they are shuffled, and a block returns a
 spanning forest of its links rather than the links, so copies are never expanded into pairs. Components come from
 ``runtime.components``. Shingles are 64-bit hashes of their words.
 
@@ -114,7 +115,7 @@ def subsets(s: np.ndarray, x: int, rule: Rule) -> Iterator[int]:
 
 
 def _distinct_sets(batches: Iterator[pa.RecordBatch], k: int, table: np.ndarray) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Keys and sets of each slice, the first of equal sets of a task only; no null keys, no empty sets."""
+    """Classes and sets of each slice, the first of equal sets of a task only; no null keys, no empty sets."""
     seen: set[bytes] = set()
     for batch in batches:
         data, offsets = tk.raw(batch.column(1))
@@ -128,7 +129,7 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], k: int, table: np.ndarray)
                 sig = _sig(s)
                 if sig not in seen:
                     seen.add(sig)
-                    out_ids.append(d)
+                    out_ids.append(_class(sig))
                     out.append(s)
             yield out_ids, out
 
@@ -137,6 +138,11 @@ def _sig(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _class(sig: bytes) -> int:
+    """64 bits of a fingerprint, by which lists name a set."""
+    return int.from_bytes(sig[:8], "little", signed=True)
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Sorted integers as compressed differences, byte plane by byte plane."""
     step = np.diff(x, prepend=x.dtype.type(0))
@@ -161,7 +167,7 @@ def _ranges(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def shingle_sets(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str) -> DataFrame:
-    """``(doc_id, n, sig)``: size and fingerprint of each row's set."""
+    """``(doc_id, n, sig, class)``: size and fingerprint of each row's set, and the part of the fingerprint that lists name."""
     src = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +179,9 @@ def shingle_sets(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str
                 for s in tk.sets(words, k):
                     n.append(len(s))
                     sig.append(_sig(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(map(_class, sig), pa.int64())], ["doc_id", "n", "sig", "class"])
 
-    return src.mapInArrow(run, "doc_id bigint, n bigint, sig binary")
+    return src.mapInArrow(run, "doc_id bigint, n bigint, sig binary, class bigint")
 
 
 def frequent(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +293,7 @@ PAIR, STAR, SURE = 0, 1, 2
 
 
 def ties(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, rule: Rule, x: int, known: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
-    """``(a, b, n, need, sure)``: ties between documents on n common lists, of which a link needs ``need``; a common subset makes them sure."""
+    """``(a, b, n, need, sure)``: ties between classes on n common lists, of which a link needs ``need``; a common subset makes them sure."""
     src = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     told = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -349,14 +355,15 @@ def ties(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, rule:
                 out.append((a, b, np.ones(len(a), np.int64), np.ones(len(a), np.int64), kind == SURE))
                 continue
             tokens = np.concatenate([_unpack(b, np.uint64) for b in part["x"].to_pylist()])
-            long = np.ones(len(tokens), bool)
             if kind == PAIR:
                 needs = np.concatenate([_unplaned(b, np.uint16) for b in part["z"].to_pylist()])
-                order = np.argsort(tokens, kind="stable")
+                order = np.lexsort((ids, tokens))
                 tokens, ids, needs = tokens[order], ids[order], needs[order]
+                once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])])  # copies from several tasks
+                tokens, ids, needs = tokens[once], ids[once], needs[once]
                 first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
                 length = np.diff(np.append(first, len(tokens)))
-                long = np.repeat(length > SHORT_LIST, length)
+                long = np.repeat(length > SHORT_LIST, length)  # the other kinds are stars whatever their length
                 short = length <= SHORT_LIST
                 a, b, need = _pairs(ids, needs, first[short], length[short])
                 if len(a):
@@ -364,6 +371,8 @@ def ties(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, rule:
                     a, b, need = a[order], b[order], need[order]
                     edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
                     out.append((a[edge], b[edge], np.diff(np.append(edge, len(a))), need[edge].astype(np.int64), False))
+            else:
+                long = np.ones(len(tokens), bool)
             if long.any():
                 _, _, a, b = _stars(tokens[long], ids[long])
                 # a star stands for any number of lists
@@ -487,16 +496,22 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, table:
     x = boundary(sizes, rule)
     known = frequent(docs, k, table, key, text, parts)
     tied = ws.keep(ties(docs, k, table, key, text, rule, x, known, parts), "ties")
-    first = ws.keep(full.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("m")), "classes")
+    first = ws.keep(full.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("m"), F.first("class").alias("class")), "classes")
     same = ws.keep(full.join(first, "sig").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "same")
     counted = tied.where("not sure").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
-    maybe = counted.where("n >= need").select("a", "b")
+
+    def named(pairs: DataFrame) -> DataFrame:
+        """Pairs of classes as pairs of their first documents."""
+        x, y = (first.select(F.col("class").alias(f"c{i}"), F.col("rep").alias(f"r{i}")) for i in (1, 2))
+        return pairs.join(x, F.col("a") == F.col("c1")).join(y, F.col("b") == F.col("c2")).select(F.col("r1").alias("a"), F.col("r2").alias("b"))
+
+    maybe = named(counted.where("n >= need").select("a", "b"))
     blocks = runtime.components(ws, maybe.unionAll(same))
     reps = first.select("rep").distinct()
     inside = ws.keep(blocks.join(reps, blocks.node == reps.rep, "left_semi"), "inside")
     count = inside.groupBy("root").agg(F.count("*").alias("m")).where("m > 1")
     exact = ws.keep(block_links(ws, docs, ws.keep(inside.join(count, "root").select("node", "root", "m"), "blocks"), k, table, key, text, rule), "links")
-    edges = exact.unionAll(tied.where("sure").select("a", "b")).unionAll(same)
+    edges = exact.unionAll(named(tied.where("sure").select("a", "b").distinct())).unionAll(same)
     roots = runtime.components(ws, edges)
     ws.drop(tied, first, same, inside, exact)
     out = sets.join(roots, sets.doc_id == roots.node, "left")

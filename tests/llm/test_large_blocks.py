@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import setjoin
 
@@ -75,3 +76,15 @@ def test_sending_does_not_walk_all_buckets():
         assert len(got) == len(np.unique(of)) <= len(t) and got[0][1] == 0 and got[-1][2] == len(t)
         assert all((of[p:q] == b).all() for b, p, q in got) and all(x[2] == y[1] for x, y in zip(got, got[1:], strict=False))
     assert list(setjoin._ranges(t[:0])) == []
+
+
+def test_copies_in_different_tasks_make_no_ties(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(120)) for i in range(20)]
+    texts.append(" ".join([*texts[0].split()[:-1], "end"]))  # linked with the first
+    rows = [(c * 1000 + i, t) for c in range(12) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12, (F.col("doc_id") / 1000).cast("int"))
+    real, n = setjoin.ties, []
+    monkeypatch.setattr(setjoin, "ties", lambda *a: n.append((t := real(*a).cache()).count()) or t)
+    got = {r["doc_id"]: r["component_id"] for r in setjoin.jaccard_join(docs, 4, 85, 100).collect()}
+    assert got == {d: 0 if d % 1000 == 20 else d % 1000 for d, _ in rows}
+    assert n[0] <= 2 * setjoin.LEAST_BUCKETS, "only two different texts have lists in common"
