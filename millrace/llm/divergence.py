@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.text import let
+from millrace.functions.text import let, once
 from millrace.llm import runtime
 
-COMMON, SLOTS, LANGUAGES, SALTS = 50, 512, 2000, 16
+COMMON, LANGUAGES, SALTS = 50, 2000, 16
+SLOTS = 512  # a power of two
 LEAST_CHARS, LEAST_TOKENS, LEAST_REFERENCE = 200, 60, 1000
 #: The greatest divergences (squares of distances) that a kept document has, of classes of characters and of common words;
 #: a histogram of few words is far from any other by chance, so NOISE by the number of words is added.
@@ -92,10 +93,13 @@ def references(docs: DataFrame, lang: str = "lang", text: str = "text", common:
     return out.select("lang", "class_counts", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("words", empty).alias("words"))
 
 
+def _slot(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(SLOTS - 1)
+
+
 def _slots(words: Column) -> Column:
     """For each slot the words that hash into it with their places, null if there are none."""
-    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS))
-    placed = F.transform(words, lambda x, i: F.struct(slot(x["word"]).alias("s"), x["word"].alias("word"), i.alias("i")))
+    placed = F.transform(words, lambda x, i: F.struct(_slot(x["word"]).alias("s"), x["word"].alias("word"), i.alias("i")))
     here = lambda p, s: F.transform(F.filter(p, lambda x: x["s"] == s), lambda x: F.struct(x["word"].alias("word"), x["i"].alias("i")))
     return let(placed, lambda p: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: let(here(p, s), lambda x: F.when(F.size(x) > 0, x))))
 
@@ -125,13 +129,13 @@ def word_distance(tokens: Column, words: Column, slots: Column, total: Column) -
     """Jensen-Shannon distance of a document's words and its language's, the common ones and all others as one bin."""
 
     def rank(t: Column) -> Column:
-        here = F.get(slots, F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int"))  # mostly null
+        here = F.get(slots, _slot(t))  # mostly null
         return F.get(F.filter(here, lambda x: x["word"] == t), F.lit(0))["i"]
 
     def judged(ranks: Column, n: Column) -> Column:
         """``ranks``: the ranks of the common ones of the document's n words, sorted."""
-        last = F.size(ranks) - 1
-        ends = F.filter(F.transform(ranks, lambda r, i: F.when((i == last) | (F.get(ranks, i + 1) != r), i)), lambda i: i.isNotNull())
+        places = F.slice(F.sequence(F.lit(0), F.size(ranks)), 1, F.size(ranks))
+        ends = F.filter(places, lambda i: ~F.get(ranks, i).eqNullSafe(F.get(ranks, i + 1)))
         found = let(ends, lambda e: F.transform(e, lambda at, j: F.struct(F.get(ranks, at).alias("r"), (at - F.when(j > 0, F.get(e, j - 1)).otherwise(-1)).alias("n"))))
 
         def sums(f: Column) -> Column:
@@ -149,8 +153,18 @@ def word_distance(tokens: Column, words: Column, slots: Column, total: Column) -
     return let(F.struct(ranks.alias("r"), F.size(tokens).alias("n")), lambda x: judged(x["r"], x["n"]))
 
 
-def repeated_words(words: Column, k: int = WINDOW) -> Column:
-    """How many words stand in a window of k words that the text has twice or more."""
+def window_hashes(words: Column, k: int = WINDOW) -> Column:
+    """A hash of each window of k words."""
+    one = F.transform(words, lambda w: F.xxhash64(w))
+    return let(one, lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + d) for d in range(1, k)])))
+
+
+def repeated_words(windows: Column, k: int = WINDOW) -> Column:
+    """How many words stand in a window of k words that the text has twice or more, of the hashes of all its windows.
+
+    ``windows`` should be a column: an expression is worked out thrice, and what a lambda function is given is compared by
+    interpreted code, where a column's elements are compared by generated code without an object for each.
+    """
 
     def covered(at: Column) -> Column:
         """``at``: where such windows start, in order."""
@@ -164,13 +178,8 @@ def repeated_words(words: Column, k: int = WINDOW) -> Column:
         mine = F.filter(pairs, lambda x, i: same(x, i + 1) | ((i > 0) & same(x, F.greatest(i - 1, F.lit(0)))))
         return let(F.sort_array(F.transform(mine, lambda x: x["i"])), covered)
 
-    def counted(windows: Column) -> Column:
-        pairs = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(let(F.sort_array(pairs), doubled))
-
-    one = F.transform(words, lambda w: F.xxhash64(w))
-    windows = let(one, lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + d) for d in range(1, k)])))
-    return F.when(F.size(words) > k, let(windows, counted)).otherwise(0).cast("bigint")
+    pairs = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(let(F.sort_array(pairs), doubled)).cast("bigint")
 
 
 def judge(docs: DataFrame, refs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
@@ -190,19 +199,20 @@ def judge(docs: DataFrame, refs: DataFrame, key: str = "doc_id", lang: str = "la
     counted = _classes(both, "text")
     base_words = _between(F.col("text"), _SPACE)
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    numbers = let(base_words, lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    numbers = let(base_words, lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), window_hashes(w).alias("windows")))
     dup = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
     known = F.col("tokens") >= LEAST_REFERENCE
     chars = F.when(known & (F.col("word_chars") >= LEAST_CHARS), distance(F.col("classes"), F.col("class_counts")))
     words = F.when(known, let(_tokens(F.col("text")), lambda t: F.when(F.size(t) >= LEAST_TOKENS, F.struct(F.size(t).alias("n"), word_distance(t, F.col("words"), F.col("slots"), F.col("tokens")).alias("d")))))
     told = counted.select(
-        "doc_id", numbers.alias("n"), "word_chars", F.col("classes")[list(_CLASSES).index("symbol")].alias("n_symbols"), dup.alias("n_dup_lines"), chars.alias("chars_distance"), words.alias("w")
+        "doc_id", once(numbers).alias("n"), "word_chars", F.col("classes")[list(_CLASSES).index("symbol")].alias("n_symbols"), dup.alias("n_dup_lines"), chars.alias("chars_distance"), words.alias("w")
     )
-    failed = (F.col("n.n_words") < LEAST_WORDS) | (100 * F.col("n.n_repeat_words") > MOST_REPEATED * F.col("n.n_words"))
+    told = told.withColumn("n_repeat_words", once(repeated_words(F.col("n.windows"))))
+    failed = (F.col("n.n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n.n_words"))
     square = lambda c: F.coalesce(c * c, F.lit(0.0))
     far = (square(F.col("chars_distance")) > FAR_CHARS) | (square(F.col("w.d")) > FAR_WORDS + F.coalesce(NOISE / F.col("w.n"), F.lit(0.0)))
     return told.select(
-        "doc_id", "n.n_words", "word_chars", "n_symbols", "n_dup_lines", "n.n_repeat_words", failed.alias("base_failed"), "chars_distance", F.col("w.d").alias("words_distance"), (~failed & ~far).alias("kept")
+        "doc_id", "n.n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "chars_distance", F.col("w.d").alias("words_distance"), (~failed & ~far).alias("kept")
     )
 
 

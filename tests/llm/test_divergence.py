@@ -106,3 +106,9 @@ def test_pieces_are_not_looked_at_one_by_one(spark):
     assert "filter(" not in plan(d._tokens(F.col("t")))
     words = spark.createDataFrame([], "w array<string>, c array<struct<word:string,n:bigint>>, s array<array<struct<word:string,i:int>>>, n bigint")
     assert "array_sort" not in words.select(d.word_distance(F.col("w"), F.col("c"), F.col("s"), F.col("n")))._jdf.queryExecution().optimizedPlan().toString(), "its comparator is interpreted for each comparison"
+
+
+def test_windows_are_compared_by_generated_code(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = d.judge(docs, d.references(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"size\(array_distinct\(n#\d+\.windows\)", plan), "of a lambda function's variable, they are boxed one by one"
