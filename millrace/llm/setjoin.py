@@ -8,9 +8,10 @@ Two documents link when ``den * |A & B| >= num * |A | B|``. The join is exact an
   common. Each list of equal subsets becomes a star, no pair is compared.
 * heavy: every pair with a larger member shares r elements among the first ``n - ceil(n * num / den) + r`` of each in
   any common order. The order puts elements that many documents hold last: document frequencies of all shingles are
-  counted on all rows, and the most frequent ones (at most ``ORDERED``; any order gives the same links, so this bounds
-  a broadcast and nothing else) are known to every task. Inverted lists of these first elements give ties: a long list,
-  or that of a frequent element, is a star; short lists give pairs, of which those with r lists in common stay. The
+  counted on all rows, and every task has a table that gives the frequency of the most frequent element of each slot of
+  hashes (at most ``2 * ORDERED`` slots; any order gives the same links, so this bounds a broadcast and nothing else).
+  Inverted lists of these first elements give ties: a long list, or that of a frequent element, is a star; short lists
+  give pairs, of which those whose sizes allow a link and that have r lists in common stay. The
   components of the ties are blocks, each set goes to its block once, and there the inverted lists are scanned for
   exact overlaps. In blocks of over ``BLOCK`` sets all sets are first compared with ``PIVOTS`` of them. What is linked
   with the pivots of the largest group (near copies mostly are) is connected and needs no comparison among itself, so
@@ -44,8 +45,12 @@ from pyspark.sql import functions as F
 from millrace.llm import runtime
 from millrace.llm import textkernel as tk
 
-#: Elements of which every task knows that they are frequent: 12 bytes each.
-ORDERED = 1 << 20
+#: Elements of which every task knows that they are frequent: two slots of a byte for each at least, eight if there are few.
+ORDERED = 1 << 23
+#: What lists keep of an element's hash: less would bring more pairs to compare, and more is bytes to shuffle. Subsets keep all.
+KEPT_BITS = np.uint64(0xFFFFFFFFFF000000)
+#: Words of 64 bits, at most, of the filter that spares texts outside blocks the shuffle; the join behind it is exact.
+FILTER_WORDS = 1 << 18
 #: An element is frequent from so many documents on.
 FREQUENT = 16
 #: A longer list is a star.
@@ -76,8 +81,12 @@ class Rule:
         return -(-self.num * n // self.den), n * self.den // self.num
 
     def shared(self, n: int) -> int:
-        """r: how many of the first elements a linked pair has in common at least."""
-        return max(1, n // 12)
+        """r: how many of the first elements a linked pair has in common at least; two if any, since one is often chance."""
+        return max(1, n // 12, min(2, self.overlap(n, n)))
+
+    def needed(self, n: np.ndarray) -> np.ndarray:
+        """``shared`` of many sizes."""
+        return np.maximum(np.maximum(n // 12, 1), np.minimum(2, -(-2 * self.num * n // (self.num + self.den))))
 
     def prefix(self, n: int) -> int:
         return n - (-(-self.num * n // self.den)) + self.shared(n)
@@ -184,8 +193,8 @@ def shingle_sets(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str
     return src.mapInArrow(run, "doc_id bigint, n bigint, sig binary, class bigint")
 
 
-def frequent(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles: the upper 32 bits of their hashes, sorted, and the binary logarithm of their counts."""
+def frequent(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, parts: int) -> np.ndarray:
+    """The binary logarithm of the count of the most frequent shingle in each slot, 0 without a frequent one; slots are ranges of hashes, a power of two of them."""
     src = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     bits = max(0, (parts - 1).bit_length())
 
@@ -232,39 +241,45 @@ def frequent(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, pa
         if total + n > ORDERED:
             break
         least, total = c, total + n
-    kept = found.where(F.floor(F.log2("n")) >= least).toPandas()  # at most ORDERED rows
+    bits = min(max(10, (8 * total).bit_length()), (2 * ORDERED - 1).bit_length())
+    slot, rank = F.shiftright("key", 32 - bits).cast("int").alias("slot"), F.floor(F.log2("n")).cast("byte").alias("rank")
+    kept = found.where(F.floor(F.log2("n")) >= least).select(slot, rank).toPandas()  # at most ORDERED rows of 5 bytes
     ws.drop(found)
-    kept = kept.sort_values("key")
-    return kept["key"].to_numpy().astype(np.uint32), np.log2(kept["n"].to_numpy().clip(min=1)).astype(np.uint8)
+    ranks = np.zeros(1 << bits, np.uint8)
+    np.maximum.at(ranks, kept["slot"].to_numpy(), kept["rank"].to_numpy().astype(np.uint8))
+    return ranks
 
 
-def prefix(s: np.ndarray, p: int, keys: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefix(s: np.ndarray, p: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first p elements of a sorted set, rare ones first, and their ranks, 0 for rare ones."""
-    if not len(keys):
-        return s[:p], np.zeros(min(p, len(s)), np.uint8)
-    top = (s >> np.uint64(32)).astype(np.uint32)
-    at = np.minimum(np.searchsorted(keys, top), len(keys) - 1)
-    rank = np.where(keys[at] == top, ranks[at], 0).astype(np.uint8)
+    rank = ranks[s >> np.uint64(65 - len(ranks).bit_length())]
     if not rank.any():
         return s[:p], rank[:p]
     order = np.argsort(rank, kind="stable")[:p]
     return s[order], rank[order]
 
 
-def _pairs(ids: np.ndarray, needs: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs (larger, smaller) within lists and what they need; ``first`` and ``length`` tell the lists' places."""
+def _pairs(ids: np.ndarray, sizes: np.ndarray, less: np.ndarray, first: np.ndarray, length: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (larger, smaller) within lists whose sizes allow a link, and what they need; ``first`` and ``length`` tell the lists' places, ``less`` by how much a set needs less."""
     out = []
     for n in np.unique(length).tolist():
         if n < 2:
             continue
-        at = first[length == n][:, None] + np.arange(n)
         x, y = np.triu_indices(n, 1)
-        out.append((ids[at[:, x]].ravel(), ids[at[:, y]].ravel(), np.minimum(needs[at[:, x]], needs[at[:, y]]).ravel()))
+        starts = first[length == n]
+        for i in range(0, len(starts), step := max(1, FLUSH // len(x))):
+            at = starts[i : i + step, None] + np.arange(n)
+            u, v = at[:, x].ravel(), at[:, y].ravel()
+            lo, hi = np.minimum(sizes[u], sizes[v]), np.maximum(sizes[u], sizes[v])
+            keep = (rule.den * lo >= rule.num * hi) & (ids[u] != ids[v])
+            u, v = u[keep], v[keep]
+            fewer = np.maximum(less[u], less[v])
+            need = np.where(fewer < 255, np.maximum(1, rule.needed(lo[keep]) - fewer), 1)
+            out.append((np.maximum(ids[u], ids[v]), np.minimum(ids[u], ids[v]), need))
     if not out:
-        return ids[:0], ids[:0], needs[:0]
+        return ids[:0], ids[:0], sizes[:0]
     p, q, need = (np.concatenate(c) for c in zip(*out, strict=True))
-    keep = p != q
-    return np.maximum(p, q)[keep], np.minimum(p, q)[keep], need[keep]
+    return p, q, need
 
 
 def _stars(tokens: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -292,30 +307,30 @@ def _unplaned(b: bytes, kind: type) -> np.ndarray:
 PAIR, STAR, SURE = 0, 1, 2
 
 
-def ties(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, rule: Rule, x: int, known: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
+def ties(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, rule: Rule, x: int, known: np.ndarray, parts: int) -> DataFrame:
     """``(a, b, n, need, sure)``: ties between classes on n common lists, of which a link needs ``need``; a common subset makes them sure."""
     src = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     told = docs.sparkSession.sparkContext.broadcast(known)
 
-    def send(kind: int, tokens: list[np.ndarray], ids: list[np.ndarray], needs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def send(kind: int, tokens: list[np.ndarray], ids: list[np.ndarray], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not tokens:
             return
-        t, d, need = np.concatenate(tokens), np.concatenate(ids), np.concatenate(needs)
+        t, d, size = np.concatenate(tokens), np.concatenate(ids), np.concatenate(sizes)
         rows = []
         if kind == PAIR:
             order = np.argsort(t, kind="stable")
-            t, d, need = t[order], d[order], need[order]
+            t, d, size = t[order], d[order], size[order]
         else:  # what meets within the task is tied here, and one document goes on for each list
             t, d, a, b = _stars(t, d)
-            need = np.ones(len(t), np.uint16)
+            size = size[:0]
             if len(a):
                 rows.append((parts + int(a[0] % parts), _planes(a), _planes(b), b""))
-        rows += [(i, _pack(t[p:q]), _planes(d[p:q]), _planes(need[p:q])) for i, p, q in _ranges(buckets(t, parts))]
+        rows += [(i, _pack(t[p:q]), _planes(d[p:q]), _planes(size[p:q])) for i, p, q in _ranges(buckets(t, parts))]
         cols = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([kind] * len(rows), pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "kind", "x", "y", "z"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ranks = told.value
+        ranks = told.value
         held: dict[int, tuple[list, list, list]] = {kind: ([], [], []) for kind in (PAIR, STAR, SURE)}
         total = 0
         for out_ids, sets in _distinct_sets(batches, k, table):
@@ -325,14 +340,17 @@ def ties(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, rule:
                 if n <= x:
                     new.append((SURE, np.fromiter(subsets(s, x, rule), np.uint64)))
                 if rule.partners(n)[1] > x:
-                    t, rank = prefix(s, rule.prefix(n), keys, ranks)
+                    t, rank = prefix(s, rule.prefix(n), ranks)
+                    t &= KEPT_BITS
                     new += [(PAIR, t[rank == 0]), (STAR, t[rank > 0])]
                 for kind, t in new:
                     if len(t):
-                        tokens, ids, needs = held[kind]
+                        tokens, ids, sizes = held[kind]
+                        # elements that differ only in what is not kept count once, so the set needs as many less
+                        less = min(len(t) - len(np.unique(t)), 255) if kind == PAIR else 0
                         tokens.append(t)
                         ids.append(np.full(len(t), d, np.int64))
-                        needs.append(np.full(len(t), min(rule.shared(n), 65535), np.uint16))
+                        sizes.append(np.full(len(t), min(n, (1 << 24) - 1) << 8 | less, np.uint32))
                         total += len(t)
             if total > FLUSH:
                 for kind, h in held.items():
@@ -356,21 +374,21 @@ def ties(docs: DataFrame, k: int, table: np.ndarray, key: str, text: str, rule:
                 continue
             tokens = np.concatenate([_unpack(b, np.uint64) for b in part["x"].to_pylist()])
             if kind == PAIR:
-                needs = np.concatenate([_unplaned(b, np.uint16) for b in part["z"].to_pylist()])
+                sizes = np.concatenate([_unplaned(b, np.uint32) for b in part["z"].to_pylist()])
                 order = np.lexsort((ids, tokens))
-                tokens, ids, needs = tokens[order], ids[order], needs[order]
+                tokens, ids, sizes = tokens[order], ids[order], sizes[order].astype(np.int64)
                 once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])])  # copies from several tasks
-                tokens, ids, needs = tokens[once], ids[once], needs[once]
+                tokens, ids, sizes = tokens[once], ids[once], sizes[once]
                 first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
                 length = np.diff(np.append(first, len(tokens)))
                 long = np.repeat(length > SHORT_LIST, length)  # the other kinds are stars whatever their length
                 short = length <= SHORT_LIST
-                a, b, need = _pairs(ids, needs, first[short], length[short])
+                a, b, need = _pairs(ids, sizes >> 8, sizes & 255, first[short], length[short], rule)
                 if len(a):
                     order = np.lexsort((b, a))
                     a, b, need = a[order], b[order], need[order]
                     edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-                    out.append((a[edge], b[edge], np.diff(np.append(edge, len(a))), need[edge].astype(np.int64), False))
+                    out.append((a[edge], b[edge], np.diff(np.append(edge, len(a))), need[edge], False))
             else:
                 long = np.ones(len(tokens), bool)
             if long.any():
@@ -448,9 +466,14 @@ def block_links(ws: runtime.Workspace, docs: DataFrame, members: DataFrame, k: i
     def side(n: int, across: bool) -> list[Column]:
         return [F.lit(n).alias("side"), F.lit(across).alias("across")]
 
+    # most texts lie in no block: a filter of bounded size drops nearly all of these before the shuffle
+    words = min(FILTER_WORDS, 1 << max(10, (members.count() // 4).bit_length()))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * words))
+    marks = members.select(bit("node").alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("marks"))
+    passed = src.withColumn("at", bit("doc_id")).join(F.broadcast(marks), F.expr("at div 64 = word")).where("shiftrightunsigned(marks, cast(at % 64 as int)) % 2 <> 0").select("doc_id", "text")
     # rows that share a key are all in; each has its own set
     # both sides grow with the input, so neither is broadcast, however small it is
-    held = src.hint("merge").join(members, src.doc_id == members.node).select("doc_id", "text", "root", "m")
+    held = passed.hint("merge").join(members, F.col("doc_id") == F.col("node")).select("doc_id", "text", "root", "m")
     rows = ws.keep(held.mapInArrow(sets, "doc_id bigint, root bigint, m bigint, s binary"), "members")
     small = scanned(rows.where(F.col("m") <= BLOCK).select("*", *side(0, False)))
     large = rows.where(F.col("m") > BLOCK)

@@ -88,3 +88,46 @@ def test_copies_in_different_tasks_make_no_ties(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in setjoin.jaccard_join(docs, 4, 85, 100).collect()}
     assert got == {d: 0 if d % 1000 == 20 else d % 1000 for d, _ in rows}
     assert n[0] <= 2 * setjoin.LEAST_BUCKETS, "only two different texts have lists in common"
+
+
+def members_of(monkeypatch):
+    """How many sets each call of ``block_links`` gets."""
+    real, n = setjoin.block_links, []
+    monkeypatch.setattr(setjoin, "block_links", lambda ws, docs, members, *a: n.append(members.count()) or real(ws, docs, members, *a))
+    return n
+
+
+def test_sets_of_far_sizes_make_no_block(spark, monkeypatch):
+    """Long texts that each quote a short one used to be one block, and all its sets were compared."""
+    short = [f"s{j}" for j in range(32)]
+    rows = [(0, " ".join(short))] + [(i, " ".join([*(f"w{i}x{j}" for j in range(300)), *short])) for i in range(1, 41)]
+    rows += [(50, rows[1][1].replace("w1x0 ", "other "))]  # linked with 1
+    n = members_of(monkeypatch)
+    monkeypatch.setattr(setjoin, "FREQUENT", 1000)
+    got = sorted(map(tuple, setjoin.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()))
+    assert got == brute(rows, 4, 85, 100) and n == [2]
+
+
+def test_chance_of_one_common_shingle_makes_no_block(spark, monkeypatch):
+    def text(i):
+        """Four phrases, each shared with one other text; 23 shingles."""
+        shared = [" ".join(f"p{j % 30}d{d}w{w}" for w in range(4)) for d in (1, 3) for j in (i, i - d)]
+        return " ".join(f"u{i}x{k} v{i}x{k} {s}" for k, s in enumerate(shared)) + f" y{i} z{i}"
+
+    rows = [(i, text(i)) for i in range(30)]
+    n = members_of(monkeypatch)
+    monkeypatch.setattr(setjoin, "FREQUENT", 1000)
+    monkeypatch.setattr(setjoin, "MOST_LIGHT", 0)
+    got = sorted(map(tuple, setjoin.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()))
+    assert got == brute(rows, 4, 85, 100) and n == [0]
+
+
+@pytest.mark.parametrize("bits", [4, 10])
+def test_links_do_not_depend_on_what_lists_keep(spark, monkeypatch, bits):
+    rng = np.random.default_rng(bits)
+    texts = copies(rng, 60) + chain(30)
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    monkeypatch.setattr(setjoin, "KEPT_BITS", np.uint64((1 << bits) - 1 << 64 - bits))
+    monkeypatch.setattr(setjoin, "FREQUENT", 1000)
+    got = sorted(map(tuple, setjoin.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()))
+    assert got == brute(rows, 4, 85, 100)
